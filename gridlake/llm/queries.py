@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .licenses import OP5_SQL, op5_license_scan
 from .mixing import op1_mixing
+from .near_dedup import OP9_SQL, op9_near_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op9_near_dedup": op9_near_dedup,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op9_near_dedup": OP9_SQL}
