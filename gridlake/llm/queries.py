@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .bloom_lm import op10_bloom_lm
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .licenses import OP5_SQL, op5_license_scan
 from .mixing import op1_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
+from .order_minhash import op3_order_minhash
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_order_minhash": op3_order_minhash,
     "op5_license_scan": op5_license_scan,
     "op9_near_dedup": op9_near_dedup,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op9_near_dedup": OP9_SQL}
