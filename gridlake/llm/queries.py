@@ -8,12 +8,16 @@ from .licenses import OP5_SQL, op5_license_scan
 from .mixing import op1_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .order_minhash import op3_order_minhash
+from .packing import op4_packing
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_order_minhash": op3_order_minhash,
+    "op4_packing": op4_packing,
     "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_bloom_lm": op10_bloom_lm,
 }
