@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bloom_lm import op10_bloom_lm
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .licenses import OP5_SQL, op5_license_scan
+from .line_dedup import op7_line_dedup
 from .mixing import op1_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .order_minhash import op3_order_minhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_bloom_lm": op10_bloom_lm,
 }
