@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bloom_lm import op10_bloom_lm
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_text import op8_html_text
 from .licenses import OP5_SQL, op5_license_scan
 from .line_dedup import op7_line_dedup
 from .mixing import op1_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_text": op8_html_text,
     "op9_near_dedup": op9_near_dedup,
     "op10_bloom_lm": op10_bloom_lm,
 }
