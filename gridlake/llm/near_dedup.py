@@ -246,9 +246,10 @@ def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Stage form: one document of each group stays (the smallest id), with the columns of ``docs``."""
-    out = near_dedup(docs, k=5)
-    gone = materialize(out.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    kept = near_dedup(docs, k=5).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = materialize(kept.filter("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    small = gone.count() <= 1_000_000  # 8 MB of ids
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 OP9_SQL = r"""
