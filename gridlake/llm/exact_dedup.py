@@ -38,7 +38,8 @@ def frequent(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
         .groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("sketch"))
     )
-    top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # grouped, as merging a task without sketches fails
+    top = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     return top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("x")).select(
         F.col("x.item").alias("h")
     )
