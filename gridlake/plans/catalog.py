@@ -1,4 +1,680 @@
-"""Queries over the network operators and the DuckDB SQL that matches them."""
+"""Queries over the network operators on stand-in tables, and the DuckDB SQL that matches them.
+
+Stand-ins: a supplier or part is a bus, a line item a branch between them, an order or customer a
+unit, a nation an area, a page or document a map feature.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlake.config import Study
+from gridlake.functions import geometry as Y
+from gridlake.functions import scalar as S
+from gridlake.functions import text as X
+from gridlake.operators import checks as C
+from gridlake.operators import graph as G
+from gridlake.operators import linkage as L
+from gridlake.operators import static as O
+from gridlake.sources import case as R
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stand_in_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One branch for each (supplier, part) pair and circuit A to E."""
+    item = table(spark, d, "lineitem")
+    ckt = F.substring(F.lit("ABCDE"), (F.col("l_linenumber") % 5 + 1).cast("int"), 1)
+    return item.groupBy(F.col("l_suppkey").alias("bus_i"), F.col("l_partkey").alias("bus_j"), ckt.alias("ckt")).agg(
+        F.min("l_discount").alias("r_pu"),
+        (F.max("l_tax") - 0.01).alias("x_pu"),
+        F.min("l_discount").alias("ratea_mva"),
+        F.max("l_quantity").alias("len_km"),
+    )
+
+
+LINES_SQL = """(SELECT l_suppkey AS bus_i, l_partkey AS bus_j, substr('ABCDE', CAST(l_linenumber % 5 + 1 AS INT), 1) AS ckt,
+  min(l_discount) AS r_pu, max(l_tax) - 0.01 AS x_pu, min(l_discount) AS ratea_mva, max(l_quantity) AS len_km
+  FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+@query("SELECT p_partkey AS bus_id, p_name AS bus_name, p_retailprice AS baskv_kv, p_size AS ide FROM part")
+def parse_bus_records(spark, d):
+    """Bus records rendered as text and parsed back natively."""
+    part = table(spark, d, "part")
+    quoted = F.concat(F.lit("'"), F.col("p_name"), F.lit("'"))
+    line = F.concat_ws(",", "p_partkey", quoted, F.col("p_retailprice").cast("string"), "p_size")
+    record = R.from_record(line, "bus_id long, bus_name string, baskv_kv double, ide int")
+    return part.select(record.alias("r")).select("r.*")
+
+
+@query(
+    """SELECT l_orderkey AS bus_i, l_partkey AS bus_j, CAST(l_linenumber AS VARCHAR) AS ckt, l_tax AS r_pu,
+    l_quantity AS x_pu, nullif(l_discount, 0.0) AS ratea_mva FROM lineitem"""
+)
+def parse_branch_records(spark, d):
+    item = table(spark, d, "lineitem")
+    numbers = [F.col(c).cast("string") for c in ("l_tax", "l_quantity", "l_discount")]
+    quoted = F.concat(F.lit("'"), F.col("l_linenumber").cast("string"), F.lit("'"))
+    line = F.concat_ws(",", "l_orderkey", "l_partkey", quoted, *numbers)
+    record = R.from_record(line, "bus_i long, bus_j long, ckt string, r_pu double, x_pu double, ratea_mva double")
+    rows = item.select(record.alias("r")).select("r.*")
+    return rows.withColumn("ratea_mva", S.defined_rating(F.col("ratea_mva")))
+
+
+@query(
+    """SELECT o_orderkey AS i, o_custkey AS j, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 END AS k,
+    CAST(o_orderkey % 3 AS INT) AS stat, o_totalprice AS r12, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS r31
+    FROM orders"""
+)
+def parse_multiline_records(spark, d):
+    """Transformer records of four or five lines, a case for each customer, parsed in order."""
+    orders = table(spark, d, "orders")
+    three = F.col("o_orderkey") % 2 == 0
+    price = F.col("o_totalprice").cast("string")
+    first = F.concat_ws(
+        ",", "o_orderkey", "o_custkey", F.when(three, F.col("o_orderkey") + 1).otherwise(0), F.lit("'1 ',1,1,1,0,0,2,'T, A'"),
+        F.col("o_orderkey") % 3,
+    )
+    second = F.when(three, F.concat_ws(",", price, F.lit("1,2,3,4,5"), price, F.lit("7,8"))).otherwise(F.concat_ws(",", price, F.lit("1,2")))
+    rest = F.when(three, F.lit("0\n0\n0")).otherwise(F.lit("0\n0"))
+    record = F.struct("o_orderkey", F.concat_ws("\n", first, second, rest).alias("t"))
+    cases = orders.select("o_custkey", record.alias("r")).groupBy("o_custkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    body = F.array_join(F.transform("rs", lambda r: r["t"]), "\n")
+    text = F.concat(F.lit("0 / END OF BRANCH DATA, BEGIN TRANSFORMER DATA\n@ i,j,k\n"), body, F.lit("\n0 / END OF TRANSFORMER DATA\n9"))
+    return R.parsed(cases.select(text.alias("text")), "text", "TRANSFORMER").select("i", "j", "k", "stat", "r12", "r31")
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+    FROM documents)
+    SELECT doc_id, CAST(n AS INT) AS n, trim(line) AS line FROM l
+    WHERE trim(line) != '' AND NOT starts_with(trim(line), '@') AND NOT starts_with(trim(line), '0 /')"""
+)
+def section_slice(spark, d):
+    docs = table(spark, d, "documents")
+    text = F.concat(F.lit("x\n0 / END OF A DATA, BEGIN B DATA\n"), F.col("text"), F.lit("\n0 / END OF B DATA\ny"))
+    lines = R.slice_section(text, "BEGIN B DATA", "\n0 / END OF B DATA")
+    return docs.select("doc_id", F.explode(lines).alias("x")).select("doc_id", "x.n", "x.line")
+
+
+@query(
+    """SELECT s_suppkey AS bus_id, s_name AS bus_name, s_acctbal AS baskv_kv,
+    CASE s_nationkey % 5 WHEN 1 THEN 'PQ' WHEN 2 THEN 'PV' WHEN 3 THEN 'slack' WHEN 4 THEN 'isolated' ELSE 'unknown' END AS ide_desc,
+    CASE s_nationkey WHEN 18 THEN 'Paraguay' WHEN 19 THEN 'Chile (SING)' WHEN 20 THEN 'Brasil' WHEN 22 THEN 'Bolivia' END AS country,
+    s_nationkey IN (18, 19, 20, 22) AS is_international
+    FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000 AND s_nationkey % 5 != 4 AND s_suppkey NOT IN (3, 7)"""
+)
+def bus_filter_flag(spark, d):
+    s = table(spark, d, "supplier")
+    names = [r["s_name"] for r in s.filter(F.col("s_suppkey").isin(3, 7)).select("s_name").limit(2).collect()]
+    buses = s.select(
+        F.col("s_suppkey").alias("bus_id"), F.col("s_name").alias("bus_name"), F.col("s_acctbal").alias("baskv_kv"),
+        (F.col("s_nationkey") % 5).alias("ide"), F.col("s_nationkey").alias("area"),
+    )
+    study = Study(kv_low=0, kv_high=5000, drop_foreign=False, excluded_buses=tuple(names))
+    return O.study_buses(buses, study).drop("ide", "area")
+
+
+@query(
+    f"""SELECT l.bus_i, l.bus_j, l.ckt, s_name AS name_i, p_name AS name_j,
+    concat_ws('-', s_name, p_name, CAST(ascii(l.ckt) - 64 AS VARCHAR)) AS line_key
+    FROM {LINES_SQL} l JOIN supplier ON s_suppkey = bus_i JOIN part ON p_partkey = bus_j
+    WHERE s_nationkey < 12 AND p_size > 10"""
+)
+def branch_both_ends_valid(spark, d):
+    s = table(spark, d, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("bus_i"), F.col("s_name").alias("name_i"))
+    p = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("bus_j"), F.col("p_name").alias("name_j"))
+    lines = stand_in_lines(spark, d).select("bus_i", "bus_j", "ckt")
+    lines = lines.join(s.select("bus_i"), "bus_i", "left_semi").join(p.select("bus_j"), "bus_j", "left_semi")
+    return O.keyed(lines.join(s, "bus_i", "left").join(p, "bus_j", "left"))
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY CAST(bus_i AS VARCHAR), CAST(bus_j AS VARCHAR), ckt) AS line_id, bus_i, bus_j, ckt,
+    concat_ws('-', CAST(bus_i AS VARCHAR), CAST(bus_j AS VARCHAR), CAST(ascii(ckt) - 64 AS VARCHAR)) AS line_key FROM {LINES_SQL}"""
+)
+def branch_key_and_id(spark, d):
+    lines = stand_in_lines(spark, d).select("bus_i", "bus_j", "ckt")
+    blank = F.lit(None).cast("string")
+    lines = O.keyed(lines.withColumns({"name_i": blank, "name_j": blank})).drop("name_i", "name_j")
+    return O.numbered(lines, "line_id", F.col("bus_i").cast("string"), F.col("bus_j").cast("string"), "ckt")
+
+
+@query(
+    f"""SELECT bus_i, bus_j, ckt, CASE WHEN x_pu < 0 THEN 'series_compensator' ELSE 'line' END AS element_type,
+    ratea_mva != 0 AS rating_defined, nullif(ratea_mva, 0.0) AS ratea_mva, len_km > 25 AS in_service FROM {LINES_SQL}"""
+)
+def classify_and_null_rating(spark, d):
+    status = (F.col("len_km") > 25).cast("int")
+    return stand_in_lines(spark, d).select(
+        "bus_i", "bus_j", "ckt",
+        S.element_type(F.col("x_pu")).alias("element_type"),
+        (F.col("ratea_mva") != 0).alias("rating_defined"),
+        S.defined_rating(F.col("ratea_mva")).alias("ratea_mva"),
+        S.in_service(status, forced=False).alias("in_service"),
+    )
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, o_custkey AS i, o_orderkey % 1000 AS j,
+      CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 777 + 1 END AS k, o_totalprice AS p FROM orders),
+    v AS (SELECT s_suppkey AS b FROM supplier),
+    m AS (SELECT *, i IN (SELECT b FROM v) AS vi, j IN (SELECT b FROM v) AS vj, coalesce(k IN (SELECT b FROM v), false) AS vk FROM t)
+    SELECT id, i AS bus_i, j AS bus_j, '2W' AS origin, p AS r_pu FROM m WHERE k IS NULL AND (vi OR vj)
+    UNION ALL SELECT id, i, j, '3W_decomp', p FROM m WHERE k IS NOT NULL AND vi
+    UNION ALL SELECT id, i, k, '3W_decomp', p + 2 FROM m WHERE k IS NOT NULL AND vi
+    UNION ALL SELECT id, j, i, '3W_decomp', p FROM m WHERE k IS NOT NULL AND NOT vi AND vj
+    UNION ALL SELECT id, j, k, '3W_decomp', p + 1 FROM m WHERE k IS NOT NULL AND NOT vi AND vj
+    UNION ALL SELECT id, k, i, '3W_decomp', p + 2 FROM m WHERE k IS NOT NULL AND NOT vi AND NOT vj AND vk
+    UNION ALL SELECT id, k, j, '3W_decomp', p + 1 FROM m WHERE k IS NOT NULL AND NOT vi AND NOT vj AND vk"""
+)
+def three_to_two_decomposition(spark, d):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    windings = {f"{v}{w}": price + n for n, w in enumerate(("12", "23", "31")) for v in "rxs"}
+    rows = table(spark, d, "orders").select(
+        key.alias("id"), F.col("o_custkey").alias("i"), (key % 1000).alias("j"), F.when(key % 3 == 0, key % 777 + 1).alias("k"),
+        *[c.alias(n) for n, c in windings.items()],
+    )
+    valid = table(spark, d, "supplier").select(F.col("s_suppkey").alias("bus_id"))
+    return O.decomposed(rows, valid).select("id", "bus_i", "bus_j", "origin", "r_pu")
+
+
+@query(
+    """SELECT l_partkey AS bus_j, arg_min(l_suppkey, l_orderkey * 100000 + l_suppkey * 8 + l_linenumber) AS parent_bus_id
+    FROM lineitem GROUP BY 1"""
+)
+def first_parent(spark, d):
+    order = F.col("l_orderkey") * 100000 + F.col("l_suppkey") * 8 + F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("bus_i"), F.col("l_partkey").alias("bus_j"), order.alias("trafo_id"))
+    return O.first_parent(rows)
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS bus_id, p_brand AS parent_name, p_size / 2.0 AS kv,
+      row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_brand, p_size) AS c FROM part)
+    SELECT bus_id, concat_ws('_', parent_name, CASE WHEN kv = floor(kv) THEN CAST(CAST(kv AS BIGINT) AS VARCHAR) || 'kV'
+      ELSE printf('%.1fkV', CAST(kv AS DOUBLE)) END, CASE WHEN c > 1 THEN CAST(n AS VARCHAR) END) AS bus_name FROM r"""
+)
+def secondary_naming(spark, d):
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("bus_id"), F.col("p_brand").alias("parent_bus_id"), F.col("p_brand").alias("parent_name"),
+        (F.col("p_size") / 2.0).alias("baskv_kv"),
+    )
+    return O.secondary_names(rows).select("bus_id", "bus_name")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, p_brand || p_name AS k, row_number() OVER (PARTITION BY p_brand || p_name ORDER BY p_partkey) AS n,
+      count(*) OVER (PARTITION BY p_brand || p_name) AS c FROM part)
+    SELECT p_partkey, CASE WHEN c > 1 THEN k || '_' || CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) ELSE CAST(n AS VARCHAR) END ELSE k END
+    AS unique_key FROM r"""
+)
+def unique_suffix(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_brand", "p_name").alias("key"))
+    return O.unique_keys(rows, "key", "p_partkey").select("p_partkey", "unique_key")
+
+
+@query(
+    """WITH own AS (SELECT s_suppkey AS bus_id, s_acctbal / 100 AS lat, s_nationkey * 2.0 AS lon FROM supplier)
+    SELECT bus_id, '500kV' AS bus_type, CAST(NULL AS BIGINT) AS parent_bus_id, lat, lon FROM own
+    UNION ALL SELECT c_custkey + 1000000, 'secundario', c_custkey % 120, lat, lon FROM customer LEFT JOIN own ON bus_id = c_custkey % 120"""
+)
+def inherit_coords_union(spark, d):
+    own = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("bus_id"), (F.col("s_acctbal") / 100).alias("lat"), (F.col("s_nationkey") * 2.0).cast("double").alias("lon")
+    )
+    children = table(spark, d, "customer").select((F.col("c_custkey") + 1000000).alias("bus_id"), (F.col("c_custkey") % 120).alias("parent_bus_id"))
+    return O.with_parent_coordinates(own, children)
+
+
+@query(
+    f"""SELECT bus_i, bus_j, ckt, round(r_pu * (s_acctbal * s_acctbal / 100.0), 4) AS r, round(x_pu * (s_acctbal * s_acctbal / 100.0), 4) AS x,
+    round(coalesce(nullif(ratea_mva, 0.0), 0.0), 6) AS s_nom FROM {LINES_SQL} JOIN supplier ON s_suppkey = bus_i"""
+)
+def per_unit_conversion(spark, d):
+    kv = table(spark, d, "supplier").select(F.col("s_suppkey").alias("bus_i"), F.col("s_acctbal").alias("kv_i"))
+    lines = stand_in_lines(spark, d).withColumn("ratea_mva", S.defined_rating(F.col("ratea_mva"))).join(kv, "bus_i")
+    out = O.physical(lines.withColumn("b_pu", F.lit(0.0)))
+    return out.select("bus_i", "bus_j", "ckt", F.round("r", 4).alias("r"), F.round("x", 4).alias("x"), F.round("s_nom", 6).alias("s_nom"))
+
+
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(upper(strip_accents(replace(text, 'ß', 'SS'))), '[.()\-_°]', ' ', 'g'), '\s+', ' ', 'g'))
+    AS name FROM documents"""
+)
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.normalize_name(F.col("text")).alias("name"))
+
+
+@query(
+    r"""WITH r AS (SELECT page_id, 'LINE 500 ' || CASE WHEN page_id % 3 = 0 THEN '' ELSE CAST(page_id % 7 AS VARCHAR) END AS name FROM pages)
+    SELECT page_id, regexp_replace(trim(name), '\s+500\s*\d*\s*$', '') AS stem,
+    TRY_CAST(nullif(regexp_extract(name, '500\s+(\d+)\s*$', 1), '') AS INT) AS ckt FROM r"""
+)
+def circuit_number(spark, d):
+    page = F.col("page_id")
+    name = F.concat(F.lit("LINE 500 "), F.when(page % 3 == 0, "").otherwise((page % 7).cast("string")))
+    return table(spark, d, "pages").select("page_id", X.without_voltage(name).alias("stem"), X.circuit_number(name).alias("ckt"))
+
+
+#: A small sample of aliases: joined, spaced and identity forms, and one to discard.
+ALIASES = {"ALMOND": "ALMENDRO", "ALMONDANTIQUE": "ALMENDRO ANTIGUO", "BLUE CREAM": "AZUL", "RED": None, "GREEN": "VERDE"}
+
+
+@query()
+def alias_tokens(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.alias_tokens(F.col("p_name"), ALIASES).alias("tokens"))
+
+
+def _tokens(spark, d) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, d, "part")
+    features = part.filter("p_partkey % 10 = 0").select(
+        F.col("p_partkey").alias("feature_id"), F.split(F.upper("p_name"), " ").alias("tokens"), F.col("p_name").alias("name"),
+        (F.col("p_size") % 5).cast("int").alias("circuit"), F.concat(F.lit("L"), F.col("p_partkey").cast("string")).alias("wkt"),
+    )
+    words = F.split(F.upper("p_name"), " ")
+    blank = F.when(F.col("p_partkey") % 11 != 0, F.element_at(words, 1))
+    lines = part.filter("p_partkey % 10 = 1").select(
+        F.col("p_partkey").cast("string").alias("line_key"), blank.alias("token_i"), F.element_at(words, -1).alias("token_j"),
+        (F.col("p_size") % 5).cast("string").alias("ckt"), S.element_type(F.col("p_size") - 5).alias("element_type"),
+    )
+    return lines, features
+
+
+TOKENS_SQL = """f AS (SELECT p_partkey AS feature_id, string_split(upper(p_name), ' ') AS tokens, p_name AS name, CAST(p_size % 5 AS INT) AS circuit,
+  'L' || CAST(p_partkey AS VARCHAR) AS wkt FROM part WHERE p_partkey % 10 = 0),
+l AS (SELECT CAST(p_partkey AS VARCHAR) AS line_key, CASE WHEN p_partkey % 11 != 0 THEN string_split(upper(p_name), ' ')[1] END AS token_i,
+  string_split(upper(p_name), ' ')[-1] AS token_j, CAST(p_size % 5 AS VARCHAR) AS ckt,
+  CASE WHEN p_size - 5 < 0 THEN 'series_compensator' ELSE 'line' END AS element_type FROM part WHERE p_partkey % 10 = 1)"""
+
+
+@query(f"WITH {TOKENS_SQL} SELECT line_key, feature_id FROM l JOIN f ON list_contains(tokens, token_i) AND list_contains(tokens, token_j)")
+def token_pair_match(spark, d):
+    return L.token_pairs(*_tokens(spark, d))
+
+
+@query(
+    f"""WITH {TOKENS_SQL},
+    m AS (SELECT line_key, CASE WHEN CAST(line_key AS BIGINT) % 3 = 0 THEN -1 ELSE CAST(line_key AS BIGINT) + 9 END AS feature_id FROM l
+      WHERE CAST(line_key AS BIGINT) % 7 = 0),
+    c AS (SELECT line_key, count(*) AS n, arg_min(name, feature_id) AS fn, arg_min(wkt, feature_id) AS fw,
+      arg_min(name, feature_id) FILTER (circuit = CAST(ckt AS INT)) AS sn, arg_min(wkt, feature_id) FILTER (circuit = CAST(ckt AS INT)) AS sw
+      FROM l JOIN f ON list_contains(tokens, token_i) AND list_contains(tokens, token_j) GROUP BY 1)
+    SELECT l.line_key, CASE WHEN element_type = 'series_compensator' THEN 'compensador' WHEN m.feature_id IS NOT NULL THEN 'manual_geo'
+      WHEN token_i IS NULL THEN 'pendiente_bus' WHEN n = 1 THEN 'directo' WHEN n > 1 AND sn IS NOT NULL THEN 'paralela' ELSE 'sin_match' END AS match_status,
+    CASE WHEN element_type = 'series_compensator' THEN '' WHEN m.feature_id IS NOT NULL
+      THEN coalesce(f.name, 'ID ' || CAST(m.feature_id AS VARCHAR) || ' no encontrado')
+      WHEN token_i IS NULL THEN '' WHEN n = 1 THEN fn WHEN n > 1 AND sn IS NOT NULL THEN sn WHEN n > 1 THEN 'AMBIGUO: ' || fn ELSE '' END AS geo_nombre,
+    CASE WHEN element_type = 'series_compensator' THEN '' WHEN m.feature_id IS NOT NULL THEN coalesce(f.wkt, '')
+      WHEN token_i IS NULL THEN '' WHEN n = 1 THEN fw WHEN n > 1 AND sn IS NOT NULL THEN sw ELSE '' END AS geometry
+    FROM l LEFT JOIN m USING (line_key) LEFT JOIN f ON f.feature_id = m.feature_id LEFT JOIN c ON c.line_key = l.line_key"""
+)
+def match_priority(spark, d):
+    lines, features = _tokens(spark, d)
+    number = F.col("line_key").cast("long")
+    manual = lines.filter(number % 7 == 0).select("line_key", F.when(number % 3 == 0, -1).otherwise(number + 9).alias("feature_id"))
+    return L.line_matches(lines, features, manual).select("line_key", "match_status", "geo_nombre", "geometry")
+
+
+@query(
+    """WITH u AS (SELECT c_custkey, chr(CAST(65 + c_custkey % 20 AS INT)) || lpad(CAST(c_custkey % 300 AS VARCHAR), 3, '0') || 'TV' AS nm,
+      CASE c_custkey % 3 WHEN 0 THEN 'steam' WHEN 1 THEN 'wind' ELSE 'battery' END AS carrier FROM customer),
+    p AS (SELECT chr(CAST(65 + p_partkey % 20 AS INT)) || lpad(CAST(p_partkey % 300 AS VARCHAR), 3, '0') || CAST(p_partkey AS VARCHAR) AS code,
+      CASE p_size % 3 WHEN 0 THEN 'TV' WHEN 1 THEN 'EO' ELSE 'HI' END AS ty FROM part WHERE p_partkey % 4 = 0),
+    j AS (SELECT c_custkey, code, coalesce((carrier = 'steam' AND ty = 'TV') OR (carrier = 'wind' AND ty = 'EO'), false) AS fits
+      FROM u JOIN p ON substr(upper(trim(nm)), 1, 4) = substr(upper(code), 1, 4)),
+    a AS (SELECT c_custkey, count(*) AS n, count(*) FILTER (fits) AS k, min(code) AS c0, min(code) FILTER (fits) AS c1 FROM j GROUP BY 1)
+    SELECT CAST(u.c_custkey AS VARCHAR) AS gen_key, CASE WHEN n = 1 THEN c0 WHEN k = 1 THEN c1 END AS plant_code,
+    CASE WHEN n = 1 OR k = 1 THEN 'exacto' WHEN n IS NULL THEN 'sin_match' ELSE 'a_revisar' END AS geo_match FROM u LEFT JOIN a USING (c_custkey)"""
+)
+def prefix_candidates(spark, d):
+    def code(x):
+        return F.concat(F.char(F.lit(65) + x % 20), F.lpad((x % 300).cast("string"), 3, "0"))
+
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    carrier = F.when(c % 3 == 0, "steam").when(c % 3 == 1, "wind").otherwise("battery")
+    units = table(spark, d, "customer").select(c.cast("string").alias("gen_key"), F.concat(code(c), F.lit("TV")).alias("bus_name"), carrier.alias("carrier"))
+    kind = F.when(F.col("p_size") % 3 == 0, "TV").when(F.col("p_size") % 3 == 1, "EO").otherwise("HI")
+    plants = table(spark, d, "part").filter("p_partkey % 4 = 0")
+    plants = plants.select(F.concat(code(p), p.cast("string")).alias("plant_code"), kind.alias("plant_type"))
+    return L.plant_matches(units, plants)
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'hydro' WHEN 1 THEN 'OWNER X' WHEN 2 THEN 'unknown' ELSE 'wind' END AS owner_carrier,
+      'ABCD' || CASE p_partkey % 5 WHEN 0 THEN 'TG01' WHEN 1 THEN 'NUCL' WHEN 2 THEN 'HB01' WHEN 3 THEN 'XX01' ELSE 'F' END AS nm FROM part),
+    x AS (SELECT *, CASE WHEN owner_carrier IN ('hydro', 'wind') THEN owner_carrier WHEN length(nm) >= 8 AND substr(nm, 5, 4) = 'NUCL' THEN 'nuclear'
+      WHEN length(nm) >= 6 THEN CASE substr(nm, 5, 2) WHEN 'TG' THEN 'ocgt' WHEN 'HB' THEN 'pumped_hydro' END END AS carrier FROM r)
+    SELECT p_partkey, carrier, CASE WHEN carrier IN ('nuclear', 'hydro', 'pumped_hydro', 'ocgt') THEN 'PV' ELSE 'PQ' END AS control FROM x
+    WHERE carrier IS NOT NULL"""
+)
+def carrier_resolution(spark, d):
+    size, key = F.col("p_size") % 4, F.col("p_partkey") % 5
+    owner = F.when(size == 0, "hydro").when(size == 1, "OWNER X").when(size == 2, "unknown").otherwise("wind")
+    code = F.when(key == 0, "TG01").when(key == 1, "NUCL").when(key == 2, "HB01").when(key == 3, "XX01").otherwise("F")
+    rows = table(spark, d, "part").select("p_partkey", S.resolved_carrier(owner, F.concat(F.lit("ABCD"), code)).alias("carrier"))
+    return rows.filter("carrier IS NOT NULL").withColumn("control", S.control_mode(F.col("carrier")))
+
+
+@query(
+    """SELECT o_orderkey, o_custkey AS bus_id FROM orders JOIN customer ON c_custkey = o_custkey
+    WHERE c_nationkey NOT IN (18, 19, 20, 22) AND c_custkey % 2 = 0"""
+)
+def unit_foreign_filter(spark, d):
+    units = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("bus_id"))
+    buses = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("bus_id"), F.col("c_nationkey").alias("area"))
+    return L.home_units(units, buses)
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS gen_key, CASE p_size % 3 WHEN 0 THEN 'HB' WHEN 1 THEN 'VG' END AS ty,
+      CASE p_partkey % 3 WHEN 0 THEN 'ocgt' WHEN 1 THEN 'wind' END AS c0, CASE WHEN p_partkey % 4 = 0 THEN 'exacto' WHEN p_partkey % 4 = 1 THEN 'sin_match' END AS geo_match,
+      CASE p_partkey % 5 WHEN 0 THEN 'nan' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE '7' END AS bus_conexion FROM part),
+    x AS (SELECT *, CASE WHEN ty = 'HB' THEN 'pumped_hydro' WHEN ty = 'VG' AND NOT coalesce(c0 IN ('ocgt', 'steam', 'ccgt'), false) THEN 'VG_revisar' ELSE c0 END AS carrier,
+      coalesce(geo_match = 'exacto', false) AS g, coalesce(bus_conexion NOT IN ('nan', ''), false) AS b FROM r)
+    SELECT gen_key, carrier, g AND b AND coalesce(carrier != 'VG_revisar', true) AS ready,
+    CASE WHEN NOT (g AND b AND coalesce(carrier != 'VG_revisar', true)) THEN CASE WHEN NOT b AND NOT g THEN 'ambos' WHEN NOT g THEN 'geo' ELSE 'bus' END END AS falta FROM x"""
+)
+def carrier_override_split(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size") % 3
+    carrier = S.reviewed_carrier(F.when(key % 3 == 0, "ocgt").when(key % 3 == 1, "wind"), F.when(size == 0, "HB").when(size == 1, "VG"))
+    bus = F.when(key % 5 == 0, "nan").when(key % 5 == 1, "").when(key % 5 != 2, "7")
+    geo = F.when(key % 4 == 0, "exacto").when(key % 4 == 1, "sin_match")
+    units = table(spark, d, "part").select(key.alias("gen_key"), carrier.alias("carrier"), geo.alias("geo_match"), bus.alias("bus_conexion"))
+    return L.ready_split(units).select("gen_key", "carrier", "ready", "falta")
+
+
+@query(
+    """WITH u AS (SELECT o_orderkey AS gen_key, o_totalprice AS pt_mw, CASE o_orderkey % 3 WHEN 0 THEN 'hydro' WHEN 1 THEN 'solar' ELSE 'battery' END AS carrier,
+      o_orderstatus AS s, o_orderkey % 4 AS m FROM orders)
+    SELECT gen_key, carrier, pt_mw, CASE WHEN carrier = 'hydro' THEN 'PV' ELSE 'PQ' END AS control FROM u
+    WHERE s = 'F' OR (s = 'O' AND m < 2) ORDER BY pt_mw DESC, gen_key"""
+)
+def manual_merge_final(spark, d):
+    key = F.col("o_orderkey")
+    carrier = F.when(key % 3 == 0, "hydro").when(key % 3 == 1, "solar").otherwise("battery")
+    units = table(spark, d, "orders").select(
+        key.alias("gen_key"), carrier.alias("carrier"), F.col("o_totalprice").alias("pt_mw"), "o_orderstatus",
+        F.when(key % 4 < 2, "ok").otherwise("geo").alias("falta"), F.lit("bfs").alias("match_type"),
+    )
+    ready = units.filter("o_orderstatus = 'F'").select("gen_key", "carrier", "pt_mw")
+    return L.final_units(ready, units.filter("o_orderstatus = 'O'"))
+
+
+GRAPH_SQL = """e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem WHERE l_quantity >= 45 AND l_discount = 0.0),
+g AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)"""
+
+
+def stand_in_graph(spark, d) -> DataFrame:
+    item = table(spark, d, "lineitem").filter("l_quantity >= 45 AND l_discount = 0.0")
+    ends = {"i": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), "j": F.concat(F.lit("P"), F.col("l_partkey").cast("string"))}
+    return G.build_graph(item.select(*[c.alias(n) for n, c in ends.items()]))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT src, dst FROM g")
+def build_graph(spark, d):
+    return stand_in_graph(spark, d)
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH_SQL},
+    t AS (SELECT 'S' || s_suppkey AS node, s_acctbal AS kv FROM supplier WHERE s_nationkey < 3 AND 'S' || s_suppkey IN (SELECT src FROM g)),
+    r AS (SELECT node, node AS dest, kv, 0 AS hops FROM t
+      UNION SELECT g.src, r.dest, r.kv, r.hops + 1 FROM r JOIN g ON g.dst = r.node WHERE r.hops < 40 AND g.src NOT IN (SELECT node FROM t)),
+    m AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1),
+    b AS (SELECT r.node, arg_min(r.dest, (-r.kv, r.dest)) AS dest, m.hops FROM r JOIN m ON r.node = m.node AND r.hops = m.hops GROUP BY r.node, m.hops)
+    SELECT n.src AS node, dest, coalesce(hops, -1) AS hops,
+    CASE WHEN hops IS NULL THEN 'sin_conexion' WHEN hops = 0 THEN 'directo' ELSE 'bfs' END AS match_type
+    FROM (SELECT DISTINCT src FROM g) n LEFT JOIN b ON b.node = n.src"""
+)
+def nearest_target(spark, d):
+    graph = stand_in_graph(spark, d)
+    nodes = graph.select(F.col("src").alias("node")).distinct()
+    s = table(spark, d, "supplier").filter("s_nationkey < 3")
+    targets = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"), F.col("s_acctbal").alias("kv"))
+    targets = targets.join(nodes, "node", "left_semi")
+    return G.classify(nodes, G.nearest_target(graph, targets))
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH_SQL},
+    r AS (SELECT src AS node, src AS reach FROM g UNION SELECT r.node, g.dst FROM r JOIN g ON g.src = r.reach)
+    SELECT node, min(reach) AS comp FROM r GROUP BY 1"""
+)
+def connected_components(spark, d):
+    return G.connected_components(stand_in_graph(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH_SQL},
+    r AS (SELECT src AS node, src AS reach FROM g UNION SELECT r.node, g.dst FROM r JOIN g ON g.src = r.reach),
+    c AS (SELECT node, min(reach) AS comp FROM r GROUP BY 1), s AS (SELECT comp, count(*) AS size FROM c GROUP BY 1)
+    SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) AS rank,
+    CASE WHEN row_number() OVER (ORDER BY size DESC, comp) > 1 THEN 'isla_' || CAST(row_number() OVER (ORDER BY size DESC, comp) - 1 AS VARCHAR) END AS isla FROM s"""
+)
+def islands(spark, d):
+    out = G.islands(G.connected_components(stand_in_graph(spark, d)))
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    """WITH l AS (SELECT l_suppkey AS i, l_partkey AS j, l_quantity AS q, l_linenumber AS n FROM lineitem),
+    lines AS (SELECT i AS b FROM l WHERE q > 49 UNION SELECT j FROM l WHERE q > 49),
+    comp AS (SELECT i AS b FROM l WHERE q BETWEEN 46 AND 48 UNION SELECT j FROM l WHERE q BETWEEN 46 AND 48),
+    tr AS (SELECT i AS b FROM l WHERE q < 4 UNION SELECT j FROM l WHERE q < 4)
+    SELECT p_partkey AS bus_id, CASE WHEN p_partkey IN (SELECT b FROM comp) THEN 'compensador' WHEN p_partkey IN (SELECT b FROM tr) THEN 'solo_trafo'
+    ELSE 'bus_aislado' END AS kind FROM part WHERE p_partkey NOT IN (SELECT b FROM lines)"""
+)
+def isolated_nodes(spark, d):
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("bus_i"), F.col("l_partkey").alias("bus_j"), F.col("l_quantity").alias("q"))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("bus_id"))
+    return G.isolated(nodes, edges.filter("q > 49"), edges.filter("q BETWEEN 46 AND 48"), edges.filter("q < 4"))
+
+
+NODES_SQL = "nodes AS (SELECT s_suppkey AS b FROM supplier WHERE s_nationkey < 20 UNION SELECT p_partkey FROM part WHERE p_size > 5)"
+CHECKED_SQL = f"""{NODES_SQL}, l AS (SELECT *, concat_ws('-', CAST(bus_i AS VARCHAR), CAST(bus_j AS VARCHAR), ckt) AS line_key,
+  bus_i IN (SELECT b FROM nodes) AS vi, bus_j IN (SELECT b FROM nodes) AS vj,
+  CASE WHEN x_pu < 0 THEN 'series_compensator' ELSE 'line' END AS element_type FROM {LINES_SQL})"""
+
+
+def checked_lines(spark, d) -> tuple[DataFrame, DataFrame]:
+    key = F.concat_ws("-", F.col("bus_i").cast("string"), F.col("bus_j").cast("string"), "ckt")
+    lines = stand_in_lines(spark, d).withColumns({"line_key": key, "element_type": S.element_type(F.col("x_pu")), "ratea_mva": S.defined_rating(F.col("ratea_mva"))})
+    s = table(spark, d, "supplier").filter("s_nationkey < 20").select(F.col("s_suppkey").alias("bus_id"))
+    p = table(spark, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("bus_id"))
+    return lines, s.unionByName(p).distinct()
+
+
+ORPHANS_SQL = """SELECT 'linea_huerfana' AS tipo, line_key AS elemento, 'buses ausentes: ' || concat_ws(', ',
+  CASE WHEN NOT vi THEN 'bus_i=' || CAST(bus_i AS VARCHAR) END, CASE WHEN NOT vj THEN 'bus_j=' || CAST(bus_j AS VARCHAR) END) AS detalle
+  FROM l WHERE NOT (vi AND vj)"""
+ZERO_SQL = "SELECT 'impedancia_cero' AS tipo, line_key AS elemento, 'r_pu=0 y x_pu=0' AS detalle FROM l WHERE vi AND vj AND r_pu = 0 AND x_pu = 0 AND element_type != 'series_compensator'"
+RATING_SQL = "SELECT 'sin_rating' AS tipo, line_key AS elemento, 'ratea_mva = NaN' AS detalle FROM l WHERE vi AND vj AND ratea_mva = 0"
+
+
+@query(f"WITH {CHECKED_SQL} {ORPHANS_SQL}")
+def orphans(spark, d):
+    return C.orphans(*checked_lines(spark, d), "linea_huerfana", "line_key")
+
+
+@query(f"WITH {CHECKED_SQL} {ZERO_SQL}")
+def zero_impedance(spark, d):
+    return C.zero_impedance(O.with_both_ends(*checked_lines(spark, d)))
+
+
+@query(f"WITH {CHECKED_SQL} {RATING_SQL}")
+def no_rating(spark, d):
+    return C.no_rating(O.with_both_ends(*checked_lines(spark, d)))
+
+
+@query(f"WITH {CHECKED_SQL} {ORPHANS_SQL} UNION ALL {ZERO_SQL} UNION ALL {RATING_SQL}")
+def topology_report(spark, d):
+    lines, nodes = checked_lines(spark, d)
+    valid = O.with_both_ends(lines, nodes)
+    return C.report(C.orphans(lines, nodes, "linea_huerfana", "line_key"), C.zero_impedance(valid), C.no_rating(valid))
+
+
+@query(f"SELECT bus_i, bus_j, count(*) AS circuits FROM {LINES_SQL} GROUP BY 1, 2 HAVING count(*) > 1")
+def parallel_pairs(spark, d):
+    return O.parallel_pairs(stand_in_lines(spark, d))
+
+
+BALANCE_SQL = """b AS (SELECT s_suppkey AS bus_id, s_name AS bus_name FROM supplier),
+u AS (SELECT l_suppkey AS bus_id, CAST(l_quantity AS DOUBLE) AS pg, l_linenumber % 2 AS stat, l_extendedprice / 5 AS pt FROM lineitem),
+gen AS (SELECT bus_id, sum(pg) AS pg_mw, count(*) AS n_gen FROM u WHERE stat = 1 AND pt < 9990 GROUP BY 1),
+load AS (SELECT o_custkey AS bus_id, sum(CAST(o_orderkey % 100 AS DOUBLE)) AS pl_mw, count(*) AS n_load FROM orders GROUP BY 1),
+bal AS (SELECT b.*, coalesce(pg_mw, 0) AS pg_mw, coalesce(n_gen, 0) AS n_gen, coalesce(pl_mw, 0) AS pl_mw, coalesce(n_load, 0) AS n_load,
+  coalesce(pg_mw, 0) - coalesce(pl_mw, 0) AS balance_mw FROM b LEFT JOIN gen USING (bus_id) LEFT JOIN load USING (bus_id))"""
+
+
+def balance(spark, d) -> DataFrame:
+    buses = table(spark, d, "supplier").select(F.col("s_suppkey").alias("bus_id"), F.col("s_name").alias("bus_name"))
+    units = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("bus_id"), F.col("l_quantity").cast("double").alias("pg_mw"), (F.col("l_linenumber") % 2).alias("stat"),
+        (F.col("l_extendedprice") / 5).alias("pt_mw"),
+    )
+    loads = table(spark, d, "orders").select(F.col("o_custkey").alias("bus_id"), (F.col("o_orderkey") % 100).cast("double").alias("pl_mw"))
+    return C.node_balance(buses, C.active_units(units), loads)
+
+
+@query(f"WITH {BALANCE_SQL} SELECT * FROM bal")
+def node_balance(spark, d):
+    return balance(spark, d)
+
+
+@query(f"""WITH {BALANCE_SQL} SELECT count(*) FILTER (n_gen > 0 AND n_load = 0) AS gen_only, count(*) FILTER (n_gen = 0 AND n_load > 0) AS load_only,
+  count(*) FILTER (n_gen > 0 AND n_load > 0) AS both, count(*) FILTER (n_gen = 0 AND n_load = 0) AS none FROM bal""")
+def balance_presence(spark, d):
+    return C.presence(balance(spark, d))
+
+
+@query(f"WITH {BALANCE_SQL} SELECT bus_id, balance_mw FROM bal ORDER BY balance_mw DESC, bus_id LIMIT 10")
+def top_nodes(spark, d):
+    return C.extreme(balance(spark, d), "balance_mw").select("bus_id", "balance_mw")
+
+
+@query(f"WITH {BALANCE_SQL} SELECT bus_id, balance_mw FROM bal ORDER BY balance_mw, bus_id LIMIT 10")
+def bottom_nodes(spark, d):
+    return C.extreme(balance(spark, d), "balance_mw", largest=False).select("bus_id", "balance_mw")
+
+
+@query(
+    """SELECT p_brand AS carrier, count(*) AS units, sum(p_size) AS mw, sum(p_size) FILTER (p_partkey % 2 = 0) AS mw_matched,
+    round(100.0 * count(*) FILTER (p_partkey % 2 = 0) / count(*), 2) AS pct_matched, min(p_name) AS first_name FROM part GROUP BY 1"""
+)
+def group_summary(spark, d):
+    matched = F.col("p_partkey") % 2 == 0
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("carrier")).agg(
+        F.count(F.lit(1)).alias("units"),
+        F.sum("p_size").alias("mw"),
+        F.sum(F.when(matched, F.col("p_size"))).alias("mw_matched"),
+        F.round(100.0 * F.count_if(matched) / F.count(F.lit(1)), 2).alias("pct_matched"),
+        F.min("p_name").alias("first_name"),
+    )
+
+
+ORACLE_SQL["group_summary"] = ORACLE_SQL["group_summary"].replace("sum(p_size)", "CAST(sum(p_size) AS BIGINT)").replace(
+    "CAST(sum(p_size) AS BIGINT) FILTER (p_partkey % 2 = 0)", "CAST(sum(p_size) FILTER (p_partkey % 2 = 0) AS BIGINT)"
+)
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN abs(s_acctbal * 3) < 9990 THEN abs(s_acctbal * 3) ELSE 0.0 END AS capacity,
+    s_acctbal * 3 < 9000 AS counted FROM supplier"""
+)
+def capacity_clip(spark, d):
+    mw = F.col("s_acctbal") * 3
+    return table(spark, d, "supplier").select("s_suppkey", S.clipped_capacity(mw).alias("capacity"), (mw < Study().fictitious_total_mw).alias("counted"))
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 9 = 0 THEN 'n/a' ELSE CAST(p_size * 12 AS VARCHAR) END AS DOUBLE) AS kv FROM part)
+    SELECT p_partkey, CASE WHEN kv IS NULL THEN 'unknown' WHEN kv >= 500 THEN '500 kV' WHEN kv >= 345 THEN '345 kV' WHEN kv >= 330 THEN '330 kV'
+    WHEN kv >= 220 THEN '220 kV' WHEN kv >= 132 THEN '132 kV' WHEN kv >= 110 THEN '110 kV' WHEN kv >= 66 THEN '66 kV' WHEN kv >= 35 THEN '35 kV'
+    ELSE '<35 kV' END AS class FROM r"""
+)
+def voltage_class(spark, d):
+    text = F.when(F.col("p_partkey") % 9 == 0, "n/a").otherwise((F.col("p_size") * 12).cast("string"))
+    return table(spark, d, "part").select("p_partkey", S.voltage_class(text.try_cast("double")).alias("class"))
+
+
+@query(
+    """SELECT DISTINCT l_suppkey AS bus_i, l_partkey AS bus_j, greatest(s_acctbal, p_retailprice) AS voltage FROM lineitem
+    LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey < 10 LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25
+    WHERE l_quantity >= 45"""
+)
+def endpoint_voltage(spark, d):
+    edges = table(spark, d, "lineitem").filter("l_quantity >= 45").select(F.col("l_suppkey").alias("bus_i"), F.col("l_partkey").alias("bus_j")).distinct()
+    s = table(spark, d, "supplier").filter("s_nationkey < 10").select(F.col("s_suppkey").alias("bus_i"), F.col("s_acctbal").alias("a"))
+    p = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("bus_j"), F.col("p_retailprice").alias("b"))
+    return edges.join(s, "bus_i", "left").join(p, "bus_j", "left").select("bus_i", "bus_j", F.greatest("a", "b").alias("voltage"))
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 != 0 THEN s_nationkey / 4.0 END AS lon, s_suppkey / 8.0 AS lat FROM supplier)
+    SELECT s_suppkey, CASE WHEN lon IS NOT NULL THEN printf('POINT (%.6f %.6f)', CAST(lon AS DOUBLE), CAST(lat AS DOUBLE)) END AS point,
+    CASE WHEN s_suppkey % 3 = 0 THEN printf('LINESTRING (%.6f %.6f, 0.000000 1.000000)', CAST(s_suppkey AS DOUBLE), 2.0::DOUBLE)
+      WHEN lon IS NOT NULL THEN printf('LINESTRING (%.6f %.6f, 0.500000 0.250000)', CAST(lon AS DOUBLE), CAST(lat AS DOUBLE)) END AS line FROM r"""
+)
+def wkt_points_lines(spark, d):
+    """Points, parsed lines and straight lines where the text is no line."""
+    key = F.col("s_suppkey")
+    lon = F.when(key % 5 != 0, (F.col("s_nationkey") / 4.0).cast("double"))
+    lat = (key / 8.0).cast("double")
+    given = F.when(key % 3 == 0, F.format_string("LINESTRING (%.6f %.6f, 0.000000 1.000000)", key.cast("double"), F.lit(2.0))).otherwise("LINESTRING (broken")
+    straight = Y.segment_wkt(lon, lat, F.lit(0.5), F.lit(0.25))
+    return table(spark, d, "supplier").select("s_suppkey", Y.point_wkt(lon, lat).alias("point"), F.coalesce(Y.valid_line(given), straight).alias("line"))
+
+
+@query("SELECT s_suppkey, s_acctbal AS px, CAST(s_nationkey AS DOUBLE) AS py FROM supplier")
+def coordinate_choice(spark, d):
+    from gridlake.sources.tables import coordinate_columns, without_index
+
+    s = table(spark, d, "supplier")
+    df = without_index(s.select("s_suppkey", F.when(F.col("s_suppkey") > 1, 1.0).alias("x"), F.lit(1.0).alias("y"), F.col("s_acctbal").alias("lon"), F.col("s_nationkey").cast("double").alias("lat")))
+    x, y = coordinate_columns(df)
+    return df.select("s_suppkey", F.col(x).alias("px"), F.col(y).alias("py"))
+
+
+@query(
+    """WITH a AS (SELECT l_returnflag || l_linestatus AS k, count(*) AS n, sum(CAST(l_quantity AS DOUBLE)) AS km FROM lineitem WHERE l_linenumber < 5 AND l_returnflag != 'A' GROUP BY 1),
+    b AS (SELECT l_returnflag || l_linestatus AS k, count(*) AS n, sum(CAST(l_quantity AS DOUBLE)) AS km FROM lineitem WHERE l_linenumber > 2 AND l_returnflag != 'N' GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS class, coalesce(a.n, 0) AS n_official, coalesce(a.km, 0) AS km_official, coalesce(b.n, 0) AS n_model, coalesce(b.km, 0) AS km_model,
+    CASE WHEN coalesce(a.n, 0) != 0 THEN round(100.0 * coalesce(b.n, 0) / a.n, 2) END AS n_pct,
+    CASE WHEN coalesce(a.km, 0) != 0 THEN round(100.0 * coalesce(b.km, 0) / a.km, 2) END AS km_pct FROM a FULL JOIN b ON a.k = b.k"""
+)
+def coverage_audit(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("class"), F.col("l_quantity").cast("double").alias("km"), "l_linenumber", "l_returnflag"
+    )
+    return C.coverage(rows.filter("l_linenumber < 5 AND l_returnflag != 'A'"), rows.filter("l_linenumber > 2 AND l_returnflag != 'N'"), "class")
+
+
+@query(
+    """SELECT count(*) AS buses, count(DISTINCT s_nationkey) AS areas, round(sum(s_acctbal), 2) AS total_kv,
+    (SELECT count(*) FROM lineitem) AS branches, (SELECT CAST(sum(l_quantity) AS DOUBLE) FROM lineitem) AS total_mw FROM supplier"""
+)
+def summary_kpis(spark, d):
+    s = table(spark, d, "supplier").agg(
+        F.count(F.lit(1)).alias("buses"), F.count_distinct("s_nationkey").alias("areas"), F.round(F.sum("s_acctbal"), 2).alias("total_kv")
+    )
+    b = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("branches"), F.sum("l_quantity").cast("double").alias("total_mw"))
+    one = F.lit(1).alias("one")
+    return s.select("*", one).join(b.select("*", one), "one").drop("one")

@@ -1,0 +1 @@
+"""The engine has no streaming operators: its studies are batches over whole cases."""
