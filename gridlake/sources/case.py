@@ -134,7 +134,7 @@ def parsed(texts: DataFrame, column: str, section: str, keep: tuple[str, ...] =
 
 def case_texts(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    return files.select("path", F.decode("content", "ISO-8859-1").alias("text"))
 
 
 def read_case(spark: SparkSession, path: str, section: str) -> DataFrame:
