@@ -221,7 +221,9 @@ def near_dedup(
     reps = sigs.join(classes, [*sets]).filter("doc_id = rep").select(F.col("rep").cast("long").alias("id"), "n", "sig")
     reps = materialize(reps, "reps")
     match, pairs = collide(least, percent)
-    clusters = materialize(link(postings(reps, coords - least + 1), match, pairs), "clusters")
+    posted = postings(reps, coords - least + 1)
+    # signatures are small and quick to compare, so lists of up to 4096 are counted whole
+    clusters = materialize(link(posted, match, pairs, block=4096), "clusters")
     if clusters.isEmpty():
         label = clusters
     else:
