@@ -232,7 +232,7 @@ def unique_suffix(spark, d):
 
 
 @query(
-    """WITH own AS (SELECT s_suppkey AS bus_id, s_acctbal / 100 AS lat, s_nationkey * 2.0 AS lon FROM supplier)
+    """WITH own AS (SELECT s_suppkey AS bus_id, s_acctbal / 100 AS lat, CAST(s_nationkey * 2 AS DOUBLE) AS lon FROM supplier)
     SELECT bus_id, '500kV' AS bus_type, CAST(NULL AS BIGINT) AS parent_bus_id, lat, lon FROM own
     UNION ALL SELECT c_custkey + 1000000, 'secundario', c_custkey % 120, lat, lon FROM customer LEFT JOIN own ON bus_id = c_custkey % 120"""
 )
