@@ -108,6 +108,26 @@ def test_network(spark, case):
     assert network(spark, case, Study(keep_out_of_service=False))["lines"].count() == 1
 
 
+def test_units(spark, case):
+    from gridlake.plans import units as U
+
+    n = network(spark, case)
+    model = n["buses"].select("bus_id")
+    gens = U.generators(spark, case, model).collect()
+    assert [(g.gen_key, g.carrier, g.match_type, g.dest, g.hops, g.camino) for g in gens] == [("10-1", "hydro", "bfs", 1, 1, "LOW 1 -> NORTH, A")]
+    rows = U.loads(spark, case, model)
+    assert [(r.load_key, r.dest, r.hops) for r in rows.collect()] == [("12-1", 2, 1)]
+    assert U.load_check(rows).first().loads == 1
+    plants = spark.createDataFrame([("LOW 1", "Plant", "HI", -30.0, -60.0)], "plant_code string, plant_name string, plant_type string, lat double, lon double")
+    ready = U.with_plants(U.generators(spark, case, model), plants)
+    r = ready.first()
+    assert r.ready and r.plant_name == "Plant" and r.falta is None
+    assert U.point_layer(ready).first().geometry == "POINT (-60.000000 -30.000000)"
+    balance = {b.bus_id: b.balance_mw for b in U.nodal_balance(model, U.generators(spark, case, model), rows).collect()}
+    assert balance == {1: 50.0, 2: -30.5, 5: 0.0}
+    assert U.capacity_by_carrier(ready).first().mw == 60.0
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "POINT (1.5 -2)"), ("b", 2, "LINESTRING (0 0, 1 1)"), ("c", 3, "")], "name string, n int, geometry string")
     path = str(tmp_path / "x.gpkg")
