@@ -177,8 +177,8 @@ class Mix:
     def __init__(self, plan: DataFrame, picks: DataFrame, sources: list[tuple], seed: int, key: Callable):
         self.plan, self.picks, self.sources, self.seed, self.key = plan, picks, sources, seed, key
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """``docs`` with ``repeats``: how often each document is taken."""
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", out: str = "repeats") -> DataFrame:
+        """``docs`` with ``out``: how often each document is taken."""
         keyed = docs.withColumn("_pattern", self.key(docs)).join(F.broadcast(self.plan), "_pattern", "left")
         slot = slot_of(self.seed, F.col(id_col), F.col("_slots"))
         small = self.picks.count() <= 200_000
@@ -187,7 +187,7 @@ class Mix:
         keyed = keyed.withColumn("_slot", slot).join(picks.withColumn("_picked", F.lit(1)), picked, "left")
         extra = F.when(F.col("_slot") < F.col("_cross"), 1).when(F.col("_picked") == 1, 1).otherwise(0)
         repeats = F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("int")
-        return keyed.withColumn("repeats", repeats).drop(
+        return keyed.withColumn(out, repeats).drop(
             *("_pattern", "_whole", "_rest", "_slots", "_cross", "_budget", "_slot"),
             *("_pick", "_pick_pattern", "_picked"),
         )
@@ -325,5 +325,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     sized = materialize(with_sizes(docs.select("doc_id", "source", "text")), "sizes")
     mix = plan_mix(sized)
-    rows = mix.apply(docs).filter("repeats > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*columns)
+    rows = mix.apply(docs, out="_repeats").filter("_repeats > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*columns)
