@@ -678,3 +678,18 @@ def summary_kpis(spark, d):
     b = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("branches"), F.sum("l_quantity").cast("double").alias("total_mw"))
     one = F.lit(1).alias("one")
     return s.select("*", one).join(b.select("*", one), "one").drop("one")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey, c_nationkey % 4 AS class, c_custkey % 60 - 30.0::DOUBLE AS a, c_custkey % 90 - 45.0::DOUBLE AS b,
+      s_suppkey % 50 - 25.0::DOUBLE AS c, s_suppkey % 80 - 40.0::DOUBLE AS d FROM customer JOIN supplier ON s_suppkey = c_custkey % 100),
+    h AS (SELECT class, 12742.0::DOUBLE * asin(sqrt(pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))) AS km FROM p)
+    SELECT class, count(*) AS n, round(median(km), 4) AS median_km FROM h GROUP BY 1"""
+)
+def endpoint_distance(spark, d):
+    """Median distance of line ends to their station by class."""
+    key, station = F.col("c_custkey"), F.col("s_suppkey")
+    ends = table(spark, d, "customer").join(table(spark, d, "supplier"), station == key % 100)
+    place = [(x % m - h).cast("double") for x, m, h in ((key, 60, 30), (key, 90, 45), (station, 50, 25), (station, 80, 40))]
+    rows = ends.select((F.col("c_nationkey") % 4).alias("class"), S.haversine_km(*place).alias("km"))
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("km"), 4).alias("median_km"))
