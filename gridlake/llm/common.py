@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,31 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
+
+
+def arrow_map(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in bounded memory.
+
+    The session's Arrow batches are lowered to ``ARROW_ROWS`` rows and ``ARROW_BYTES`` where they are
+    larger, and each task hands the memory it freed back to the system, as workers are used again.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        held = int(re.sub(r"\D", "", conf.get(f"spark.sql.execution.arrow.{key}")))
+        if not 0 < held <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

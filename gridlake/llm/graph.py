@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 
 
 def local_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +81,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = 1_00
     At most ``one_task`` links (16 MB) are joined in one task.  Nulls and self links are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u != v")
-    e = materialize(e.mapInArrow(_forest, "u long, v long"), "links")
+    e = materialize(arrow_map(e, _forest, "u long, v long"), "links")
     if e.count() <= one_task:
-        e = materialize(e.coalesce(1).mapInArrow(_forest, "u long, v long"), "stars")
+        e = materialize(arrow_map(e.coalesce(1), _forest, "u long, v long"), "stars")
     else:
         e = _rounds(e.distinct())
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read
+from .common import arrow_map, read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -303,7 +303,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return pages.select(id_col, url_col, html_col).mapInArrow(
+    return arrow_map(pages.select(id_col, url_col, html_col),
         work, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long"
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import arrow_map, materialize, partitions
 from .graph import connected
 
 #: match(n of A, payloads of A, n of B, payloads of B) -> boolean matrix
@@ -116,7 +116,7 @@ def _cold(items: DataFrame, match: Matcher, pairs: Callable | None) -> DataFrame
                     [pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"]
                 )
 
-    return _sorted(items, "gid").select("gid", "id", "n", "payload").mapInArrow(work, "a long, b long")
+    return arrow_map(_sorted(items, "gid").select("gid", "id", "n", "payload"), work, "a long, b long")
 
 
 def pairs_of(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def _blocks(level: DataFrame, match: Matcher) -> DataFrame:
                 yield batch
 
     rows = _sorted(level, "gid", "blk").select("gid", "blk", "id", "n", "payload")
-    return rows.mapInArrow(work, "gid long, blk long, id long, root long, n long, payload binary")
+    return arrow_map(rows, work, "gid long, blk long, id long, root long, n long, payload binary")
 
 
 def _rest(rows: DataFrame, match: Matcher) -> DataFrame:
@@ -191,7 +191,7 @@ def _rest(rows: DataFrame, match: Matcher) -> DataFrame:
                 )
 
     rows = _sorted(rows, "gid", "blk").select("gid", "blk", "id", "n", "comp", "rest", "payload")
-    return rows.mapInArrow(work, "a long, b long")
+    return arrow_map(rows, work, "a long, b long")
 
 
 def link(items: DataFrame, match: Matcher, pairs: Callable | None = None, block: int = 256, block_mb: int = 64) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, read
+from .common import arrow_map, materialize, read
 from .words import IS_SPACE, buffers, groups
 
 SLOTS = 4096
@@ -63,7 +63,7 @@ def with_sizes(docs: DataFrame, text_col: str = "text", out: str = "size") -> Da
                 sizes[a:b] = word_counts(data[at[0] : at[-1]], at - at[0])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes)], [*names, out])
 
-    return docs.select(*names, text_col).mapInArrow(count, T.StructType([*rest, T.StructField(out, T.LongType())]))
+    return arrow_map(docs.select(*names, text_col), count, T.StructType([*rest, T.StructField(out, T.LongType())]))
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_has, bloom_hash, id_bloom, materialize, read
+from .common import arrow_map, bloom_has, bloom_hash, id_bloom, materialize, read
 from .linking import link
 from .words import column_words, distinct, mix, seeds, shingles
 
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, k: int, coords: int, id_col: str, text_col: str)
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, n long, hi long, lo long, sig binary")
+    return arrow_map(docs.select(id_col, text_col), work, f"doc_id {kind}, n long, hi long, lo long, sig binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -103,7 +103,7 @@ def postings(reps: DataFrame, prefix: int) -> DataFrame:
                     ["gid", "id", "n", "payload"],
                 )
 
-    return reps.select("id", "n", "sig").mapInArrow(work, "gid long, id long, n long, payload binary")
+    return arrow_map(reps.select("id", "n", "sig"), work, "gid long, id long, n long, payload binary")
 
 
 def collide(least: int, percent: int):
@@ -201,7 +201,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
                 )
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
-    return rows.select("id", text_col, bloom_hash("id").alias("h")).mapInArrow(work, "id long, n long, payload binary")
+    return arrow_map(rows.select("id", text_col, bloom_hash("id").alias("h")), work, "id long, n long, payload binary")
 
 
 def near_dedup(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, read
+from .common import arrow_map, partitions, read
 from .words import buffers, mix, seeds, shingles, word_hashes
 
 _U = np.uint64
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fingerprint", T.StringType())])
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return arrow_map(docs.select(id_col, text_col), work, schema)
 
 
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,7 +208,7 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = in_id_order(docs, id_col, text_col)
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string"
-    return rows.mapInArrow(work, f"{kinds}, near_edited double, near_next double")
+    return arrow_map(rows, work, f"{kinds}, near_edited double, near_next double")
 
 
 def op3_order_minhash(spark, sf_dir: str) -> DataFrame:

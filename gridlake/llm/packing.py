@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import arrow_map, materialize, read
 
 WINDOW = 1024
 _encoders: dict[str, Callable[[str], list[int]]] = {}
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(
+    return arrow_map(docs.select(id_col, text_col),
         work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
 

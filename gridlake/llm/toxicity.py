@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from .common import materialize, read
+from .common import arrow_map, materialize, read
 
 INSULTS = """idiot moron imbecile stupid dumb fool loser scum trash garbage filth worthless pathetic disgusting vile
 disgrace clown coward pig vermin parasite creep freak lunatic retard bastard bitch asshole jerk dickhead whore slut
@@ -205,7 +205,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
             columns = [pa.array(part, pa.string())] + [pa.array([c[w] for w in part], pa.int64()) for c in (pos, neg)]
             yield pa.RecordBatch.from_arrays(columns, ["word", "pos", "neg"])
 
-    found = sample.select("text", "toxic").mapInArrow(work, "word string, pos long, neg long")
+    found = arrow_map(sample.select("text", "toxic"), work, "word string, pos long, neg long")
     return found.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -292,7 +292,7 @@ def features(docs: DataFrame, model: ToxicModel, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T.copy())], ["doc_id", "f0", "f1", "f2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"doc_id {kind}, f0 double, f1 double, f2 double")
+    return arrow_map(docs.select(id_col, text_col), work, f"doc_id {kind}, f0 double, f1 double, f2 double")
 
 
 def scored(docs: DataFrame, model: ToxicModel, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, model: ToxicModel, text_col: str = "text", out: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.probability(x))], [*names, out])
 
     rest = docs.select(*names)
-    return rest.mapInArrow(work, T_.StructType([*rest.schema.fields, T_.StructField(out, T_.DoubleType())]))
+    return arrow_map(rest, work, T_.StructType([*rest.schema.fields, T_.StructField(out, T_.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
