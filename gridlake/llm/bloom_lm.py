@@ -1,5 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
+The scores of ``op10_bloom_lm`` count every n-gram: see :mod:`bloom_shards`.  What follows is the form
+of bounded size that ``train`` and ``score`` build for a caller who names its bounds.
+
 The filter holds n-gram counts quantised to levels 1 + floor(log_b count): an n-gram of level q is
 entered with each number 1..q, and a lookup probes upwards until a probe fails, so counts come from
 repeated membership probes and errors only ever raise a count.  It is broadcast to the workers, so
@@ -320,7 +323,11 @@ def score(docs: DataFrame, model: BloomLM, counts: DataFrame, id_col: str = "doc
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Trains on the rows that aren't held out and scores all."""
+    """Trains on the rows that aren't held out and scores all: over all n-grams, or with ``how`` over classes of words."""
+    if not how:
+        from .bloom_shards import whole_lm_scores
+
+        return whole_lm_scores(docs, id_col, text_col)
     model, counts = train(docs.filter(~held_out(id_col)), text_col, **how)
     return score(docs, model, counts, id_col, text_col)
 

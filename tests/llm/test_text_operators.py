@@ -343,6 +343,46 @@ def test_lm(spark, known_words):
     assert B.lm_scores(docs(spark, [(7, "a b", "a")])).first().n_tokens == 3
 
 
+def test_lm_of_all_ngrams(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        pairs = [rnd.randrange(1500) for _ in range(25)]
+        rows.append((i, " ".join(f"w{k} V{k} of" for k in pairs) + f" once{i}", "a"))
+    rows += [(900, None, "a"), (901, "", "a"), (None, "w1 v1", "a"), (902, "never seen words", "a"), (900, None, "a")]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows}
+    tokens = [(i, [*(t or "").lower().split(), None]) for i, t, _ in rows]
+    words = Counter(w for i, ws in tokens if not held[i] for w in ws)
+    grams = Counter(p for i, ws in tokens if not held[i] for p in zip(["<s>", *ws[:-1]], ws))
+    sized = B.LogFrequencyBloom(1 << 12)
+    q = {c: float(sized.value[sized.level(np.array([c]))[0]]) for c in {0, *words.values(), *grams.values()}}
+    n, v = sum(words.values()), len(words)
+    mass = sum(q[c] + 1 for c in words.values()) + 1
+    total, kinds, sums = Counter(), Counter(), Counter()
+    for (h, _), c in grams.items():
+        total[h] += c
+        kinds[h] += 1
+        sums[h] += q[c]
+    assert len(total) > 3000  # far more contexts than 512
+    got = B.lm_scores(docs(spark, rows)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _, _ in rows)
+    by_id = {r.doc_id: r for r in got}
+    near = 0
+    for i, ws in tokens:
+        r, score = by_id[i], 0.0
+        for h, w in zip(["<s>", *ws[:-1]], ws):
+            share = total[h] / (total[h] + kinds[h]) if total[h] else 0.0
+            score += math.log10(share * q[grams[h, w]] / max(sums[h], 1) + (1 - share) * (q[words[w]] + 1) / mass)
+        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in ws)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(words[w] > 0 for w in ws), n)
+        assert abs(r.base_score - base) < 1e-6
+        assert abs(r.score - score) < 0.05 * abs(score)  # a false probe raises a count
+        near += abs(r.score - score) < 1e-2 * abs(score)
+    assert near > 0.8 * len(rows)
+    assert B.lm_scores(docs(spark, [])).count() == 0
+    assert B.lm_scores(docs(spark, [(7, "a b", "a")])).first().n_tokens == 3
+
+
 def test_lm_is_a_distribution(spark):
     rows = [(i, " ".join(random.Random(i).choices(["a", "b", "c", "d"], k=6)), "a") for i in range(60)]
     model, _ = B.train(docs(spark, rows), vocabulary=3, contexts=2)
