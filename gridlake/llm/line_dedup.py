@@ -216,9 +216,7 @@ def deletions(docs: DataFrame, least_line: int, least_words: int, id_col: str, t
     place = F.struct("pos", "words", "tail_words", *sides)
     late = shared.filter("doc > first").groupBy("h", "key", "first").agg(F.array_sort(F.collect_set(place)).alias("here"))
     late = materialize(late, "latelines")
-    # of a line that the earliest document repeats, no more places are sent than can matter for order
-    sent = F.slice("there", F.lit(1), F.size("here") + 64).alias("there")
-    links = late.join(early, "h").select("key", "first", "h", "here", sent)
+    links = late.join(early, "h").select("key", "first", "h", "here", "there")  # all places: any may be in a copied section
     n = partitions(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

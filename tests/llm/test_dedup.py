@@ -200,3 +200,12 @@ def test_patience():
     assert LD.patience({1: [0], 2: [1, 5], 3: [2]}, {1: [3], 2: [4], 3: [7]}) == [(0, 3), (1, 4), (2, 7)]
     assert LD.patience({1: [0], 2: [1]}, {2: [0], 1: [1]}) in ([(0, 1)], [(1, 0)])
     assert LD.rising([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
+
+
+def test_section_after_many_repeats_of_a_line(spark):
+    separator = "a separator line of seven words here"
+    lines = [x for i in range(200) for x in (f"unit{i} one two three four five", separator)]
+    copied = lines[360:381]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["an own opening line of the text", *copied, "an own closing line of the text"]))]
+    got = {r.doc_id: r.text for r in LD.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "an own opening line of the text\nan own closing line of the text"}
