@@ -12,6 +12,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +129,7 @@ You should have received a copy of the GNU General Public License along with thi
 MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
-#: Known licenses (id, entire text); :func:`license_scan` takes any such table.
+#: Known short licenses and statements (id, entire text), which the SQL has too; :func:`license_scan` takes any such table.
 KNOWN = (
     ("0BSD", ZERO_BSD),
     ("Apache-2.0 notice", APACHE_NOTICE),
@@ -156,8 +158,14 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(id, entire text) of the licenses that lie whole in ``license_texts``."""
+    found = sorted((Path(__file__).resolve().parent / "license_texts").glob("*.txt"))
+    return [(f"{path.stem} text", path.read_text("utf-8")) for path in found]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *full_texts()], "license_id string, text string")
 
 
 def license_scan(

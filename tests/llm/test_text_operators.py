@@ -212,6 +212,14 @@ def test_licenses(spark):
     assert LI.license_scan(docs(spark, []), LI.known_licenses(spark)).count() == 0
 
 
+def test_full_license_texts(spark):
+    texts = dict(LI.full_texts())
+    names = ["Apache-2.0", "CC0-1.0", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"]
+    rows = [(i, texts[f"{n} text"].upper().replace("\n", "\r\n  "), "a") for i, n in enumerate(names)]
+    got = {r.doc_id: r.license_id for r in LI.license_scan(docs(spark, rows), LI.known_licenses(spark)).collect()}
+    assert got == {i: f"{n} text" for i, n in enumerate(names)}
+
+
 # ---- toxicity
 
 
