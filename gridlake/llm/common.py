@@ -23,12 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; on a local master, a temporary one where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="gridlake-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -52,6 +54,14 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
 ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
 
 
+def hand_back() -> None:
+    """Gives the memory this process freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, work: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` in bounded memory.
 
@@ -66,14 +76,19 @@ def arrow_map(df: DataFrame, work: Callable, schema) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column in ``taken`` has it (case does not count)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -209,3 +209,83 @@ def test_section_after_many_repeats_of_a_line(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(["an own opening line of the text", *copied, "an own closing line of the text"]))]
     got = {r.doc_id: r.text for r in LD.line_dedup(docs(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "an own opening line of the text\nan own closing line of the text"}
+
+
+def brute_lines(rows, least=8):
+    """Texts after every line went that lies in a run of ``least`` words an earlier document holds, over all pairs."""
+
+    def full(text):
+        return [(i, tuple(re.findall(r"[^\x20\x09-\x0D]+", line))) for i, line in enumerate(text.split("\n")) if line.strip(LD.BLANK)]
+
+    out = []
+    for b, text in rows:
+        if b is None or not text:
+            out.append(text)
+            continue
+        mine, gone = full(text), set()
+        for a, other in rows:
+            if a is None or other is None or a >= b:
+                continue
+            theirs = full(other)
+            for i in range(len(mine)):
+                for j in range(len(theirs)):
+                    n = words = 0
+                    while i + n < len(mine) and j + n < len(theirs) and mine[i + n][1] == theirs[j + n][1]:
+                        words += len(mine[i + n][1])
+                        n += 1
+                        if words >= least:
+                            gone.update(range(i, i + n))
+        parts, keep = text.split("\n"), []
+        for i, part in enumerate(parts):
+            before = [k in gone for k, (x, _) in enumerate(mine) if x < i][-1:]
+            after = [k in gone for k, (x, _) in enumerate(mine) if x > i][:1]
+            own = [k in gone for k, (x, _) in enumerate(mine) if x == i]
+            drop = own[0] if own else bool(before + after) and all(before + after)
+            if not drop:
+                keep.append(part)
+        out.append("\n".join(keep))
+    return out
+
+
+@pytest.mark.parametrize("rare", [0, 2, 8, 1000])
+def test_lines_against_all_pairs(spark, monkeypatch, rare):
+    rnd = random.Random(rare)
+    lines = [" ".join(rnd.choices(WORDS[:30], k=rnd.choice([0, 1, 2, 3, 5, 8, 11]))) for _ in range(25)]
+    rows = []
+    for i in range(45):
+        text = rnd.choices(lines, k=rnd.randrange(0, 12))
+        if rows and rnd.random() < 0.5:
+            old = rnd.choice(rows)[1].split("\n")
+            a = rnd.randrange(len(old))
+            text += old[a : a + rnd.randrange(1, 9)] + rnd.choices(lines, k=2)
+        rows.append((rnd.choice([i, i, max(0, i - 1)]), "\n".join(text)))
+    rows += [(None, rows[3][1]), (70, None), (71, ""), (72, rows[5][1]), (72, rows[5][1])]
+    if rare == 2:
+        monkeypatch.setattr(LD, "BROADCAST_BYTES", 0)
+    got = sorted((str(r.doc_id), str(r.text)) for r in LD.line_dedup(docs(spark, rows), rare=rare).collect())
+    want = sorted((str(i), str(t)) for (i, _), t in zip(rows, brute_lines(rows), strict=True))
+    assert got == want
+
+
+def test_lines_of_many_partners(spark):
+    x, y = "five words of line x", "five words of line y"
+    own = "a line that only the third document has"
+    pair = [(2, f"{x}\n{y}"), (3, f"{own}\n{x}\n{y}")]
+    for more in ([], [(1, x)], [(0, f"{y}\n{x}"), (1, x)]):
+        got = {r.doc_id: r.text for r in LD.line_dedup(docs(spark, more + pair)).collect()}
+        assert got[3] == own and got[2] == f"{x}\n{y}"
+    p, separator, z = "passage of four words", "separator of four words", "zenith of four words"
+    for times in (0, 5, 20, 100):
+        rows = [(1, "\n".join([p, separator] * times + [p, z])), (2, f"lead\n{p}\n{z}")]
+        assert {r.doc_id: r.text for r in LD.line_dedup(docs(spark, rows)).collect()}[2] == "lead"
+    moved = [(1, f"{own}\nother words\n{x}\n{y}"), (2, f"{x}\n{y}\nmine\n{own}")]
+    assert {r.doc_id: r.text for r in LD.line_dedup(docs(spark, moved)).collect()}[2] == "mine"
+    long = "\n".join(f"line {i} of a very long text with words" for i in range(20_000))
+    rows = [(1, long), (2, f"{long}\nown end of this text"), (3, "\n".join(long.split("\n")[::-1]))]
+    assert {r.doc_id: r.text for r in LD.line_dedup(docs(spark, rows)).collect()} == {1: long, 2: "own end of this text", 3: ""}
+
+
+def test_line_columns_with_clashing_names(spark):
+    rows = docs(spark, [(1, A), (2, f"{A}\nmore")]).withColumnsRenamed({"size": "gone", "row": "_doc", "score": "n_lines"})
+    out = LD.deduped_lines(rows)
+    assert out.columns == rows.columns and {r.doc_id: r.text for r in out.collect()} == {1: A, 2: "more"}
