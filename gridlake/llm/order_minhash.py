@@ -17,13 +17,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, partitions, read
+from .common import arrow_map, hand_back, partitions, read
 from .words import buffers, mix, seeds, shingles, word_hashes
 
 _U = np.uint64
@@ -123,11 +122,11 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounds = sorted(set(found), reverse=True)
     rising = np.array(bounds[::-1], np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(id_: pd.Series) -> pd.Series:  # part 0 has the largest ids; nulls share the last part
-        known = id_.notna().to_numpy()
-        over = len(rising) - np.searchsorted(rising, id_.fillna(0).astype("int64"), side="right")
-        return pd.Series(np.where(known, over, len(rising)).astype(np.int32))
+    @F.arrow_udf("int")
+    def part_of(id_: pa.Array) -> pa.Array:  # part 0 has the largest ids; nulls share the last part
+        known = id_.is_valid().to_numpy(zero_copy_only=False)
+        over = len(rising) - np.searchsorted(rising, id_.fill_null(0).to_numpy(), side="right")
+        return pa.array(np.where(known, over, len(rising)).astype(np.int32))
 
     part = part_of(F.col("id"))
     heads = ids.withColumn("part", part).groupBy("part").agg(F.max("id").alias("id")).collect()
@@ -149,6 +148,23 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return dealt.sortWithinPartitions("borrowed", F.col("id").desc_nulls_last(), "text")
 
 
+def code_points(raw: bytes) -> np.ndarray:
+    """Byte offset at which each code point of a UTF-8 text starts."""
+    return np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+
+
+def settled(model: OrderMinHash, doc_id, raw: bytes, own: np.ndarray, raw_next: bytes, print_next: np.ndarray) -> tuple:
+    """The output row of a text, given its successor."""
+    at, at_next = code_points(raw), code_points(raw_next)
+    half = len(at) // 2
+    cut = at[len(at) - half] if half else len(raw)
+    cut_next = at_next[half] if half < len(at_next) else len(raw_next)
+    edited = b"".join((memoryview(raw)[:cut], memoryview(raw_next)[:cut_next]))
+    mine = model.of_text(edited)
+    digest = hashlib.sha256(edited).hexdigest()
+    return doc_id, len(at), digest, as_text(own), as_text(mine), likeness(own, mine), likeness(own, print_next)
+
+
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Fingerprints of every text and of its edited text, with both likenesses.
 
@@ -160,55 +176,27 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         held = None  # a row that waits for its successor
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            got = pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names
-            )
-            out.clear()
-            return got
-
-        def settle(row, text_next: str, print_next: np.ndarray) -> None:
-            doc_id, text, own = row
-            half = len(text) // 2
-            edited = text[: len(text) - half] + text_next[:half]
-            raw = edited.encode()
-            mine = model.of_text(raw)
-            out.append(
-                (
-                    doc_id,
-                    len(text),
-                    hashlib.sha256(raw).hexdigest(),
-                    as_text(own),
-                    as_text(mine),
-                    likeness(own, mine),
-                    likeness(own, print_next),
-                )
-            )
-
         first_borrowed = True
         for batch in batches:
-            for borrowed, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                text = text or ""
-                if borrowed and not first_borrowed:
+            out: list[tuple] = []
+            for borrowed, doc_id, text in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+                if borrowed.as_py() and not first_borrowed:
                     continue
-                print_ = model.of_text(text.encode())
+                raw = text.as_buffer() if text.is_valid else b""
+                print_ = model.of_text(raw)
                 if held is not None:
-                    settle(held, text, print_)
-                held = None if borrowed else (doc_id, text, print_)
-                first_borrowed = first_borrowed and not borrowed
-            if out:
-                yield flush()
-        if out:
-            yield flush()
+                    out.append(settled(model, *held, raw, print_))
+                held = None if borrowed.as_py() else (doc_id.as_py(), bytes(raw), print_)
+                first_borrowed = first_borrowed and not borrowed.as_py()
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            hand_back()
 
     rows = in_id_order(docs, id_col, text_col)
-    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string"
-    return arrow_map(rows, work, f"{kinds}, near_edited double, near_next double")
+    types = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string"
+    return arrow_map(rows, work, f"{types}, near_edited double, near_next double")
 
 
 def op3_order_minhash(spark, sf_dir: str) -> DataFrame:
