@@ -5,8 +5,10 @@ its composite text density is characters for each tag, adjusted by the share of
 density sum is the sum of its children's densities.  The node of the largest density sum holds the
 article; the smallest density on its path to the body is the threshold, and every other subtree
 that reaches the threshold gives its own node of the largest density sum.  A selected node inside an
-``article`` or ``main`` stands for all of it.  Navigation, footers, forms, notices, adverts,
-comments and the like are taken out before, by element, role, or class and id words.
+``article`` or ``main`` stands for all of it.  Navigation, footers, forms, notices, adverts, comments
+and the like are taken out before, by element, role, or class and id names.  Names that may belong to
+an article too (``legal``, ``related`` and the like) only count where the node is rich in links, or short and
+outside any article; a marked element that holds an article stays.
 
 Text is read block by block: character references are decoded, white space in a block becomes one
 space, blocks are trimmed and joined by a newline.  Nothing is capped.
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, read
 
+#: Comments, declarations, and tags: closing slash, name, attributes.  A quote opens a value only after an equals sign.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</[^a-zA-Z][^>]*>|</>
+    |<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+)>""",
+    re.S | re.X,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+""", re.S)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,50 +47,81 @@ BLOCK = frozenset(
     tbody td tfoot th thead title tr ul""".split()
 )
 DROPPED = frozenset(
-    """script style noscript template nav aside footer form button select textarea iframe svg math object embed audio
-    video canvas head title dialog menu noembed noframes xmp input""".split()
+    """script style noscript template button select textarea iframe svg math object embed audio video canvas head title
+    dialog menu noembed noframes xmp input""".split()
 )
+#: Elements that hold no article text, unless an article stands in them or a form is around a page's long text.
+ASIDE = frozenset("nav aside footer header form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Words of class and id names that mark what is not the article.
+#: Words of class and id names.  A name marks a node if all its parts are marks or frames: the first kind always, the
+#: second if the node is rich in links, or short and outside any article.
 MARKS = frozenset(
     """nav navbar navigation menu submenu breadcrumb breadcrumbs footer masthead sidebar aside ad ads advert adverts
-    advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup
-    modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist
-    disqus respond reply replies related recommended recommendations widget toolbar pagination pager copyright legal
-    disclaimer skip form""".split()
+    advertisement adsense sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription signup login
+    comment comments commentlist disqus pagination pager toolbar""".split()
 )
+HINTS = frozenset(
+    """promo promotion banner notice notices alert popup modal overlay search share sharing social respond response
+    responses reply replies related recommended recommendations widget copyright legal disclaimer skip form header""".split()
+)
+FRAMES = frozenset(
+    """site page main global box bar list listing section wrapper wrap container block area panel group inner outer top
+    bottom left right item items row col column links link buttons button icons posts post stories articles results unit
+    slot the footer""".split()
+)
+SHORT = 400  # characters
 KEPT = frozenset("html body article main".split())
 CLOSES_P = BLOCK - frozenset("br body html option optgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "sum", "mark", "holds")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, mark: str = ""):
+        self.tag, self.parent, self.items, self.mark = tag, parent, [], mark
+        self.holds = 0  # articles
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
+    got: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(raw):
+        quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+        got.setdefault(name.lower(), value[1:-1] if quoted else value)  # the first of a name counts
+    return got
 
 
-def unwanted(tag: str, raw: str, in_article: bool) -> bool:
+def marked(tag: str, raw: str, in_article: bool) -> str:
+    """"drop" for what is never text, "mark" and "hint" for what :func:`measure` decides on, else nothing."""
     if tag in KEPT:
-        return False
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return ""
+    if tag in DROPPED:
+        return "drop"
+    mark = "mark" if tag in ASIDE and not (tag == "header" and in_article) else ""
     if not raw or raw.isspace():
-        return False
+        return mark
     got = attributes(raw)
-    if "hidden" in got or got.get("role", "").lower() in ROLES or "display:none" in got.get("style", "").replace(" ", ""):
-        return True
-    if tag in ("b", "i", "em", "strong", "br", "img", "a") or tag[0] == "h" and tag[1:].isdigit():
-        return False
-    names = f"{got.get('class', '')} {got.get('id', '')}"
-    words = {w.lower() for w in PART.findall(names)}
-    return bool(words & MARKS) or (not in_article and "header" in words)
+    if "hidden" in got or got.get("role", "").lower() in ROLES or "display:none" in got.get("style", "").replace(" ", "").lower():
+        return "drop"
+    if mark or tag in ("b", "i", "em", "strong", "br", "img", "a") or tag[0] == "h" and tag[1:].isdigit():
+        return mark
+    for name in f"{got.get('class', '')} {got.get('id', '')}".split():
+        words = {w.lower() for w in PART.findall(name) if not w.isdigit()}
+        if words & MARKS and words <= MARKS | HINTS | FRAMES:
+            return "mark"
+        if words & HINTS and words <= HINTS | FRAMES:
+            mark = "hint, article" if in_article else "hint"
+    return mark
+
+
+def boilerplate(node: Node) -> bool:
+    """Whether a marked node is none of the article, by its counts."""
+    if node.mark == "mark":
+        page_form = node.tag == "form" and node.parent is not None and node.parent.parent is None
+        return not node.holds and not (page_form and node.chars >= 5 * SHORT and 3 * node.link_chars < node.chars)
+    rich = 3 * node.link_chars >= node.chars
+    return rich or node.mark == "hint" and node.chars < SHORT and not node.holds
 
 
 def parse(page: str) -> Node:
@@ -112,7 +147,7 @@ def parse(page: str) -> Node:
             break
         add(page[at : token.start()])
         at = token.end()
-        close, name, raw = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
+        close, name, raw = token.group(1, 2, 3)
         if not name:
             continue
         tag = name.lower()
@@ -135,7 +170,7 @@ def parse(page: str) -> Node:
             depth += tag == skip and not own_end
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if tag not in ("svg", "math") or not own_end:
                 at = end.end() if end else size
             open_.items.append(Node(tag, open_))
@@ -155,14 +190,15 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag in alike:
                 open_ = node.parent
-        if unwanted(tag, raw, inside > 0):
+        mark = marked(tag, raw, inside > 0)
+        if mark == "drop":
             if not own_end:
                 skip, depth = tag, 1
                 if tag == "p":  # its end tag may be left out
                     end = re.compile(r"</?(?:" + "|".join(sorted(CLOSES_P)) + r")\b", re.I).search(page, at)
                     skip, depth, at = "", 0, end.start() if end else size
             continue
-        node = Node(tag, open_)
+        node = Node(tag, open_, mark)
         open_.items.append(node)
         if not own_end:
             open_ = node
@@ -182,10 +218,14 @@ def measure(root: Node) -> list[Node]:
                 node.link_chars += x.link_chars
                 node.tags += x.tags + 1
                 node.link_tags += x.link_tags + (x.tag == "a")
+                node.holds += x.holds + (x.tag in ("article", "main"))
             else:
                 node.chars += sum(map(len, x.split()))
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.mark and boilerplate(node):
+            node.items = []
+            node.chars = node.link_chars = node.tags = node.link_tags = 0
     share = root.link_chars / max(root.chars, 1)
     for node in order:
         c, lc, t, lt = node.chars, node.link_chars, max(node.tags, 1), max(node.link_tags, 1)
@@ -230,30 +270,30 @@ def selected(root: Node) -> list[Node]:
         path.append(node.density)
         node = node.parent
     threshold = min(path)
-    chosen: list[Node] = [whole(best, root)]
+    chosen: list[Node] = []
+    picked: set[int] = set()
+    above: set[int] = set()  # nodes on the way to a chosen one
+
+    def choose(node: Node) -> None:
+        chosen.append(node)
+        picked.add(id(node))
+        while node is not None and id(node) not in above:
+            above.add(id(node))
+            node = node.parent
+
+    choose(whole(best, root))
     work = [root]
     while work:
         node = work.pop()
-        if node in chosen:
+        if id(node) in picked:
             continue
-        on_path = any(_within(c, node) for c in chosen)
-        if on_path:
-            work.extend(x for x in node.items if isinstance(x, Node))
-        elif node.chars and node.density >= threshold:
-            chosen.append(whole(largest(node), root))
+        if id(node) not in above and node.chars and node.density >= threshold:
+            choose(whole(largest(node), root))
         else:
             work.extend(x for x in node.items if isinstance(x, Node))
     return chosen
 
 
-def _within(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
 def blocks(root: Node, chosen: list[Node]) -> list[str]:
     """Blocks of the chosen subtrees in page order."""
     out: list[str] = []

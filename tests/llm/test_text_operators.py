@@ -432,3 +432,70 @@ def test_pipeline(spark, tmp_path):
     assert kept <= set(texts.index) and set(range(60)) <= kept and kept.isdisjoint(range(101, 110))
     assert set(after["mixing"].doc_id) <= kept
     assert C.run(spark, sf).count() > 0
+
+
+def test_html_attributes_and_names():
+    page = "<article><p>Cats can't fly.</p><p data-x=it's>Second.</p><p>Third.</p><p title='a>b' x=\"'>\">Don't stop.</p></article>"
+    assert H.main_text(page) == "Cats can't fly.\nSecond.\nThird.\nDon't stop."
+    ten = "".join(f"<p>Sentence {i} of this section says a few things about the methods.</p>" for i in range(10))
+    text = "\n".join(f"Sentence {i} of this section says a few things about the methods." for i in range(10))
+    for name in ("methods", "related-methods", "comments-on-methods", "legal-basis"):
+        assert H.main_text(f"<body><h1>Title</h1><section id='{name}'>{ten}</section></body>").endswith(text)
+    for name in ("legal", "alert", "share", "search-results", "plain"):
+        assert H.main_text(f"<article><p>First of all.</p><div class={name}>{ten}</div></article>") == f"First of all.\n{text}"
+    for name in ("ad", "site-footer", "cookie-banner", "comments", "comment-list", "nav_bar top", "newsletterSignup"):
+        assert H.main_text(f"<article>{ten}</article><div class='{name}'>{ten.replace('methods', 'prize')}</div>") == text
+        assert H.main_text(f"<body><div>{ten}</div><div class='{name}'><p>Short words here.</p></div></body>") == text
+    assert H.main_text(f"<article>{ten}<div class=share><a href=x>Share</a> <a href=y>Mail</a></div></article>") == text
+    assert H.main_text(f"<nav><a href=x>Home</a><a href=y>About<article>{ten}</article>") == text
+    assert H.main_text(f"<body><form id=aspnet><div>{ten * 4}</div></form></body>").count("Sentence") == 40
+
+
+def test_html_against_another_parser():
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.raw = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.out.append(data)
+
+    rnd = random.Random(7)
+    values = ["=x", "=it's", "=a\"b", "='x > y'", '="a\'b <p> c"', "", " = 'spaced' ", "=/path/", "=a=b", "='it'extra", "= x"]
+
+    def attributes():
+        return "".join(f" {rnd.choice(['data-a', 'title', 'lang', 'X', '@click', 'class'])}{rnd.choice(values)}" for _ in range(rnd.randrange(4)))
+
+    def text():
+        words = rnd.choices(["can't", "a &lt; b", "&amp;", "x&nbsp;y", 'say "yes"', "5 < 6", "caf&eacute;", "&#8212;", "plain", "words", "&notit;"], k=rnd.randrange(1, 9))
+        return " ".join(words)
+
+    def tree(depth):
+        out = []
+        for _ in range(rnd.randrange(1, 5)):
+            tag = rnd.choice(["p", "div", "b", "i", "span", "section", "ul", "li", "h2", "table", "blockquote", "P", "a"])
+            kind = rnd.random()
+            if kind < 0.4 or not depth:
+                out.append(f" {text()} ")
+            elif kind < 0.5:
+                out.append(rnd.choice(["<!-- it's <p> --> ", "<br>", "<img alt='a>b'>", "<script>var a = '<p>' < \"</p>\";</script>", "<hr/>", "<style>p>a{}</style>"]))
+            else:
+                end = "" if rnd.random() < 0.2 and tag in ("p", "li") else f"</{tag}{rnd.choice(['', ' ', ' x=1'])}>"
+                out.append(f"<{tag}{attributes()}> {tree(depth - 1)} {end}")
+        return "".join(out)
+
+    for _ in range(300):
+        page = f"<article>{tree(4)}</article>"
+        other = Words()
+        other.feed(page)
+        other.close()
+        assert H.main_text(page).split() == "".join(other.out).split(), page
