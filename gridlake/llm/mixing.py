@@ -6,8 +6,8 @@ second, third, ... time costs more each time (convex repetition costs).  The flo
 words each pattern gives; whole repeats are taken from all its documents, and what is left is taken
 from documents in a seeded order.
 
-The order is never sorted globally: a document's seed hash puts it in one of at most 4096 slots of
-its pattern, slots below the crossing slot are taken whole, and the crossing slot is filled
+The order is never sorted globally: a document's seed hash puts it in one of about n / 1024 slots of
+its pattern (at most 2^20), slots below the crossing slot are taken whole, and the crossing slot is filled
 greedily (a document that no longer fits is passed over).  Only per-pattern figures reach the
 driver; ``max_patterns`` states that bound and more patterns raise an error.
 
@@ -23,17 +23,16 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_map, materialize, read
+from .common import arrow_map, materialize, read, unused
 from .words import IS_SPACE, buffers, groups
 
-SLOTS = 4096
+SLOTS = 1 << 20
 SLOT_DOCS = 1024
 
 
@@ -174,39 +173,48 @@ def split_components(members: list[tuple[int, ...]]) -> list[list[int]]:
 class Mix:
     """A planned mix.  ``apply`` gives every document its ``taken`` words; figures hold for each pattern and source."""
 
-    def __init__(self, plan: DataFrame, picks: DataFrame, sources: list[tuple], seed: int, key: Callable):
-        self.plan, self.picks, self.sources, self.seed, self.key = plan, picks, sources, seed, key
+    def __init__(self, plan: DataFrame, picks: DataFrame, sources: list[tuple], seed: int, sources_col: str):
+        self.plan, self.picks, self.sources, self.seed, self.sources_col = plan, picks, sources, seed, sources_col
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", out: str = "repeats") -> DataFrame:
         """``docs`` with ``out``: how often each document is taken."""
-        keyed = docs.withColumn("_pattern", self.key(docs)).join(F.broadcast(self.plan), "_pattern", "left")
-        slot = slot_of(self.seed, F.col(id_col), F.col("_slots"))
+        names = docs.columns
+        held = docs.toDF(*(f"c{i}" for i in range(len(names))))  # callers' names can't clash with the plan's
+        doc_id, source = (F.col(f"c{names.index(c)}") for c in (id_col, self.sources_col))
+        keyed = held.withColumn("_pattern", pattern_of(docs, self.sources_col, source))
+        keyed = keyed.join(F.broadcast(self.plan), "_pattern", "left")
+        slot = slot_of(self.seed, doc_id, F.col("_slots"))
         small = self.picks.count() <= 200_000
         picks = F.broadcast(self.picks) if small else self.picks
-        picked = F.col(id_col).eqNullSafe(F.col("_pick")) & (F.col("_pattern") == F.col("_pick_pattern"))
+        picked = doc_id.eqNullSafe(F.col("_pick")) & (F.col("_pattern") == F.col("_pick_pattern"))
         keyed = keyed.withColumn("_slot", slot).join(picks.withColumn("_picked", F.lit(1)), picked, "left")
         extra = F.when(F.col("_slot") < F.col("_cross"), 1).when(F.col("_picked") == 1, 1).otherwise(0)
         repeats = F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("int")
-        return keyed.withColumn(out, repeats).drop(
-            *("_pattern", "_whole", "_rest", "_slots", "_cross", "_budget", "_slot"),
-            *("_pick", "_pick_pattern", "_picked"),
-        )
+        return keyed.select(*held.columns, repeats.alias("_repeats")).toDF(*names, out)
+
+
+def pattern_of(docs: DataFrame, sources_col: str, source=None):
+    """The membership pattern of a row: its sources in order as JSON."""
+    source = F.col(sources_col) if source is None else source
+    array = isinstance(docs.schema[sources_col].dataType, T.ArrayType)
+    return F.to_json(F.array_sort(F.array_distinct(source)) if array else F.array(source))
 
 
 def slot_of(seed: int, doc_id, slots):
     return F.pmod(F.xxhash64(F.lit(seed), doc_id.cast("string")), slots.cast("long"))
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of a crossing slot that fit its budget, in seeded order."""
-    rows = rows.groupby(["id", "order"], as_index=False, dropna=False).agg({"size": "sum", "_budget": "first"})
-    rows = rows.sort_values(["order", "id"], kind="stable", na_position="last")
-    left, taken = float(rows["_budget"].iloc[0]), []
-    for size in rows["size"]:
+def _fill(rows: pa.Table) -> pa.Table:
+    """Documents of a crossing slot that fit its budget, in seeded order; repeated ids are taken or left together."""
+    rows = rows.group_by(["id", "order"]).aggregate([("size", "sum"), ("_budget", "min"), ("_pattern", "min")])
+    rows = rows.sort_by([("order", "ascending"), ("id", "ascending")])
+    left, taken = rows["_budget_min"][0].as_py(), []
+    for size in rows["size_sum"].to_pylist():
         fits = size <= left
         left -= size if fits else 0
         taken.append(fits)
-    return rows.loc[taken, ["id"]]
+    rows = rows.filter(pa.array(taken))
+    return pa.table([rows["id"], rows["_pattern_min"]], ["_pick", "_pick_pattern"])
 
 
 def plan_mix(
@@ -224,13 +232,7 @@ def plan_mix(
     Sources in order of code points, null last, get ``weights``, repeating, of ``share`` times all
     sizes; targets stop at ``most`` times their source's size, the excess reshared by weight.
     """
-    array = isinstance(sized.schema[sources_col].dataType, T.ArrayType)
-
-    def key(df: DataFrame):
-        each = F.array_sort(F.array_distinct(F.col(sources_col))) if array else F.array(F.col(sources_col))
-        return F.to_json(each)
-
-    rows = sized.select(F.col(id_col).alias("id"), "size", key(sized).alias("_pattern"))
+    rows = sized.select(F.col(id_col).alias("id"), "size", pattern_of(sized, sources_col).alias("_pattern"))
     by_pattern = rows.groupBy("_pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     listed = by_pattern.limit(max_patterns + 1).collect()
     if len(listed) > max_patterns:
@@ -264,7 +266,7 @@ def plan_mix(
     plan = spark.createDataFrame(plan_rows, "_pattern string, _whole long, _rest long, _slots int")
     placed = rows.join(F.broadcast(plan), "_pattern")  # at most max_patterns rows
     placed = placed.withColumn("_slot", slot_of(seed, F.col("id"), F.col("_slots")))
-    running = Window.partitionBy("_pattern").orderBy("_slot")  # at most SLOTS rows a pattern
+    running = Window.partitionBy("_pattern").orderBy("_slot")  # one row for about SLOT_DOCS documents
     sums = placed.filter("_rest > 0").groupBy("_pattern", "_slot", "_rest").agg(F.sum("size").alias("words"))
     crossing = (
         sums.withColumn("upto", F.sum("words").over(running))
@@ -284,15 +286,11 @@ def plan_mix(
     )
     kind = sized.schema[id_col].dataType
 
-    def fill(pattern: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _fill(pdf)
-        return pd.DataFrame({"_pick": got["id"], "_pick_pattern": pattern[0]})
-
-    picks = in_cross.groupBy("_pattern").applyInPandas(
-        fill, T.StructType([T.StructField("_pick", kind), T.StructField("_pick_pattern", T.StringType())])
+    picks = in_cross.groupBy("_pattern").applyInArrow(
+        _fill, T.StructType([T.StructField("_pick", kind), T.StructField("_pick_pattern", T.StringType())])
     )
     picks = materialize(picks, "mixpicks")
-    return Mix(full, picks, list(zip(names, sizes, wanted, strict=True)), seed, key)
+    return Mix(full, picks, list(zip(names, sizes, wanted, strict=True)), seed, sources_col)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", **how) -> DataFrame:
@@ -325,5 +323,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     sized = materialize(with_sizes(docs.select("doc_id", "source", "text")), "sizes")
     mix = plan_mix(sized)
-    rows = mix.apply(docs, out="_repeats").filter("_repeats > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*columns)
+    times = unused("repeats", columns)
+    rows = mix.apply(docs, out=times).filter(F.col(times) > 0)
+    copy = unused("copy", [*columns, times])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -116,6 +117,34 @@ def test_edit_probe(spark):
     assert all(plain[r.doc_id] == r.fingerprint for r in got if r.doc_id != 39)
 
 
+def test_large_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "one two three four", "a"), (2**53 + 3, "five six", "a"), (None, "seven", "a"), (2**53 + 5, "x y z", None)]
+    table = docs(spark, rows)
+    ids = sorted(str(i) for i, _, _ in rows)
+    assert sorted(str(r.doc_id) for r in P.pack(table).collect()) == ids
+    taken = M.mix_sources(table, share=0.7).collect()
+    assert sorted(str(r.doc_id) for r in taken) == ids and sum(r.taken for r in taken) >= 4
+    assert sorted(str(r.doc_id) for r in O.edit_probe(table).collect()) == ids
+
+
+def test_mixing_with_clashing_names(spark):
+    rows = corpus(60)
+    table = docs(spark, rows).withColumnsRenamed({"lang": "_repeats", "size": "_whole", "row": "_slots", "score": "copy"})
+    plain = sorted(r.doc_id for r in M.mixed_documents(docs(spark, rows)).collect())
+    out = M.mixed_documents(table)
+    assert out.columns == table.columns and sorted(r.doc_id for r in out.collect()) == plain
+
+
+def test_probe_of_very_long_text(spark):
+    long = " ".join(f"wörd{i % 5000}" for i in range(150_000))
+    rows = [(3, long, "a"), (2, "short text of few words", "a"), (1, f"{long} x", "a")]
+    got = {r.doc_id: r for r in O.edit_probe(docs(spark, rows)).collect()}
+    half = len(long) // 2
+    assert got[3].n_chars == len(long)
+    assert got[3].edited_sha256 == hashlib.sha256((long[: len(long) - half] + rows[1][1][:half]).encode()).hexdigest()
+    assert got[1].near_next > 0.9 > 0.2 > got[2].near_next
+
+
 def brute_order_minhash(model, words):
     grams = O.numbered(O.shingles(words, np.array([0, len(words)]), model.k)[0])
     with np.errstate(over="ignore"):
@@ -156,7 +185,6 @@ def test_packing(spark):
 
     rows = [*corpus(120, 3), (904, "<|endoftext|> it's  ½ 日本語 😀", "a"), (904, "<|endoftext|> it's  ½ 日本語 😀", "a"), (None, "q", "a")]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = P.pack(docs(spark, rows), shard=64).toPandas()
     got["doc_id"] = got["doc_id"].fillna(-1)
     for i, text, _ in rows:
@@ -238,6 +266,60 @@ def test_grammar():
     assert one.compose(two, ["a"]).run(["a", "a", "a"]) == [1.5, 2.25, 2.25]
 
 
+def brute_toxic(text, insults, threats):
+    """Sum of scores by the rules, word by word, without transducers."""
+    clauses = [re.findall(r"[^\W\d_]+", c) for c in re.split(r"[.!?;:\n]", text.lower())]
+    found = [(c, i) for c, words in enumerate(clauses) for i, w in enumerate(words) if w in insults]
+    total = 0.0
+    for c, words in enumerate(clauses):
+        for i, w in enumerate(words):
+            if w not in insults and w not in threats:
+                continue
+            before, after = words[:i], words[i + 1 :]
+            weight = {**insults, **threats}[w]
+            weight *= 0.25 if set(before[-3:]) & set(X.NEGATIONS) else 1
+            weight *= 0.5 if set(before) & set(X.REPORTS) else 1
+            left, right = set(before) & set(X.TARGETS), set(after) & set(X.TARGETS)
+            if w in threats:
+                weight *= 1 if right else 0.05
+            elif left or right or found != [(c, i)]:
+                weight *= (1.5 if left else 1) * (1.25 if right else 1)
+            else:
+                weight *= 0.05
+            total += weight
+    return total
+
+
+def test_grammar_against_rules():
+    insults, threats = {"blorg": 3.0, "fnord": 2.0}, {"zap": 2.5}
+    model = X.ToxicModel(insults, threats)
+    rnd = random.Random(3)
+    words = ["blorg", "fnord", "zap", "you", "them", "not", "never", "said", "a", "tree", "grows", "here", "slowly", "and", "well"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(rnd.randrange(14)))
+        assert abs(model.features(text)[0] - np.log1p(brute_toxic(text, insults, threats))) < 1e-9, text
+
+
+def test_single_words_are_not_toxic(spark):
+    rnd = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        words = rnd.choices(VOCABULARY, k=60)
+        if i % 5 == 0:
+            for j in rnd.sample(range(60), 4):
+                words[j] = rnd.choice(["idiot", "moron", "stupid", "scum", "pig", "dumb"])
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, 0, int(i % 5 == 0)))
+    model = X.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    p = lambda t: float(model.probability(np.array([model.features(t)]))[0])
+    for text in ("pigment studies", "dumbbell set", "the idiot box", "a moronic acid", "", None, "scum", "they kill time"):
+        assert p(text) < 0.5, text
+    assert p("you idiot, you stupid moron, you are scum and they know it") > 0.5
+    long = "a short clause here. " * 60_000 + "idiot. " * 20_000
+    start = time.time()
+    assert p(long) > 0 and time.time() - start < 20
+
+
 def test_learned_toxicity(spark):
     rnd = random.Random(1)
     rows, labels = [], []
