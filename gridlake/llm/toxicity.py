@@ -1,16 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as symbols: insult, threat, target, negation, report, other.  Three transducers are
-composed into one: negation damps an insult or threat up to three words after it, reported speech
-damps what follows it in the clause, and a target before or after strengthens it; a threat without a
-target counts for little.  A clause's score is the sum of its matches' lexical weights times the
-weights of the arcs they passed; words alone score nothing outside a clause match.
-
-Insult stems are learned: of a bounded sample of labelled training rows, prefixes of words that come
-with label 1 far more often than with label 0 enter the insult lexicon with their log odds, next to a
-fixed list of common insults.  A logistic layer over three document features (sum of clause scores,
-matched clauses, score for each word), fitted on the same sample, gives the score.  Labels, language,
-source and ids are never inputs of a score.
+A text with insults or threats is read as symbols: insult, threat, target, negation, report, other, and
+the end of a clause.  Transducers for each are composed: negation damps an insult or threat up to three
+words after it, reported speech damps what follows it in the clause, a target before an insult
+strengthens it, and an insult matches on its left if a target stands before it in the clause or another
+insult anywhere before it in the text (a series).  What found no match on the left is read again from
+the right by a transducer that looks for a target in the clause or another insult; a threat matches
+only there, by the target that it has for its object.  A score is the sum of the matches' lexical
+weights times the weights of the arcs they passed; a word without a match keeps a twentieth of its weight.
+
+Fixed words match as whole words with common endings.  Insult stems are learned too: of a bounded sample
+of labelled training rows (``max_labelled``), prefixes of words that come with label 1 far more often
+than with label 0 enter the insult lexicon with their log odds, at most ``most`` of them, the most frequent first.
+A learned stem matches whole words, or all words that begin with it where it was learned from three or more
+different ones.  A logistic layer over three document features (sum of scores, matched clauses, score for
+each word, where a text counts 100 words more than it has), fitted on the same sample, gives the score.  Labels, language, source and ids are never
+inputs of a score.
 
 Defined results: null or empty texts have no clause and get the score of features 0; without usable
 labels the fixed lexicon and default weights serve; repeated rows are each answered; an empty table
@@ -19,6 +24,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from .common import arrow_map, materialize, read
+from .common import arrow_map, materialize, read, unused
 
 INSULTS = """idiot moron imbecile stupid dumb fool loser scum trash garbage filth worthless pathetic disgusting vile
 disgrace clown coward pig vermin parasite creep freak lunatic retard bastard bitch asshole jerk dickhead whore slut
@@ -53,10 +59,15 @@ REPORTS = """said says say wrote writes called calls quoted claimed claims repor
 sagte schrieb nannte dit écrit appelé dijo escribió llamó
 """.split()
 
+#: Endings of the fixed words.
+ENDINGS = frozenset(["", *"s es ed d ing er ers est ly ic o a os as e en em n t st te ten".split()])
+
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-I, H, T, N, R, O = "insult threat target negation report other".split()
-SYMBOLS = (I, H, T, N, R, O)
+I, H, T, N, R, O, E = "insult threat target negation report other end".split()
+LONE = "unmatched insult"
+SYMBOLS = (I, H, T, N, R, O, E)
+ALONE = math.log(0.05)  # log weight of an insult or threat without a match
 
 
 class Transducer:
@@ -79,29 +90,46 @@ class Transducer:
         return Transducer(arcs)
 
     def run(self, symbols: list[str]) -> list[float]:
-        state, out = 0, []
+        """The log weights of the arcs that are passed."""
+        return self.read(symbols)[1]
+
+    def read(self, symbols: list[str]) -> tuple[list[str], list[float]]:
+        """The output symbols and the log weights of the arcs."""
+        state, out, weights = 0, [], []
         for symbol in symbols:
-            state, _, w = self.arcs[state, symbol]
-            out.append(w)
-        return out
+            state, symbol, w = self.arcs[state, symbol]
+            out.append(symbol)
+            weights.append(w)
+        return out, weights
 
 
 def _grammar() -> tuple[Transducer, Transducer]:
-    """The grammar for a clause read forwards, and the target part for the clause read backwards."""
+    """The grammar for a text read forwards, and the one that reads its output backwards."""
     scope = 3
-    negation, report, target, back = {}, {}, {}, {}
+    negation, report, target, insult, back = {}, {}, {}, {}, {}
     for s in range(scope + 1):
         for x in SYMBOLS:
-            left = scope if x == N else max(s - 1, 0)
+            left = 0 if x == E else scope if x == N else max(s - 1, 0)
             negation[s, x] = (left, x, np.log(0.25) if x in (I, H) and s else 0.0)
     for s in (0, 1):
         for x in SYMBOLS:
-            report[s, x] = (1 if x == R else s, x, np.log(0.5) if x in (I, H) and s else 0.0)
-            aimed = 1 if x == T else s
-            weight = {I: np.log(1.5) if s else 0.0, H: 0.0 if s else np.log(0.25)}.get(x, 0.0)
-            target[s, x] = (aimed, x, weight)
-            back[s, x] = (aimed, x, {I: np.log(1.25) if s else 0.0, H: np.log(4.0) if s else 0.0}.get(x, 0.0))
-    forward = Transducer(negation).compose(Transducer(report), SYMBOLS).compose(Transducer(target), SYMBOLS)
+            after = 0 if x == E else 1 if x == R else s
+            report[s, x] = (after, x, np.log(0.5) if x in (I, H) and s else 0.0)
+            aimed = 0 if x == E else 1 if x == T else s
+            target[s, x] = (aimed, x, np.log(1.5) if x == I and s else 0.0)
+    for s in range(4):  # a target before in the clause, an insult before in the text
+        aimed, series = s & 1, s & 2
+        for x in SYMBOLS:
+            after = (0 if x == E else 1 if x == T else aimed) | (2 if x == I else series)
+            insult[s, x] = (after, LONE if x == I and not s else x, 0.0)
+        for x in (*SYMBOLS, LONE):
+            after = (0 if x == E else 1 if x == T else aimed) | (2 if x in (I, LONE) else series)
+            aim = np.log(1.25) if aimed else 0.0
+            weight = {I: aim, LONE: aim if s else ALONE, H: 0.0 if aimed else ALONE}.get(x, 0.0)
+            back[s, x] = (after, x, weight)
+    forward = Transducer(negation)
+    for part in (report, target, insult):
+        forward = forward.compose(Transducer(part), SYMBOLS)
     return forward, Transducer(back)
 
 
@@ -110,8 +138,9 @@ FORWARD, BACKWARD = _grammar()
 
 @dataclass
 class ToxicModel:
-    stems: dict[str, float]  # prefix of an insult -> weight
+    stems: dict[str, float]  # insult -> weight
     threats: dict[str, float]
+    prefixes: frozenset[str] = frozenset()  # stems that match all words that begin with them
     weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, 2.0, 1.0, 0.5]))
     _automaton: object = None
 
@@ -120,9 +149,9 @@ class ToxicModel:
             import ahocorasick
 
             made = ahocorasick.Automaton()
-            for kind, table in ((I, self.stems), (H, self.threats)):
+            for kind, table in ((H, self.threats), (I, self.stems)):
                 for stem, weight in table.items():
-                    made.add_word(stem, (len(stem), kind, weight))
+                    made.add_word(stem, (len(stem), kind, weight, stem in self.prefixes))
             made.make_automaton()
             self._automaton = made
         return self._automaton
@@ -131,27 +160,33 @@ class ToxicModel:
         return {**self.__dict__, "_automaton": None}
 
     def hits(self, text: str) -> dict[int, tuple[str, float]]:
-        """Word start -> kind and weight of the longest stem there."""
+        """Word start -> kind and weight of the longest matching stem there, from left to right."""
         out: dict[int, tuple[int, str, float]] = {}
         if not self.stems and not self.threats:
             return {}
-        for end, (size, kind, weight) in self.automaton().iter(text):
+        for end, (size, kind, weight, prefix) in self.automaton().iter(text):
             start = end - size + 1
-            if (start == 0 or not text[start - 1].isalpha()) and out.get(start, (0,))[0] < size:
-                out[start] = (size, kind, weight)
-        return {k: v[1:] for k, v in out.items()}
+            if start and text[start - 1].isalpha() or out.get(start, (0,))[0] > size:
+                continue
+            if not prefix:
+                rest = WORD.match(text, end + 1)
+                if rest and rest.group() not in ENDINGS:
+                    continue
+            out[start] = (size, kind, weight)
+        return {k: out[k][1:] for k in sorted(out)}
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         low = (text or "").lower()
         hits = self.hits(low)
-        total, matched, upto = 0.0, 0, -1
-        for start in sorted(hits):
+        symbols: list[str] = []
+        weights: list[float] = []
+        upto = 0
+        for start in hits:  # the clauses without hits change no state
             if start < upto:
                 continue
-            begin = max((m for m in (low.rfind(c, 0, start) for c in ".!?;:\n")), default=-1) + 1
+            begin = max(low.rfind(c, upto, start) for c in ".!?;:\n") + 1 or upto
             stop = CLAUSE_END.search(low, start)
             upto = stop.start() if stop else len(low)
-            symbols, weights = [], []
             for word in WORD.finditer(low, begin, upto):
                 kind, weight = hits.get(word.start(), (None, 0.0))
                 if kind is None:
@@ -159,13 +194,20 @@ class ToxicModel:
                     kind = T if w in _TARGETS else N if w in _NEGATIONS else R if w in _REPORTS else O
                 symbols.append(kind)
                 weights.append(weight)
-            ahead = FORWARD.run(symbols)
-            behind = BACKWARD.run(symbols[::-1])[::-1]
-            score = sum(w * np.exp(a + b) for w, a, b in zip(weights, ahead, behind, strict=True) if w)
-            total += score
-            matched += score > 0
+            symbols.append(E)
+            weights.append(0.0)
+        read, ahead = FORWARD.read(symbols)
+        behind = BACKWARD.run(read[::-1])[::-1]
+        total, matched, clause = 0.0, 0, False
+        for symbol, w, a, b in zip(symbols, weights, ahead, behind, strict=True):
+            if symbol == E:
+                matched += clause
+                clause = False
+            elif w:
+                clause |= b > ALONE
+                total += w * math.exp(a + b)
         words = max(1, low.count(" ") + low.count("\n") + 1)
-        return float(np.log1p(total)), float(np.log1p(matched)), float(np.log1p(1000 * total / words))
+        return math.log1p(total), math.log1p(matched), math.log1p(1000 * total / (words + 100))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + x @ self.weights[1:]
@@ -211,14 +253,14 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
 def learn_stems(
     sample: DataFrame, n_pos: int, n_neg: int, odds: float = 12.0, evidence: float = 14.0, most: int = 4000
-) -> dict[str, float]:
-    """Prefixes of 3 to 12 letters that come with label 1, with log odds as weights.
+) -> tuple[dict[str, float], frozenset[str]]:
+    """Prefixes of 3 to 12 letters that come with label 1, with log odds as weights; and those learned from several words.
 
     The smoothed odds must be at least ``odds``, and the log-likelihood ratio against the share of
     label 1 among all words at least ``evidence`` nats (about one chance in 10^6), so that words that
     happen to stand in a few toxic documents stay out.
     Of a prefix and its extension that find the same documents the longer one is kept; an extension of
-    a kept prefix adds nothing and goes.
+    a kept prefix adds nothing and goes.  At most ``most`` stems are kept, the most frequent first.
     """
     sizes = F.explode(F.sequence(F.lit(3), F.least(F.lit(12), F.char_length("word"))))
     counts = materialize(word_counts(sample.dropDuplicates()), "toxicwords")
@@ -232,14 +274,14 @@ def learn_stems(
     ).otherwise(0.0)
     rows = (
         cut.groupBy(F.expr("substring(word, 1, size)").alias("stem"))
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.when(F.col("pos") > 0, 1)).alias("kinds"))
         .withColumn("ratio", ratio)
         .filter((F.col("ratio") >= odds) & (nats >= evidence))
         .orderBy(F.col("pos").desc(), "stem")
         .limit(20 * most)
         .collect()
     )
-    found = {r["stem"]: (r["pos"], r["ratio"]) for r in rows}
+    found = {r["stem"]: (r["pos"], r["ratio"], r["kinds"]) for r in rows}
     children: dict[str, list[str]] = defaultdict(list)
     for s in sorted(found):
         children[s[:-1]].append(s)
@@ -251,7 +293,8 @@ def learn_stems(
         while longer := [x for x in children[last] if found[x][0] >= 0.95 * found[stem][0]]:
             last = longer[0]
         kept[last] = float(np.log(found[last][1]))
-    return dict(sorted(kept.items(), key=lambda t: (-found[t[0]][0], t[0]))[:most])
+    listed = dict(sorted(kept.items(), key=lambda t: (-found[t[0]][0], t[0]))[:most])
+    return listed, frozenset(s for s in listed if found[s][2] >= 3)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -275,9 +318,11 @@ def train(
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     stems = {w: 3.0 for w in INSULTS}
+    prefixes: frozenset[str] = frozenset()
     if n_pos and n_neg:
-        stems |= learn_stems(sample, n_pos, n_neg)
-    model = ToxicModel(stems, {w: 2.0 for w in THREATS})
+        learned, prefixes = learn_stems(sample, n_pos, n_neg)
+        stems |= learned
+    model = ToxicModel(stems, {w: 2.0 for w in THREATS}, prefixes)
     if n_pos and n_neg:
         table = features(sample.select("toxic", "text"), model, "toxic", "text").toArrow()  # at most max_labelled rows
         x = np.stack([table[c].to_numpy() for c in ("f0", "f1", "f2")], axis=1)
@@ -326,5 +371,5 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Stage form: the documents that are not predicted toxic, with the columns of ``docs``."""
-    kept = scored(docs.select(*docs.columns), train(docs, labels), out="_score")
-    return kept.filter("_score < 0.5").select(*docs.columns)
+    score = unused("score", docs.columns)
+    return scored(docs, train(docs, labels), out=score).filter(F.col(score) < 0.5).select(*docs.columns)
