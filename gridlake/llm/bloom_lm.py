@@ -188,16 +188,19 @@ def bigrams(ids: np.ndarray, w: np.ndarray, vocabulary: int, contexts: int) -> n
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above a count that at most ``most`` words pass: a histogram of the counts finds it, and no task gathers candidates."""
+    """The ``most`` most frequent words; of equally frequent ones those with the smallest hashes.
+
+    A histogram of the counts finds the step of counts in which they end, and only that step is sorted.
+    """
     step = F.floor(F.log(F.col("c").cast("double")) * 16).cast("int")
     steps = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 16 ln(2^63) rows
-    held, least = 0, None
+    held = 0
     for r in sorted(steps, reverse=True):
+        if held + r["n"] > most:
+            last = counts.filter(step == r["s"]).orderBy(F.col("c").desc(), "h").limit(most - held)
+            return counts.filter(step > r["s"]).unionAll(last)
         held += r["n"]
-        if held > most:
-            break
-        least = r["s"]
-    return counts.filter(step >= least) if least is not None else counts.limit(0)
+    return counts
 
 
 def train(

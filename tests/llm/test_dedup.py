@@ -289,3 +289,23 @@ def test_line_columns_with_clashing_names(spark):
     rows = docs(spark, [(1, A), (2, f"{A}\nmore")]).withColumnsRenamed({"size": "gone", "row": "_doc", "score": "n_lines"})
     out = LD.deduped_lines(rows)
     assert out.columns == rows.columns and {r.doc_id: r.text for r in out.collect()} == {1: A, 2: "more"}
+
+
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows, pairs = [], 1500
+    for i in range(pairs):  # 100 common words of 5 that differ in the middle: similarities of 0.80 to 0.82
+        words = [f"p{i}w{j}" for j in range(rng.integers(200, 400))]
+        other, step = list(words), 0
+        while True:
+            other[(37 * step + 20) % len(words)] = f"p{i}x{step}"
+            step += 1
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other))
+            if len(a & b) / len(a | b) < 0.83:
+                break
+        while len(a & b) / len(a | b) < 0.80:
+            step -= 1
+            other[(37 * step + 20) % len(words)] = words[(37 * step + 20) % len(words)]
+            b = {tuple(other[k : k + 5]) for k in range(len(other) - 4)}
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert sum(not r.kept for r in N.near_dedup(docs(spark, rows)).collect()) == pairs

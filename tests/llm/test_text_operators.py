@@ -433,6 +433,16 @@ def test_lm(spark, known_words):
     assert B.lm_scores(docs(spark, [(7, "a b", "a")])).first().n_tokens == 3
 
 
+def test_most_frequent_of_equal_counts(spark):
+    counts = spark.createDataFrame([(h, c) for h, c in [(5, 9), *((i, 4) for i in range(100, 180)), (7, 2)]], "h long, c long")
+    assert sorted(r.h for r in B.most_frequent(counts, 16).collect()) == [5, *range(100, 115)]
+    assert B.most_frequent(counts, 81).count() == 81 and B.most_frequent(counts, 500).count() == 82
+    assert B.most_frequent(counts, 0).count() == 0 and B.most_frequent(counts.limit(0), 5).count() == 0
+    rows = [(i, f"a{i % 40} b{i % 40}", "a") for i in range(80)]
+    model, _ = B.train(docs(spark, rows), vocabulary=16, contexts=4, known_words=16)
+    assert len(model.known) == 16 and len(model.vocabulary) == 16
+
+
 def test_lm_of_all_ngrams(spark):
     rnd = random.Random(11)
     rows = []
