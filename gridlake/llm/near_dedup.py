@@ -4,12 +4,14 @@ A document's set is its distinct k-word shingles.  Documents with equal sets for
 representative.  Each representative has a MinHash signature of ``coords`` coordinates and is posted
 under its coordinate-value pairs.  Two representatives are candidates when at least ``least`` of
 their coordinates collide; then they must collide in one of any ``coords - least + 1`` coordinates,
-so only that prefix is posted, and lists with one member are skipped.  A posting carries the
-signature, so a list counts the collisions of its members at once.  Long lists are dealt into
+so only that prefix is posted, and lists with one member are skipped.  A posting carries a byte of
+each coordinate, so a list counts the collisions of its members in all coordinates at once (a byte
+that agrees by chance only makes a candidate more).  Long lists are dealt into
 blocks and never expanded into pairs (see ``linking``).  Components of the candidates are then
 confirmed on the full sets, again by ``linking``, so the result holds exactly the pairs at or above
 the threshold, but for pairs whose signatures collide less than ``least`` times: at a similarity of
-0.8 with 14 of 32 coordinates that is 1 in 10^6.
+0.8 with 14 of 32 coordinates that is 1 in 10^6, and with ``least=1``, which posts every coordinate
+and makes every collision a candidate, 1 in 10^22.
 
 Defined results: null or blank texts have empty sets, link with nothing and keep themselves; fewer
 words than k are one shingle; repeated rows are each answered; rows of a null id join their class
@@ -83,7 +85,7 @@ def _matrix(payload: pa.Array, kind) -> np.ndarray:
 
 
 def postings(reps: DataFrame, prefix: int) -> DataFrame:
-    """(gid, id, n, payload): gid is coordinate and value, payload the low halves of all coordinates."""
+    """(gid, id, n, payload): gid is coordinate and value, payload the low bytes of all coordinates."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +100,7 @@ def postings(reps: DataFrame, prefix: int) -> DataFrame:
                         pa.array(key.ravel()),
                         pa.array(ids),
                         pa.array(n),
-                        _binary(np.repeat((sig & 0xFFFF).astype(np.uint16), prefix, axis=0)),
+                        _binary(np.repeat((sig & 0xFF).astype(np.uint8), prefix, axis=0)),
                     ],
                     ["gid", "id", "n", "payload"],
                 )
@@ -110,8 +112,8 @@ def collide(least: int, percent: int):
     """Matcher and pair matcher: enough equal coordinates, and sizes that allow the similarity."""
 
     def match(na, pa_, nb, pb):
-        a = np.frombuffer(b"".join(pa_), np.uint16).reshape(len(pa_), -1)
-        b = a if pb is pa_ else np.frombuffer(b"".join(pb), np.uint16).reshape(len(pb), -1)
+        a = np.frombuffer(b"".join(pa_), np.uint8).reshape(len(pa_), -1)
+        b = a if pb is pa_ else np.frombuffer(b"".join(pb), np.uint8).reshape(len(pb), -1)
         count = np.zeros((len(a), len(b)), np.uint8)
         for j in range(a.shape[1]):
             count += a[:, j][:, None] == b[:, j][None, :]
@@ -119,7 +121,7 @@ def collide(least: int, percent: int):
         return (count >= least) & fits
 
     def pairs(n, payload, left, right):
-        rows = _matrix(payload, np.uint16)
+        rows = _matrix(payload, np.uint8)
         out = np.zeros(len(left), bool)
         for a in range(0, len(left), 50_000):
             i, j = left[a : a + 50_000], right[a : a + 50_000]
