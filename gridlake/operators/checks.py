@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import scalar as S
+from gridlake.operators.graph import build_graph, components_of, islands, isolated
+from gridlake.operators.static import numbered, with_both_ends
+from gridlake.session import cut
 
 
 def finding(rows: DataFrame, tipo: str, elemento: Column, detalle: Column) -> DataFrame:
@@ -64,6 +67,57 @@ def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def line_graph(lines: DataFrame) -> DataFrame:
+    return build_graph(lines, i="bus_i", j="bus_j")
+
+
+def top_kinds(buses: DataFrame, valid: DataFrame, trafos: DataFrame) -> DataFrame:
+    """(bus_id, kind) of the top-level buses without a line."""
+    comp = F.col("element_type") == "series_compensator"
+    top = buses.filter("bus_type = '500kV'")
+    return isolated(top, valid.filter(~comp), valid.filter(comp), trafos)
+
+
+def topology_report(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> DataFrame:
+    """All findings: lines and transformers without a bus, isolated buses, islands, zero impedances, missing ratings.
+
+    ``buses``: bus_id, bus_name, bus_type.  Islands are the components, over valid lines and
+    compensators, of the top-level buses that are neither a compensator's bar nor at transformers only;
+    such buses are passed through and counted.
+    """
+    valid = with_both_ends(lines, buses)
+    kinds = cut(top_kinds(buses, valid, trafos))
+    starts = buses.filter("bus_type = '500kV'").select("bus_id").join(kinds.filter("kind != 'bus_aislado'"), "bus_id", "left_anti")
+    labels = cut(components_of(starts.withColumnRenamed("bus_id", "node"), line_graph(valid)))
+    return report(
+        orphans(lines, buses, "linea_huerfana", "line_key"),
+        orphans(trafos, buses, "trafo_huerfano", "trafo_key"),
+        isolated_findings(kinds, buses),
+        island_findings(labels, islands(labels), buses),
+        zero_impedance(valid),
+        no_rating(valid),
+    )
+
+
+def topology_notes(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> DataFrame:
+    """What the report only mentions: lines out of service, bars of compensators, buses at transformers only."""
+    valid = with_both_ends(lines, buses)
+    off = finding(out_of_service(valid), "fuera_de_servicio", F.col("line_key"), F.lit("in_service=False"))
+    expected = top_kinds(buses, valid, trafos).filter("kind != 'bus_aislado'").join(buses.select("bus_id", "bus_name"), "bus_id", "left")
+    name = F.coalesce("bus_name", F.col("bus_id").cast("string"))
+    return off.unionByName(expected.select(F.col("kind").alias("tipo"), name.alias("elemento"), F.lit("esperado").alias("detalle")))
+
+
+def exact_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median) of the values that are not null, from their places in a range-partitioned order."""
+    placed = cut(numbered(rows.filter(F.col(value).isNotNull()).select(key, value), "_place", key, value))
+    sums = placed.groupBy(key).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("n"))
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    wanted = sums.select("n", F.col(key).alias("_key"), F.explode(middle).alias("_at"), "_first")
+    wanted = wanted.select("n", "_key", (F.col("_first") + F.col("_at")).alias("_place"))
+    return placed.join(wanted, "_place").groupBy(key).agg(F.max("n").alias("n"), F.avg(value).alias("median"))
+
+
 def node_balance(buses: DataFrame, units: DataFrame, loads: DataFrame) -> DataFrame:
     """Buses with generation, demand, their counts and the balance; buses without any have 0."""
     gen = units.groupBy("bus_id").agg(F.sum("pg_mw").alias("pg_mw"), F.count(F.lit(1)).alias("n_gen"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from gridlake.operators.static import numbered
 from gridlake.session import cut
 
 
@@ -24,38 +30,56 @@ def build_graph(*edges: DataFrame, i: str = "i", j: str = "j", k: str = "k") ->
     return both.filter("src IS NOT NULL AND dst IS NOT NULL AND src != dst").distinct()
 
 
-def nearest_target(graph: DataFrame, targets: DataFrame, most_hops: int | None = None) -> DataFrame:
-    """(node, dest, hops, path) of every node that reaches a target.
+#: Rows of a table (an id, a few numbers) that are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def nearest_target(graph: DataFrame, targets: DataFrame, most_hops: int | None = None, paths: bool = True) -> DataFrame:
+    """(node, dest, hops, path) of every node that reaches a target; without ``paths``, parent for path.
 
     One search from all targets at once.  Targets are not passed through; of several targets at the
-    least distance the highest kv wins, then the smallest id.  ``targets``: node, kv (null counts as
-    0).  Each level is one join of the frontier and one aggregate, cut at the shared folder.
+    least distance the highest kv wins, then the smallest id; of several ways the one over the smallest
+    ids.  ``targets``: node, kv (null counts as 0).  The graph is dealt out by its ends once.  Each
+    level is one join of the frontier and one aggregate; as the graph leads both ways, what a level
+    reaches can only have been found in it or in the level before.  Nodes keep the next node of their
+    way, and ways are put together in the end.
     """
     kind = graph.schema["src"].dataType
     start = targets.groupBy("node").agg(F.coalesce(F.max("kv"), F.lit(0.0)).cast("double").alias("kv"))
-    found = start.select(
-        F.col("node").cast(kind).alias("node"),
-        F.col("node").cast(kind).alias("dest"),
-        "kv",
-        F.lit(0).alias("hops"),
-        F.array(F.col("node").cast(kind)).alias("path"),
-    )
-    found = frontier = cut(found)
-    hops = 0
-    graph = cut(graph)
-    while most_hops is None or hops < most_hops:
-        hops += 1
-        reach = graph.join(frontier, graph["dst"] == frontier["node"]).select(
-            F.col("src").alias("node"), "dest", "kv", F.concat(F.array("src"), "path").alias("path")
-        )
-        best = F.min_by(F.struct("dest", "kv", "path"), F.struct((-F.col("kv")).alias("k"), "dest", "path"))
-        new = reach.join(found.select("node"), "node", "left_anti").groupBy("node").agg(best.alias("b"))
-        new = new.select("node", "b.dest", "b.kv", F.lit(hops).alias("hops"), "b.path")
-        frontier = cut(new)
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    node = F.col("node").cast(kind)
+    columns = [node.alias("node"), node.alias("dest"), "kv", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent")]
+    frontier = cut(start.select(*columns))
+    levels, sizes = [frontier], [frontier.count()]
+    graph = cut(graph.repartition(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dst"))
+    while sizes[-1] and (most_hops is None or len(levels) <= most_hops):
+        near = _sent(levels[-1].select("node", "dest", "kv"), sizes[-1])
+        best = F.min(F.struct((-F.col("kv")).alias("k"), "dest", F.col("dst").alias("parent"))).alias("b")
+        new = graph.join(near, graph["dst"] == near["node"]).select(F.col("src").alias("node"), "dest", "kv", "dst")
+        for old, n in list(zip(levels, sizes, strict=True))[-2:]:
+            new = new.join(_sent(old.select("node"), n), "node", "left_anti")
+        new = new.groupBy("node").agg(best)
+        new = cut(new.select("node", "b.dest", (-F.col("b.k")).alias("kv"), F.lit(len(levels)).alias("hops"), "b.parent"))
+        levels.append(new)
+        sizes.append(new.count())
+    found = reduce(DataFrame.unionByName, levels if sizes[-1] or len(levels) == 1 else levels[:-1])
+    return with_paths(found, len(levels)) if paths else found
+
+
+def with_paths(found: DataFrame, most: int) -> DataFrame:
+    """``found`` with path from each node to its target; each round doubles the length of the ways put together."""
+    way = found.withColumnsRenamed({"parent": "_next"}).withColumn("path", F.array("node"))
+    while most > 1:
+        most = (most + 1) // 2
+        way = cut(way)
+        ahead = way.select(F.col("node").alias("_at"), F.col("_next").alias("_after"), F.col("path").alias("_rest"))
+        way = way.join(ahead, way["_next"] == ahead["_at"], "left")
+        path = F.when(F.col("_at").isNotNull(), F.concat("path", "_rest")).otherwise(F.col("path"))
+        way = way.withColumns({"path": path, "_next": F.col("_after")}).drop("_at", "_after", "_rest")
+    return way.drop("_next")
 
 
 def classify(units: DataFrame, nearest: DataFrame, node: str = "node") -> DataFrame:
@@ -66,34 +90,91 @@ def classify(units: DataFrame, nearest: DataFrame, node: str = "node") -> DataFr
     return out.withColumns({"match_type": kind, "hops": F.coalesce("hops", F.lit(-1))})
 
 
-def rendered_path(path, names: dict | None = None):
+def rendered_path(path):
     """Path as text, ids joined by an arrow."""
     return F.array_join(F.transform(path, lambda x: x.cast("string")), " -> ")
 
 
-def connected_components(graph: DataFrame) -> DataFrame:
-    """(node, comp): comp is the smallest node of the component.  Labels jump over two links in each round."""
-    graph = cut(graph)
-    label = cut(graph.select(F.col("src").alias("node")).distinct().withColumn("comp", F.col("node")))
+ONE_TASK_EDGES = 1_000_000
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, up) of a whole edge table: up is the smallest node of the component."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    src, dst = (table.column(i).combine_chunks() for i in (0, 1))
+    nodes = pc.unique(pa.concat_arrays([src, dst]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    a, b = (pc.index_in(x, nodes).to_numpy() for x in (src, dst))
+    label = np.arange(len(nodes))
     while True:
-        near = graph.join(label, graph["dst"] == label["node"]).groupBy("src").agg(F.min("comp").alias("low"))
-        new = label.join(near, label["node"] == near["src"], "left").select(
-            "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("low", "comp")).alias("comp")
-        )
-        up = new.select(F.col("node").alias("_root"), F.col("comp").alias("_up"))
-        jumped = new.join(up, new["comp"] == F.col("_root"), "left")
-        jumped = cut(jumped.select("node", "old", F.least("comp", F.coalesce("_up", "comp")).alias("comp")))
-        label = jumped.select("node", "comp")
-        if jumped.filter("comp != old").isEmpty():
-            return label
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for ends in (a, b):
+            np.minimum.at(new, label[ends], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["node", "up"])
+
+
+def connected_components(graph: DataFrame) -> DataFrame:
+    """(node, comp): comp is the smallest node of the component.
+
+    In each round every node goes into its neighbour with the smallest hash, itself counted, if that
+    is another; the edges are drawn between what is left, each once.  Hashes change with the round, so
+    the edges shrink by a constant factor and the rounds are few, for chains too.  At most
+    ``ONE_TASK_EDGES`` edges are finished in one task, with the same result.
+    """
+    edges = cut(graph.select("src", "dst"))
+    merges: list[DataFrame] = []
+    while n := edges.count():
+        if n <= ONE_TASK_EDGES:
+            kind = graph.schema["src"].dataType.simpleString()
+            merges.append(cut(edges.coalesce(1).mapInArrow(_merged, f"node {kind}, up {kind}")))
+            break
+        salt = F.lit(len(merges))
+        low = F.min(F.struct(F.xxhash64(salt, "dst").alias("h"), "dst"))
+        own = F.struct(F.xxhash64(salt, "src").alias("h"), F.col("src").alias("dst"))
+        into = edges.groupBy("src").agg(low.alias("low")).select(F.col("src").alias("node"), F.least("low", own)["dst"].alias("up"))
+        into = cut(into)
+        merges.append(into)
+        ends = [into.select(F.col("node").alias(c), F.col("up").alias(f"_{c}")) for c in ("src", "dst")]
+        moved = edges.join(ends[0], "src").join(ends[1], "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+        edges = cut(moved.filter("src != dst").distinct())
+    if not merges:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("comp"))
+    label = merges[-1].withColumnRenamed("up", "root")
+    for into in merges[-2::-1]:
+        last = label.select(F.col("node").alias("up"), "root")
+        label = into.join(last, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+    label = cut(label)
+    smallest = label.groupBy("root").agg(F.min("node").alias("comp"))
+    return label.join(smallest, "root").select("node", "comp")
+
+
+def components_of(starts: DataFrame, graph: DataFrame) -> DataFrame:
+    """(node, comp) of the components that hold a start node; other nodes are passed through and counted too.
+
+    ``starts``: node.  A start node without an edge is a component of its own.
+    """
+    starts = starts.select("node").distinct()
+    label = cut(connected_components(graph))
+    lone = starts.join(label, "node", "left_anti").withColumn("comp", F.col("node"))
+    every = label.unionByName(lone)
+    return every.join(every.join(starts, "node", "left_semi").select("comp").distinct(), "comp", "left_semi").select("node", "comp")
 
 
 def islands(labels: DataFrame) -> DataFrame:
     """Components by falling size; the first is the main one, the others are isla_1, isla_2, ..."""
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    rank = F.row_number().over(Window.orderBy(F.col("size").desc(), "comp"))
+    ranked = numbered(sizes, "rank", F.col("size").desc(), "comp").select("comp", "size", "rank")
     name = F.when(F.col("rank") > 1, F.concat(F.lit("isla_"), (F.col("rank") - 1).cast("string")))
-    return sizes.withColumn("rank", rank).withColumn("isla", name)
+    return ranked.withColumn("isla", name)
 
 
 def isolated(nodes: DataFrame, lines: DataFrame, compensators: DataFrame, trafos: DataFrame) -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql.window import Window
 
 from gridlake import config
 from gridlake.functions import scalar as S
+from gridlake.session import cut
 
 
-def study_buses(buses: DataFrame, study: config.Study) -> DataFrame:
-    """Buses of the study's voltage range that are not isolated, with type text, country and the foreign flag."""
+def study_buses(buses: DataFrame, study: config.Study, excluded: DataFrame | None = None) -> DataFrame:
+    """Buses of the study's voltage range that are not isolated, with type text, country and the foreign flag.
+
+    ``excluded``: a table of more bus names to leave out.
+    """
     out = buses.filter(F.col("baskv_kv").between(study.kv_low, study.kv_high) & (F.col("ide") != 4))
     out = out.withColumns({"ide_desc": S.bus_type(F.col("ide")), "country": S.country(F.col("area"))})
     out = out.withColumn("is_international", F.col("country").isNotNull())
@@ -19,6 +23,8 @@ def study_buses(buses: DataFrame, study: config.Study) -> DataFrame:
         out = out.filter(~F.col("is_international"))
     if study.excluded_buses:
         out = out.filter(~F.col("bus_name").isin(*study.excluded_buses))
+    if excluded is not None:
+        out = out.join(excluded.select("bus_name"), "bus_name", "left_anti")
     return out
 
 
@@ -50,8 +56,6 @@ def numbered(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
     ranged = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).withColumn(
         "_part", F.spark_partition_id()
     )
-    from gridlake.session import cut
-
     ranged = cut(ranged)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -123,6 +127,14 @@ def with_parent_coordinates(own: DataFrame, children: DataFrame) -> DataFrame:
     return top.unionByName(low)
 
 
+def with_coordinates(buses: DataFrame, manual: DataFrame) -> DataFrame:
+    """Buses with lat, lon and name_geo of the manual table, null where it has none.
+
+    ``manual``: bus_id, name_geo, lat, lon.  A bus that stands in it twice comes twice.
+    """
+    return buses.join(manual.select("bus_id", "name_geo", "lat", "lon"), "bus_id", "left")
+
+
 def physical(lines: DataFrame, kv: str = "kv_i") -> DataFrame:
     """r, x in ohm and b in siemens of per-unit lines on the system base; unreadable values are 0."""
     z = S.base_impedance(F.col(kv))
@@ -130,6 +142,34 @@ def physical(lines: DataFrame, kv: str = "kv_i") -> DataFrame:
     return lines.withColumns({"r": r * z, "x": x * z, "b": b / z, "s_nom": S.safe_double(F.col("ratea_mva"))})
 
 
+def attached(edges: DataFrame, buses: DataFrame, *columns: str, a: str = "bus_i", b: str = "bus_j") -> DataFrame:
+    """Edges with the named bus columns of both ends, as ``<column>_i`` and ``<column>_j``; null where an end is unknown."""
+    for end, mark in ((a, "i"), (b, "j")):
+        side = buses.select(F.col("bus_id").alias(end), *[F.col(c).alias(f"{c}_{mark}") for c in columns])
+        edges = edges.join(side, end, "left")
+    return edges
+
+
+def network_lines(lines: DataFrame, buses: DataFrame) -> DataFrame:
+    """Line components (name, bus0, bus1, r, x, b, s_nom): both ends known, and no line whose ends still lack a name."""
+    known = with_both_ends(lines, buses).filter(~F.col("match_status").eqNullSafe("pendiente_bus"))
+    out = physical(attached(known, buses, "bus_name", "baskv_kv"), "baskv_kv_i")
+    ends = [F.col("bus_name_i").alias("bus0"), F.col("bus_name_j").alias("bus1")]
+    return out.select(F.col("line_key").alias("name"), *ends, "r", "x", "b", "s_nom", "element_type")
+
+
+def network_trafos(trafos: DataFrame, buses: DataFrame, default_s_nom: float = 100.0) -> DataFrame:
+    """Transformer components (name, bus0, bus1, r, x in per unit, s_nom) under unique names, in the order of trafo_id.
+
+    Names are made unique over all transformers, before those with an unknown end are left out.
+    """
+    named = with_both_ends(unique_keys(trafos, "trafo_key", "trafo_id"), buses)
+    out = attached(named, buses, "bus_name")
+    ends = [F.col("bus_name_i").alias("bus0"), F.col("bus_name_j").alias("bus1")]
+    values = [S.safe_double(F.col(c)).alias(n) for c, n in (("r_pu", "r"), ("x_pu", "x"))]
+    return out.select(F.col("unique_key").alias("name"), *ends, *values, S.safe_double(F.col("sbase_mva"), default_s_nom).alias("s_nom"))
+
+
 def parallel_pairs(lines: DataFrame) -> DataFrame:
     """Directed pairs with more than one circuit, most circuits first."""
     pairs = lines.groupBy("bus_i", "bus_j").agg(F.count(F.lit(1)).alias("circuits")).filter("circuits > 1")

@@ -17,24 +17,11 @@ from gridlake.operators import checks as C
 from gridlake.operators import graph as G
 from gridlake.operators import linkage as L
 from gridlake.operators import static as O
+from gridlake.plans.registry import ORACLE_SQL, QUERIES, query, table
+from gridlake.session import cut
 from gridlake.sources import case as R
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def put(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def stand_in_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -54,28 +41,46 @@ LINES_SQL = """(SELECT l_suppkey AS bus_i, l_partkey AS bus_j, substr('ABCDE', C
   FROM lineitem GROUP BY 1, 2, 3)"""
 
 
-@query("SELECT p_partkey AS bus_id, p_name AS bus_name, p_retailprice AS baskv_kv, p_size AS ide FROM part")
+def _cases(rows: DataFrame, section: str, *by: str) -> DataFrame:
+    """One case text for each group of the records ``line`` in the order of ``at``."""
+    record = F.array_sort(F.collect_list(F.struct("at", "line")))
+    body = F.array_join(F.transform(record, lambda r: r["line"]), "\n")
+    text = F.concat(F.lit(f"0 / END OF X DATA, BEGIN {section} DATA\n@ comment\n"), body, F.lit(f"\n0 / END OF {section} DATA\n9"))
+    return rows.groupBy(*by).agg(text.alias("text"))
+
+
+@query(
+    """SELECT p_partkey AS bus_id, p_name AS bus_name, p_retailprice AS baskv_kv, p_size AS ide, CAST(p_partkey % 30 AS INT) AS area,
+    CAST(NULL AS INT) AS zone, 1 AS owner, CAST(p_size AS DOUBLE) / 8 AS vm_pu, CAST(0.5 AS DOUBLE) AS va_deg FROM part"""
+)
 def parse_bus_records(spark, d):
-    """Bus records rendered as text and parsed back natively."""
+    """Bus records rendered as case files, one for each brand and size, and read by the section's parser."""
     part = table(spark, d, "part")
-    quoted = F.concat(F.lit("'"), F.col("p_name"), F.lit("'"))
-    line = F.concat_ws(",", "p_partkey", quoted, F.col("p_retailprice").cast("string"), "p_size")
-    record = R.from_record(line, "bus_id long, bus_name string, baskv_kv double, ide int")
-    return part.select(record.alias("r")).select("r.*")
+    quoted = F.concat(F.lit("'"), F.rpad("p_name", 14, " "), F.lit("'"))
+    line = F.concat_ws(
+        ",", "p_partkey", quoted, F.col("p_retailprice").cast("string"), "p_size", F.col("p_partkey") % 30, F.lit(" "), F.lit("1"),
+        (F.col("p_size") / 8).cast("string"), F.lit("0.5"),
+    )
+    rows = part.select("p_brand", "p_size", F.col("p_partkey").alias("at"), line.alias("line"))
+    return R.parsed(_cases(rows, "BUS", "p_brand", "p_size"), "text", "BUS").drop("rec_no")
 
 
 @query(
-    """SELECT l_orderkey AS bus_i, l_partkey AS bus_j, CAST(l_linenumber AS VARCHAR) AS ckt, l_tax AS r_pu,
-    l_quantity AS x_pu, nullif(l_discount, 0.0) AS ratea_mva FROM lineitem"""
+    """SELECT l_orderkey AS bus_i, l_partkey AS bus_j, CAST(l_linenumber AS VARCHAR) AS ckt, l_tax AS r_pu, l_quantity AS x_pu,
+    CAST(0 AS DOUBLE) AS b_pu, 'L, ' || l_suppkey AS name, nullif(l_discount, 0.0) AS ratea_mva, CAST(l_linenumber % 2 AS INT) AS st,
+    l_extendedprice AS len_km FROM lineitem"""
 )
 def parse_branch_records(spark, d):
-    item = table(spark, d, "lineitem")
-    numbers = [F.col(c).cast("string") for c in ("l_tax", "l_quantity", "l_discount")]
-    quoted = F.concat(F.lit("'"), F.col("l_linenumber").cast("string"), F.lit("'"))
-    line = F.concat_ws(",", "l_orderkey", "l_partkey", quoted, *numbers)
-    record = R.from_record(line, "bus_i long, bus_j long, ckt string, r_pu double, x_pu double, ratea_mva double")
-    rows = item.select(record.alias("r")).select("r.*")
-    return rows.withColumn("ratea_mva", S.defined_rating(F.col("ratea_mva")))
+    """Branch records rendered as case files, one for each order, and read by the section's parser."""
+    number = {c: F.col(c).cast("string") for c in ("l_tax", "l_quantity", "l_discount", "l_extendedprice")}
+    line = F.concat_ws(
+        ",", "l_orderkey", "l_partkey", F.concat(F.lit("'"), "l_linenumber", F.lit(" '")), number["l_tax"], number["l_quantity"], F.lit("0"),
+        F.concat(F.lit("'L, "), "l_suppkey", F.lit("'")), number["l_discount"], F.lit("0,0,0,0,0,0,0,0,0,0,0,0,0,0,0"),
+        F.col("l_linenumber") % 2, F.lit("1"), number["l_extendedprice"],
+    )
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), line.alias("line"))
+    out = R.parsed(_cases(rows, "BRANCH", "l_orderkey"), "text", "BRANCH").drop("rec_no")
+    return out.withColumn("ratea_mva", S.defined_rating(F.col("ratea_mva")))
 
 
 @query(
@@ -123,13 +128,24 @@ def section_slice(spark, d):
 )
 def bus_filter_flag(spark, d):
     s = table(spark, d, "supplier")
-    names = [r["s_name"] for r in s.filter(F.col("s_suppkey").isin(3, 7)).select("s_name").limit(2).collect()]
     buses = s.select(
         F.col("s_suppkey").alias("bus_id"), F.col("s_name").alias("bus_name"), F.col("s_acctbal").alias("baskv_kv"),
         (F.col("s_nationkey") % 5).alias("ide"), F.col("s_nationkey").alias("area"),
     )
-    study = Study(kv_low=0, kv_high=5000, drop_foreign=False, excluded_buses=tuple(names))
-    return O.study_buses(buses, study).drop("ide", "area")
+    excluded = s.filter(F.col("s_suppkey").isin(3, 7)).select(F.col("s_name").alias("bus_name"))
+    return O.study_buses(buses, Study(kv_low=0, kv_high=5000, drop_foreign=False), excluded).drop("ide", "area")
+
+
+@query(
+    """SELECT c_custkey AS bus_id, c_name AS bus_name, c_acctbal AS baskv_kv, c_nationkey AS area FROM customer
+    WHERE c_acctbal BETWEEN 0 AND 5000 AND c_custkey % 5 != 4 AND c_nationkey NOT IN (18, 19, 20, 22)"""
+)
+def bus_drop_foreign(spark, d):
+    buses = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("bus_id"), F.col("c_name").alias("bus_name"), F.col("c_acctbal").alias("baskv_kv"),
+        (F.col("c_custkey") % 5).alias("ide"), F.col("c_nationkey").alias("area"),
+    )
+    return O.study_buses(buses, Study(kv_low=0, kv_high=5000)).select("bus_id", "bus_name", "baskv_kv", "area")
 
 
 @query(
@@ -274,24 +290,36 @@ def circuit_number(spark, d):
     return table(spark, d, "pages").select("page_id", X.without_voltage(name).alias("stem"), X.circuit_number(name).alias("ckt"))
 
 
-#: A small sample of aliases: joined, spaced and identity forms, and one to discard.
-ALIASES = {"ALMOND": "ALMENDRO", "ALMONDANTIQUE": "ALMENDRO ANTIGUO", "BLUE CREAM": "AZUL", "RED": None, "GREEN": "VERDE"}
+#: A small sample of aliases: joined and spaced forms, single names, and one to discard.
+ALIASES = {"REDWIDGET": "ALMENDRO", "BLUE BOLT": "CERRO AZUL", "RED": None, "HOT": "CALDEN", "GEAR": "GEAR NORTE", "SMALL RING": None}
+_ALIAS_SQL = ", ".join(f"('{k}', {v and chr(39) + v + chr(39) or 'NULL'})" for k, v in ALIASES.items())
 
 
-@query()
+@query(
+    rf"""WITH a(k, v) AS (VALUES {_ALIAS_SQL}), n AS (SELECT p_partkey, string_split(upper(p_name), ' ') AS w FROM part),
+    j AS (SELECT p_partkey, w, two.k AS k2, two.v AS v2, one.k AS k0, one.v AS v0, other.k AS k1, other.v AS v1 FROM n
+      LEFT JOIN a AS two ON two.k = CASE WHEN w[1] || w[2] IN (SELECT k FROM a) THEN w[1] || w[2] ELSE w[1] || ' ' || w[2] END
+      LEFT JOIN a AS one ON one.k = w[1] LEFT JOIN a AS other ON other.k = w[2])
+    SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE WHEN k2 IS NOT NULL THEN CASE WHEN v2 IS NULL THEN [] ELSE [v2] END
+      ELSE list_filter([CASE WHEN k0 IS NULL THEN w[1] ELSE v0 END, CASE WHEN k1 IS NULL THEN w[2] ELSE v1 END], lambda x: x IS NOT NULL) END)), '|') AS tokens FROM j"""
+)
 def alias_tokens(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.alias_tokens(F.col("p_name"), ALIASES).alias("tokens"))
+    """Canonical names of the parts' names, found once for each different name."""
+    part = table(spark, d, "part")
+    names = part.select("p_name").distinct()
+    names = names.withColumn("tokens", F.array_join(X.alias_tokens(F.col("p_name"), ALIASES), "|"))
+    return part.join(names, "p_name").select("p_partkey", "tokens")
 
 
 def _tokens(spark, d) -> tuple[DataFrame, DataFrame]:
     part = table(spark, d, "part")
-    features = part.filter("p_partkey % 10 = 0").select(
+    features = part.select(
         F.col("p_partkey").alias("feature_id"), F.split(F.upper("p_name"), " ").alias("tokens"), F.col("p_name").alias("name"),
         (F.col("p_size") % 5).cast("int").alias("circuit"), F.concat(F.lit("L"), F.col("p_partkey").cast("string")).alias("wkt"),
     )
     words = F.split(F.upper("p_name"), " ")
     blank = F.when(F.col("p_partkey") % 11 != 0, F.element_at(words, 1))
-    lines = part.filter("p_partkey % 10 = 1").select(
+    lines = part.select(
         F.col("p_partkey").cast("string").alias("line_key"), blank.alias("token_i"), F.element_at(words, -1).alias("token_j"),
         (F.col("p_size") % 5).cast("string").alias("ckt"), S.element_type(F.col("p_size") - 5).alias("element_type"),
     )
@@ -299,10 +327,10 @@ def _tokens(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 TOKENS_SQL = """f AS (SELECT p_partkey AS feature_id, string_split(upper(p_name), ' ') AS tokens, p_name AS name, CAST(p_size % 5 AS INT) AS circuit,
-  'L' || CAST(p_partkey AS VARCHAR) AS wkt FROM part WHERE p_partkey % 10 = 0),
+  'L' || CAST(p_partkey AS VARCHAR) AS wkt FROM part),
 l AS (SELECT CAST(p_partkey AS VARCHAR) AS line_key, CASE WHEN p_partkey % 11 != 0 THEN string_split(upper(p_name), ' ')[1] END AS token_i,
   string_split(upper(p_name), ' ')[-1] AS token_j, CAST(p_size % 5 AS VARCHAR) AS ckt,
-  CASE WHEN p_size - 5 < 0 THEN 'series_compensator' ELSE 'line' END AS element_type FROM part WHERE p_partkey % 10 = 1)"""
+  CASE WHEN p_size - 5 < 0 THEN 'series_compensator' ELSE 'line' END AS element_type FROM part)"""
 
 
 @query(f"WITH {TOKENS_SQL} SELECT line_key, feature_id FROM l JOIN f ON list_contains(tokens, token_i) AND list_contains(tokens, token_j)")
@@ -337,7 +365,7 @@ def match_priority(spark, d):
     """WITH u AS (SELECT c_custkey, chr(CAST(65 + c_custkey % 20 AS INT)) || lpad(CAST(c_custkey % 300 AS VARCHAR), 3, '0') || 'TV' AS nm,
       CASE c_custkey % 3 WHEN 0 THEN 'steam' WHEN 1 THEN 'wind' ELSE 'battery' END AS carrier FROM customer),
     p AS (SELECT chr(CAST(65 + p_partkey % 20 AS INT)) || lpad(CAST(p_partkey % 300 AS VARCHAR), 3, '0') || CAST(p_partkey AS VARCHAR) AS code,
-      CASE p_size % 3 WHEN 0 THEN 'TV' WHEN 1 THEN 'EO' ELSE 'HI' END AS ty FROM part WHERE p_partkey % 4 = 0),
+      CASE p_size % 3 WHEN 0 THEN 'TV' WHEN 1 THEN 'EO' ELSE 'HI' END AS ty FROM part),
     j AS (SELECT c_custkey, code, coalesce((carrier = 'steam' AND ty = 'TV') OR (carrier = 'wind' AND ty = 'EO'), false) AS fits
       FROM u JOIN p ON substr(upper(trim(nm)), 1, 4) = substr(upper(code), 1, 4)),
     a AS (SELECT c_custkey, count(*) AS n, count(*) FILTER (fits) AS k, min(code) AS c0, min(code) FILTER (fits) AS c1 FROM j GROUP BY 1)
@@ -352,8 +380,7 @@ def prefix_candidates(spark, d):
     carrier = F.when(c % 3 == 0, "steam").when(c % 3 == 1, "wind").otherwise("battery")
     units = table(spark, d, "customer").select(c.cast("string").alias("gen_key"), F.concat(code(c), F.lit("TV")).alias("bus_name"), carrier.alias("carrier"))
     kind = F.when(F.col("p_size") % 3 == 0, "TV").when(F.col("p_size") % 3 == 1, "EO").otherwise("HI")
-    plants = table(spark, d, "part").filter("p_partkey % 4 = 0")
-    plants = plants.select(F.concat(code(p), p.cast("string")).alias("plant_code"), kind.alias("plant_type"))
+    plants = table(spark, d, "part").select(F.concat(code(p), p.cast("string")).alias("plant_code"), kind.alias("plant_type"))
     return L.plant_matches(units, plants)
 
 
@@ -375,11 +402,11 @@ def carrier_resolution(spark, d):
 
 @query(
     """SELECT o_orderkey, o_custkey AS bus_id FROM orders JOIN customer ON c_custkey = o_custkey
-    WHERE c_nationkey NOT IN (18, 19, 20, 22) AND c_custkey % 2 = 0"""
+    WHERE c_nationkey NOT IN (18, 19, 20, 22)"""
 )
 def unit_foreign_filter(spark, d):
     units = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("bus_id"))
-    buses = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("bus_id"), F.col("c_nationkey").alias("area"))
+    buses = table(spark, d, "customer").select(F.col("c_custkey").alias("bus_id"), F.col("c_nationkey").alias("area"))
     return L.home_units(units, buses)
 
 
@@ -418,60 +445,76 @@ def manual_merge_final(spark, d):
     return L.final_units(ready, units.filter("o_orderstatus = 'O'"))
 
 
-GRAPH_SQL = """e AS (SELECT DISTINCT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem WHERE l_quantity >= 45 AND l_discount = 0.0),
-g AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)"""
+GRAPH_SQL = """g AS MATERIALIZED (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem
+  UNION SELECT DISTINCT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem)"""
+
+
+def _name(letter: str, column: str):
+    return F.concat(F.lit(letter), F.col(column).cast("string"))
 
 
 def stand_in_graph(spark, d) -> DataFrame:
-    item = table(spark, d, "lineitem").filter("l_quantity >= 45 AND l_discount = 0.0")
-    ends = {"i": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), "j": F.concat(F.lit("P"), F.col("l_partkey").cast("string"))}
-    return G.build_graph(item.select(*[c.alias(n) for n, c in ends.items()]))
+    """Suppliers and parts, joined by all line items."""
+    item = table(spark, d, "lineitem")
+    return G.build_graph(item.select(_name("S", "l_suppkey").alias("i"), _name("P", "l_partkey").alias("j")))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT src, dst FROM g")
+@query(
+    """WITH t AS (SELECT 'C' || o_custkey AS i, 'O' || o_orderkey AS j, CASE WHEN o_orderkey % 3 = 0 THEN 'K' || o_orderkey % 50 END AS k FROM orders),
+    e AS (SELECT i AS a, j AS b FROM t UNION SELECT i, k FROM t WHERE k IS NOT NULL UNION SELECT j, k FROM t WHERE k IS NOT NULL
+      UNION SELECT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem)
+    SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e"""
+)
 def build_graph(spark, d):
-    return stand_in_graph(spark, d)
+    """All line items as branches, all orders as transformers, a third of them with a third winding."""
+    item = table(spark, d, "lineitem").select(_name("S", "l_suppkey").alias("i"), _name("P", "l_partkey").alias("j"))
+    third = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("K"), (F.col("o_orderkey") % 50).cast("string"))).otherwise("0")
+    trafo = table(spark, d, "orders").select(_name("C", "o_custkey").alias("i"), _name("O", "o_orderkey").alias("j"), third.alias("k"))
+    return G.build_graph(item, trafo)
 
 
 @query(
     f"""WITH RECURSIVE {GRAPH_SQL},
     t AS (SELECT 'S' || s_suppkey AS node, s_acctbal AS kv FROM supplier WHERE s_nationkey < 3 AND 'S' || s_suppkey IN (SELECT src FROM g)),
-    r AS (SELECT node, node AS dest, kv, 0 AS hops FROM t
-      UNION SELECT g.src, r.dest, r.kv, r.hops + 1 FROM r JOIN g ON g.dst = r.node WHERE r.hops < 40 AND g.src NOT IN (SELECT node FROM t)),
-    m AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1),
-    b AS (SELECT r.node, arg_min(r.dest, (-r.kv, r.dest)) AS dest, m.hops FROM r JOIN m ON r.node = m.node AND r.hops = m.hops GROUP BY r.node, m.hops)
+    r(node, dest, kv, hops) USING KEY (node) AS (SELECT node, node, kv, 0 FROM t
+      UNION SELECT g.src, arg_min(r.dest, (-r.kv, r.dest)), max(r.kv), min(r.hops) + 1 FROM r JOIN g ON g.dst = r.node
+        WHERE g.src NOT IN (SELECT node FROM recurring.r) GROUP BY g.src)
     SELECT n.src AS node, dest, coalesce(hops, -1) AS hops,
     CASE WHEN hops IS NULL THEN 'sin_conexion' WHEN hops = 0 THEN 'directo' ELSE 'bfs' END AS match_type
-    FROM (SELECT DISTINCT src FROM g) n LEFT JOIN b ON b.node = n.src"""
+    FROM (SELECT DISTINCT src FROM g) n LEFT JOIN r ON r.node = n.src"""
 )
 def nearest_target(spark, d):
-    graph = stand_in_graph(spark, d)
+    graph = cut(stand_in_graph(spark, d))
     nodes = graph.select(F.col("src").alias("node")).distinct()
     s = table(spark, d, "supplier").filter("s_nationkey < 3")
-    targets = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"), F.col("s_acctbal").alias("kv"))
-    targets = targets.join(nodes, "node", "left_semi")
-    return G.classify(nodes, G.nearest_target(graph, targets))
+    targets = s.select(_name("S", "s_suppkey").alias("node"), F.col("s_acctbal").alias("kv")).join(nodes, "node", "left_semi")
+    return G.classify(nodes, G.nearest_target(graph, targets, paths=False))
 
 
-@query(
-    f"""WITH RECURSIVE {GRAPH_SQL},
-    r AS (SELECT src AS node, src AS reach FROM g UNION SELECT r.node, g.dst FROM r JOIN g ON g.src = r.reach)
-    SELECT node, min(reach) AS comp FROM r GROUP BY 1"""
-)
+#: Components by the smallest node that reaches each one.
+COMPONENT_SQL = """r(node, comp) USING KEY (node) AS (SELECT DISTINCT src, src FROM g
+  UNION SELECT n.node, min(r.comp) FROM r JOIN g ON g.src = r.node JOIN recurring.r AS n ON n.node = g.dst WHERE r.comp < n.comp GROUP BY n.node)"""
+
+
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {COMPONENT_SQL} SELECT node, comp FROM r")
 def connected_components(spark, d):
     return G.connected_components(stand_in_graph(spark, d))
 
 
+ISLANDS_SQL = """e AS (SELECT 'C' || c_custkey AS a, 'N' || c_nationkey AS b FROM customer UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier),
+g AS MATERIALIZED (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)"""
+
+
 @query(
-    f"""WITH RECURSIVE {GRAPH_SQL},
-    r AS (SELECT src AS node, src AS reach FROM g UNION SELECT r.node, g.dst FROM r JOIN g ON g.src = r.reach),
-    c AS (SELECT node, min(reach) AS comp FROM r GROUP BY 1), s AS (SELECT comp, count(*) AS size FROM c GROUP BY 1)
+    f"""WITH RECURSIVE {ISLANDS_SQL}, {COMPONENT_SQL}, s AS (SELECT comp, count(*) AS size FROM r GROUP BY 1)
     SELECT comp, size, row_number() OVER (ORDER BY size DESC, comp) AS rank,
     CASE WHEN row_number() OVER (ORDER BY size DESC, comp) > 1 THEN 'isla_' || CAST(row_number() OVER (ORDER BY size DESC, comp) - 1 AS VARCHAR) END AS isla FROM s"""
 )
 def islands(spark, d):
-    out = G.islands(G.connected_components(stand_in_graph(spark, d)))
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    """Customers and suppliers by their nations: one component for each nation."""
+    customer = table(spark, d, "customer").select(_name("C", "c_custkey").alias("i"), _name("N", "c_nationkey").alias("j"))
+    supplier = table(spark, d, "supplier").select(_name("S", "s_suppkey").alias("i"), _name("N", "s_nationkey").alias("j"))
+    return G.islands(G.connected_components(G.build_graph(customer, supplier)))
 
 
 @query(
@@ -524,11 +567,62 @@ def no_rating(spark, d):
     return C.no_rating(O.with_both_ends(*checked_lines(spark, d)))
 
 
-@query(f"WITH {CHECKED_SQL} {ORPHANS_SQL} UNION ALL {ZERO_SQL} UNION ALL {RATING_SQL}")
+TOPOLOGY_SQL = """nodes AS MATERIALIZED (SELECT p_partkey AS b, p_name || '#' || p_partkey AS nm, true AS top FROM part
+  UNION ALL SELECT 1000000 + s_suppkey, s_name, false FROM supplier),
+l AS MATERIALIZED (SELECT 'L' || o_orderkey AS line_key, o_custkey AS bus_i, o_custkey + 20 AS bus_j, CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE 0.1 END AS r_pu,
+  CASE WHEN o_orderkey % 9 = 0 THEN -0.1 WHEN o_orderkey % 25 = 0 THEN 0.0 ELSE 0.1 END AS x_pu, nullif(CAST(o_orderkey % 11 AS DOUBLE), 0.0) AS ratea_mva,
+  o_orderstatus != 'P' AS in_service, CASE WHEN o_orderkey % 9 = 0 THEN 'series_compensator' ELSE 'line' END AS element_type,
+  o_custkey IN (SELECT b FROM nodes) AS vi, o_custkey + 20 IN (SELECT b FROM nodes) AS vj FROM orders),
+t AS MATERIALIZED (SELECT 'T' || s_suppkey AS line_key, s_suppkey * 17 AS bus_i, 1000000 + s_suppkey + CASE WHEN s_nationkey = 3 THEN 5000 ELSE 0 END AS bus_j,
+  s_suppkey * 17 IN (SELECT b FROM nodes) AS vi, 1000000 + s_suppkey + CASE WHEN s_nationkey = 3 THEN 5000 ELSE 0 END IN (SELECT b FROM nodes) AS vj FROM supplier),
+ends AS MATERIALIZED (SELECT bus_i AS b, element_type AS ty FROM l WHERE vi AND vj UNION SELECT bus_j, element_type FROM l WHERE vi AND vj),
+kinds AS MATERIALIZED (SELECT b, nm, CASE WHEN b IN (SELECT b FROM ends WHERE ty = 'series_compensator') THEN 'compensador'
+  WHEN b IN (SELECT bus_i FROM t UNION SELECT bus_j FROM t) THEN 'solo_trafo' ELSE 'bus_aislado' END AS kind
+  FROM nodes WHERE top AND b NOT IN (SELECT b FROM ends WHERE ty = 'line')),
+starts AS MATERIALIZED (SELECT b FROM nodes WHERE top AND b NOT IN (SELECT b FROM kinds WHERE kind != 'bus_aislado')),
+g AS MATERIALIZED (SELECT bus_i AS src, bus_j AS dst FROM l WHERE vi AND vj UNION SELECT bus_j, bus_i FROM l WHERE vi AND vj),
+r(node, comp) USING KEY (node) AS (SELECT DISTINCT src, src FROM g
+  UNION SELECT n.node, min(r.comp) FROM r JOIN g ON g.src = r.node JOIN recurring.r AS n ON n.node = g.dst WHERE r.comp < n.comp GROUP BY n.node),
+c AS MATERIALIZED (SELECT node, comp FROM r WHERE comp IN (SELECT comp FROM r WHERE node IN (SELECT b FROM starts))
+  UNION ALL SELECT b, b FROM starts WHERE b NOT IN (SELECT src FROM g)),
+ranked AS (SELECT comp, row_number() OVER (ORDER BY count(*) DESC, comp) AS n FROM c GROUP BY 1)"""
+TRAFO_ORPHANS_SQL = ORPHANS_SQL.replace("linea_huerfana", "trafo_huerfano").replace("FROM l", "FROM t")
+ISOLATED_SQL = "SELECT 'bus_aislado' AS tipo, nm AS elemento, 'sin lineas, compensadores ni transformadores' AS detalle FROM kinds WHERE kind = 'bus_aislado'"
+ISLAND_SQL = """SELECT 'isla_desconectada' AS tipo, 'isla_' || (n - 1) AS elemento, string_agg(coalesce(nm, CAST(node AS VARCHAR)), ', ' ORDER BY nm) AS detalle
+  FROM c JOIN ranked USING (comp) LEFT JOIN nodes ON b = node WHERE n > 1 GROUP BY n"""
+
+
+def topology_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as top-level and suppliers as secondary buses, orders as lines between parts, suppliers as transformers."""
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    low = F.lit(1000000) + F.col("s_suppkey")
+    buses = part.select(
+        F.col("p_partkey").alias("bus_id"), F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("bus_name"), F.lit("500kV").alias("bus_type")
+    ).unionByName(supplier.select(low.alias("bus_id"), F.col("s_name").alias("bus_name"), F.lit("secundario").alias("bus_type")))
+    key = F.col("o_orderkey")
+    x = F.when(key % 9 == 0, -0.1).when(key % 25 == 0, 0.0).otherwise(0.1)
+    lines = table(spark, d, "orders").select(
+        _name("L", "o_orderkey").alias("line_key"), F.col("o_custkey").alias("bus_i"), (F.col("o_custkey") + 20).alias("bus_j"),
+        F.when(key % 50 == 0, 0.0).otherwise(0.1).alias("r_pu"), x.alias("x_pu"), S.defined_rating((key % 11).cast("double")).alias("ratea_mva"),
+        (F.col("o_orderstatus") != "P").alias("in_service"), S.element_type(x).alias("element_type"),
+    )
+    far = low + F.when(F.col("s_nationkey") == 3, 5000).otherwise(0)
+    trafos = supplier.select(_name("T", "s_suppkey").alias("trafo_key"), (F.col("s_suppkey") * 17).alias("bus_i"), far.alias("bus_j"))
+    return buses, lines, trafos
+
+
+@query(f"WITH RECURSIVE {TOPOLOGY_SQL} {ORPHANS_SQL} UNION ALL {TRAFO_ORPHANS_SQL} UNION ALL {ISOLATED_SQL} UNION ALL {ISLAND_SQL} UNION ALL {ZERO_SQL} "
+       f"UNION ALL {RATING_SQL.replace('ratea_mva = 0', 'ratea_mva IS NULL')}")
 def topology_report(spark, d):
-    lines, nodes = checked_lines(spark, d)
-    valid = O.with_both_ends(lines, nodes)
-    return C.report(C.orphans(lines, nodes, "linea_huerfana", "line_key"), C.zero_impedance(valid), C.no_rating(valid))
+    return C.topology_report(*topology_tables(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {TOPOLOGY_SQL} SELECT 'fuera_de_servicio' AS tipo, line_key AS elemento, 'in_service=False' AS detalle FROM l WHERE vi AND vj AND NOT in_service
+    UNION ALL SELECT kind, nm, 'esperado' FROM kinds WHERE kind != 'bus_aislado'"""
+)
+def topology_notes(spark, d):
+    return C.topology_notes(*topology_tables(spark, d))
 
 
 @query(f"SELECT bus_i, bus_j, count(*) AS circuits FROM {LINES_SQL} GROUP BY 1, 2 HAVING count(*) > 1")
@@ -618,10 +712,10 @@ def voltage_class(spark, d):
 @query(
     """SELECT DISTINCT l_suppkey AS bus_i, l_partkey AS bus_j, greatest(s_acctbal, p_retailprice) AS voltage FROM lineitem
     LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey < 10 LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25
-    WHERE l_quantity >= 45"""
+"""
 )
 def endpoint_voltage(spark, d):
-    edges = table(spark, d, "lineitem").filter("l_quantity >= 45").select(F.col("l_suppkey").alias("bus_i"), F.col("l_partkey").alias("bus_j")).distinct()
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("bus_i"), F.col("l_partkey").alias("bus_j")).distinct()
     s = table(spark, d, "supplier").filter("s_nationkey < 10").select(F.col("s_suppkey").alias("bus_i"), F.col("s_acctbal").alias("a"))
     p = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("bus_j"), F.col("p_retailprice").alias("b"))
     return edges.join(s, "bus_i", "left").join(p, "bus_j", "left").select("bus_i", "bus_j", F.greatest("a", "b").alias("voltage"))
@@ -692,4 +786,7 @@ def endpoint_distance(spark, d):
     ends = table(spark, d, "customer").join(table(spark, d, "supplier"), station == key % 100)
     place = [(x % m - h).cast("double") for x, m, h in ((key, 60, 30), (key, 90, 45), (station, 50, 25), (station, 80, 40))]
     rows = ends.select((F.col("c_nationkey") % 4).alias("class"), S.haversine_km(*place).alias("km"))
-    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("km"), 4).alias("median_km"))
+    return C.exact_median(rows, "class", "km").select("class", "n", F.round("median", 4).alias("median_km"))
+
+
+from gridlake.plans import catalog_model  # noqa: E402, F401  (registers more queries)

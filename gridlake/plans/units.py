@@ -82,7 +82,7 @@ def with_plants(units: DataFrame, plants: DataFrame, preferred: DataFrame | None
     return L.ready_split(out.withColumn("bus_conexion", F.col("dest")))
 
 
-def nodal_balance(buses: DataFrame, units: DataFrame, loads_: DataFrame, fictitious_mw: float = 9990.0) -> DataFrame:
+def nodal_balance(buses: DataFrame, units: DataFrame, loads_: DataFrame, fictitious_mw: float = config.Study.fictitious_mw) -> DataFrame:
     """Balance of the model's nodes from active, connected units and loads."""
     on = C.active_units(units, fictitious_mw).filter("match_type != 'sin_conexion'").withColumn("_at", F.col("dest"))
     off = loads_.filter("stat = 1 AND match_type != 'sin_conexion'").withColumn("_at", F.col("dest"))
@@ -96,7 +96,7 @@ def point_layer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("geometry", Y.point_wkt(F.col("lon"), F.col("lat"))).filter("geometry IS NOT NULL")
 
 
-def capacity_by_carrier(units: DataFrame, fictitious_mw: float = 9000.0) -> DataFrame:
+def capacity_by_carrier(units: DataFrame, fictitious_mw: float = config.Study.fictitious_total_mw) -> DataFrame:
     """Units and MW of each carrier, fictitious units left out of the MW."""
     real = F.when(F.col("pt_mw") < fictitious_mw, F.col("pt_mw"))
     return units.groupBy("carrier").agg(F.count(F.lit(1)).alias("units"), F.sum(real).alias("mw")).orderBy(F.col("mw").desc(), "carrier")

@@ -15,17 +15,3 @@ GENERATOR = "rec_no long, bus_id long, unit_id string, pg_mw double, stat int, p
 LOAD = "rec_no long, bus_id long, unit_id string, stat int, pl_mw double, ip double, yp double"
 OWNER = "rec_no long, owner int, owner_name string"
 AREA = "rec_no long, area int, area_name string"
-HEADER = "rec_no long, line string"
-
-BUSES_FINAL = (
-    "bus_id BIGINT, bus_name STRING, bus_name_raw STRING, bus_type STRING, baskv_kv DOUBLE, ide INT, ide_desc STRING, "
-    "vm_pu DOUBLE, va_deg DOUBLE, lat DOUBLE, lon DOUBLE, parent_bus_id BIGINT, name_geo STRING"
-)
-LINES_RAW = (
-    "line_id INT, line_key STRING, bus_i BIGINT, bus_j BIGINT, ckt STRING, r_pu DOUBLE, x_pu DOUBLE, b_pu DOUBLE, "
-    "ratea_mva DOUBLE, rating_defined BOOLEAN, len_km DOUBLE, element_type STRING, in_service BOOLEAN"
-)
-TRAFOS_RAW = (
-    "trafo_id INT, trafo_key STRING, bus_i BIGINT, bus_j BIGINT, ckt STRING, origin STRING, r_pu DOUBLE, x_pu DOUBLE, "
-    "sbase_mva DOUBLE, in_service BOOLEAN"
-)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared checkpoint folder; a temporary one only where none is set."""
+    """``df`` checkpointed in the shared checkpoint folder; on a local master, in a temporary one where none is set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridlake-checkpoint-"))
     return df.checkpoint()
 

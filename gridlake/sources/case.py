@@ -150,11 +150,13 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
 def corrupt_records(spark: SparkSession, path: str, section: str) -> DataFrame:
     """(path, line) of records that cannot be parsed."""
 
-    @F.udf("array<string>")
-    def bad(text: str) -> list[str]:
-        return [line for line, record in records(text or "", section) if record is None]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bad = [line for line, record in records(text or "", section) if record is None]
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(bad), pa.string()), pa.array(bad, pa.string())], ["path", "line"])
 
-    return case_texts(spark, path).select("path", F.explode(bad("text")).alias("line"))
+    return case_texts(spark, path).select("path", "text").mapInArrow(work, "path string, line string")
 
 
 def slice_section(text: Column, begin: str, end: str) -> Column:

@@ -6,16 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def require(spark: SparkSession, *paths: str) -> None:
+    """Raises FileNotFoundError with all the paths that match nothing, before any job runs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    absent = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(conf).globStatus(where)
+        if not found:
+            absent.append(path)
+    if absent:
+        raise FileNotFoundError(", ".join(absent))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed CSV with a header; a missing path raises before anything runs."""
+    require(spark, path)
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with every column as text and empty text for missing values."""
+    require(spark, path)
     return spark.read.csv(path, header=True, inferSchema=False).na.fill("")
 
 
+def read_aliases(spark: SparkSession, path: str, most: int = 100_000) -> dict[str, str | None]:
+    """The alias table (alias, canonical; no canonical name discards) as a dictionary of at most ``most`` entries."""
+    require(spark, path)
+    rows = spark.read.schema("alias string, canonical string").csv(path, header=True).filter("alias IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} aliases")
+    return {r["alias"].strip().upper(): (r["canonical"] or "").strip().upper() or None for r in rows}
+
+
 def without_index(df: DataFrame) -> DataFrame:
     return df.drop("Unnamed: 0", "_c0")
 

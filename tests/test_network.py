@@ -254,3 +254,175 @@ def test_entry():
     import __spark_entry__ as e
 
     assert "node_balance" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components_and_starts(spark, monkeypatch, one_task):
+    monkeypatch.setattr(G, "ONE_TASK_EDGES", one_task)
+    rnd = random.Random(9)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(60)]
+    edges = [e for e in edges if e[0] != e[1]]
+    graph = G.build_graph(spark.createDataFrame(edges, "i long, j long"))
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.node: r.comp for r in G.connected_components(graph).collect()}
+    assert got == {x: find(x) for x in root}
+    text = G.connected_components(graph.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+    assert len({r.comp for r in text.collect()}) == len(set(got.values()))
+    starts = [130, 999, edges[0][0]]
+    found = {r.node: r.comp for r in G.components_of(spark.createDataFrame([(s,) for s in starts], "node long"), graph).collect()}
+    assert found == {x: find(x) for x in root if find(x) in {find(130), find(edges[0][0])}} | {999: 999}
+    assert G.connected_components(graph.limit(0)).count() == 0
+
+
+def test_nearest_target_without_paths_and_bounds(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    graph = G.build_graph(spark.createDataFrame([(i, i + 1) for i in range(9)], "i long, j long"))
+    targets = spark.createDataFrame([(0, 500.0)], "node long, kv double")
+    rows = {r.node: r for r in G.nearest_target(graph, targets, paths=False).collect()}
+    assert {n: (r.hops, r.parent) for n, r in rows.items()} == {0: (0, None)} | {i: (i, i - 1) for i in range(1, 10)}
+    near = {r.node: r.path for r in G.nearest_target(graph, targets, most_hops=4).collect()}
+    assert near == {i: list(range(i, -1, -1)) for i in range(5)}
+    assert G.nearest_target(graph, targets.limit(0)).count() == 0
+
+
+def test_topology_report(spark):
+    buses = spark.createDataFrame(
+        [(i, f"N{i}", "500kV") for i in range(1, 10)] + [(20, "S20", "secundario")], "bus_id long, bus_name string, bus_type string"
+    )
+    lines = [("a", 1, 2), ("b", 2, 3), ("c", 4, 5), ("gone", 1, 77), ("z", 8, 9)]
+    lines = [(k, i, j, 0.0 if k == "z" else 0.1, 0.0 if k == "z" else 0.1, None if k == "b" else 9.0, "line", k != "a") for k, i, j in lines]
+    lines.append(("s", 3, 6, 0.1, -0.1, 5.0, "series_compensator", True))
+    lines = spark.createDataFrame(lines, "line_key string, bus_i long, bus_j long, r_pu double, x_pu double, ratea_mva double, element_type string, in_service boolean")
+    trafos = spark.createDataFrame([("t", 7, 20), ("u", 78, 79)], "trafo_key string, bus_i long, bus_j long")
+    spare = buses.unionByName(spark.createDataFrame([(10, "N10", "500kV")], buses.schema))
+    got = sorted(tuple(r) for r in C.topology_report(spare, lines, trafos).collect())
+    assert got == [
+        ("bus_aislado", "N10", "sin lineas, compensadores ni transformadores"),
+        ("impedancia_cero", "z", "r_pu=0 y x_pu=0"),
+        ("isla_desconectada", "isla_1", "N4, N5"),
+        ("isla_desconectada", "isla_2", "N8, N9"),
+        ("isla_desconectada", "isla_3", "N10"),
+        ("linea_huerfana", "gone", "buses ausentes: bus_j=77"),
+        ("sin_rating", "b", "ratea_mva = NaN"),
+        ("trafo_huerfano", "u", "buses ausentes: bus_i=78, bus_j=79"),
+    ]
+    notes = sorted(tuple(r) for r in C.topology_notes(spare, lines, trafos).collect())
+    assert notes == [("compensador", "N6", "esperado"), ("fuera_de_servicio", "a", "in_service=False"), ("solo_trafo", "N7", "esperado")]
+
+
+def test_model_to_the_end(spark, case, tmp_path):
+    from gridlake.plans import model as P
+    from gridlake.plans import units as U
+    from gridlake.sources.tables import read_aliases
+
+    net = network(spark, case)
+    manual = spark.createDataFrame([(1, "North", -31.0, -60.0), (2, "South B", -32.5, -61.0)], "bus_id long, name_geo string, lat double, lon double")
+    buses = P.final_buses(net, manual)
+    rows = {r.bus_id: r for r in buses.collect()}
+    assert [r.bus_id for r in buses.collect()] == [1, 2, 5, 10, 11, 12, 13]
+    assert (rows[10].lat, rows[10].bus_type, rows[10].parent_bus_id) == (-31.0, "secundario", 1) and rows[5].lat is None
+    (tmp_path / "aliases.csv").write_text("alias,canonical\nSOUTHB,SOUTH B\nSOUTH B,SOUTH B\nLINK,\n")
+    aliases = read_aliases(spark, str(tmp_path / "aliases.csv"))
+    assert aliases == {"SOUTHB": "SOUTH B", "SOUTH B": "SOUTH B", "LINK": None}
+    (tmp_path / "lines.json").write_text(
+        '{"features": [{"geometry": {"type": "LineString", "coordinates": [[-60, -31], [-61, -32.5]]},'
+        ' "properties": {"id": 7, "Nombre": "Link North - South B 500 1", "Tension": 500}}]}'
+    )
+    found = P.features(read_line_features(spark, str(tmp_path / "lines.json")), aliases)
+    assert found.first().tokens == ["NORTH", "SOUTH B"]
+    by_hand = spark.createDataFrame([], "line_key string, feature_id long")
+    lines = P.drawn(net["lines"], buses, found, by_hand)
+    status = {r.line_key: (r.match_status, r.geometry) for r in lines.collect()}
+    assert status == {"NORTH, A-SOUTH B-1": ("directo", "LINESTRING (-60 -31, -61 -32.5)"), "NORTH, A-SOUTH B-2": ("compensador", "")}
+    model = P.network_object(buses, lines, net["trafos"])
+    one = {r.name: r for r in model["lines"].collect()}["NORTH, A-SOUTH B-1"]
+    assert (one.bus0, one.bus1, round(one.r, 6), round(one.x, 6), one.s_nom) == ("NORTH, A", "SOUTH B", 2.5, 25.0, 100.0)
+    trafos = {r.bus1: r.s_nom for r in model["transformers"].collect()}
+    assert trafos == {"NORTH, A_13.2kV_1": 200.0, "NORTH, A_13.2kV_2": 100.0, "SOUTH B_132kV": 111.0, "SOUTH B_15.8kV": 222.0}
+    P.write_model(str(tmp_path / "model"), model)
+    assert spark.read.parquet(str(tmp_path / "model/transformers")).count() == 4
+    findings = {tuple(r)[:2] for r in C.topology_report(buses, net["lines"], net["trafos"]).collect()}
+    assert findings == {("bus_aislado", "WEST E"), ("isla_desconectada", "isla_1"), ("sin_rating", "NORTH, A-SOUTH B-2")}
+    layers = P.model_layers(buses, lines, net["trafos"])
+    path = str(tmp_path / "model.gpkg")
+    assert P.write_layers(layers, path) == {"buses_500kv": 2, "buses_sec": 4, "lines_500kv": 1, "trafos_500kv": 4}
+    units = U.generators(spark, case, net["buses"].select("bus_id"))
+    balance = U.nodal_balance(buses, units, U.loads(spark, case, net["buses"].select("bus_id")))
+    assert P.write_layers({"balance": P.balance_layer(balance, buses)}, path, fresh=False) == {"balance": 6}
+    plants = spark.createDataFrame([("LOW 1", "Plant", "HI", -30.0, -60.0)], "plant_code string, plant_name string, plant_type string, lat double, lon double")
+    assert P.unit_layer(U.with_plants(units, plants)).first().geometry == "POINT (-60.000000 -30.000000)"
+    assert P.bus_summary(buses).filter("kv = '500kV'").first().unlocated == 1
+    named = [df.withColumnsRenamed({"bus_i": "bus0", "bus_j": "bus1"}) for df in (lines.drop("kv_i"), net["trafos"])]
+    at = spark.createDataFrame([("l1", 12), ("l2", 5), ("l3", 999)], "name string, bus long")
+    five = P.component_layers(buses, *named, at, at)
+    assert {n: df.count() for n, df in five.items()} == {"buses": 6, "lines": 2, "transformers": 4, "loads": 1, "generators": 1}
+    assert five["loads"].first().v_class == "132 kV" and five["transformers"].filter("v_class = '500 kV'").count() == 4
+
+
+def test_table_files(spark, tmp_path):
+    from gridlake.sinks.tables import write_csv, write_matched
+    from gridlake.sources.tables import read_csv, read_text_csv, require
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, 2.5)], "n int, geometry string, x double").withColumn("match_status", F.lit("directo"))
+    df = df.withColumn("geo_nombre", F.lit("g"))
+    write_csv(df, str(tmp_path / "t"), ["x", "n"])
+    assert sorted(read_csv(spark, str(tmp_path / "t"), "x double, n int").collect(), key=lambda r: r.n) == [(None, 1), (2.5, 2)]
+    write_matched(df, str(tmp_path / "m"))
+    text = read_text_csv(spark, str(tmp_path / "m"))
+    assert text.columns == ["n", "x", "geo_nombre", "match_status", "geometry"]
+    assert sorted(tuple(r) for r in text.collect()) == [("1", "", "g", "directo", "a"), ("2", "2.5", "g", "directo", "")]
+    with pytest.raises(FileNotFoundError, match="absent_1.*absent_2"):
+        require(spark, str(tmp_path / "absent_1"), str(tmp_path / "t"), str(tmp_path / "absent_2"))
+    with pytest.raises(FileNotFoundError):
+        read_csv(spark, str(tmp_path / "none.csv"), "a int")
+
+
+def test_exact_median(spark):
+    rnd = random.Random(2)
+    rows = [(k, rnd.choice([None, float(rnd.randrange(50))])) for k in (1, 2, 3) for _ in range(k * 17)] + [(4, 7.5)]
+    got = {r.k: (r.n, r["median"]) for r in C.exact_median(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()}
+    for k in (1, 2, 3, 4):
+        values = sorted(v for key, v in rows if key == k and v is not None)
+        middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+        assert got[k] == (len(values), middle)
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from gridlake import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():
+            return Context
+
+        @staticmethod
+        def isDefined():
+            return False
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context
+
+            class conf:
+                @staticmethod
+                def get(key, default):
+                    return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.cut(Frame)
