@@ -4,8 +4,9 @@ Texts are equal when identical after deleting white space.  One scan reduces eve
 its length and a SHA-256 digest.  A Misra-Gries sketch (Spark's ``approx_top_k``, a frequent-items
 sketch of the Misra-Gries family) finds digests that may be frequent; an exact aggregate verifies
 them and picks their winners, at most ``heavy`` rows, which are broadcast so that rows of heavy
-digests are settled where they lie.  The remaining digests, each below a share of about
-1 / (0.75 * tracked) of the rows, meet in an ordinary shuffle of small rows.
+digests are settled where they lie.  The remaining digests, each below a share of about 1 / ``heavy``
+of the rows (only ``heavy`` candidates are returned, and at least 0.75 * ``tracked`` are told apart),
+meet in an ordinary shuffle of small rows.
 
 Defined results: a null text counts as empty; all-blank and empty texts form one group; ties in
 length go to the smallest id, nulls last; rows that repeat an id and text are told apart by a row

@@ -309,3 +309,16 @@ def test_recall_at_the_threshold(spark):
             b = {tuple(other[k : k + 5]) for k in range(len(other) - 4)}
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
     assert sum(not r.kept for r in N.near_dedup(docs(spark, rows)).collect()) == pairs
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(6)
+    words = [rnd.choice(WORDS) + str(i % 977) for i in range(120_000)]
+    long = " ".join(words)
+    near = " ".join([*words[:50_000], "other", *words[50_000:]])
+    rows = [(1, long), (2, near), (3, long.replace(" ", "\n")), (4, "few words"), (5, None)]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in N.near_dedup(docs(spark, rows)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert got[1][1] == len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    exact = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs(spark, rows)).collect()}
+    assert exact == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 1), 5: (5, 1)}

@@ -240,6 +240,16 @@ def test_licenses(spark):
     assert LI.license_scan(docs(spark, []), LI.known_licenses(spark)).count() == 0
 
 
+def test_licenses_beside_near_misses_and_long_texts(spark):
+    texts = dict(LI.full_texts())
+    word = texts["Unlicense text"].replace("encumbered", "encumberd")
+    long = texts["Apache-2.0 text"] * 60
+    rows = [(1, texts["Unlicense text"], "a"), (2, word, "a"), (3, texts["BSL-1.0 text"] + "\n\n", "a"), (4, "x " + texts["BSL-1.0 text"], "a"),
+            (5, long, "a"), (6, texts["MPL-2.0 text"][:-40], "a"), (7, "\n" * 500_000 + LI.ISC, "a"), (None, LI.ISC, "a")]
+    got = {r.doc_id: r.license_id for r in LI.license_scan(docs(spark, rows), LI.known_licenses(spark)).collect()}
+    assert got == {1: "Unlicense text", 2: None, 3: "BSL-1.0 text", 4: None, 5: None, 6: None, 7: "ISC", None: "ISC"}
+
+
 def test_full_license_texts(spark):
     texts = dict(LI.full_texts())
     names = ["Apache-2.0", "CC0-1.0", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"]
@@ -591,3 +601,161 @@ def test_html_against_another_parser():
         other.feed(page)
         other.close()
         assert H.main_text(page).split() == "".join(other.out).split(), page
+
+
+def test_pipeline_without_rows_texts_or_ids(spark, tmp_path):
+    import corpus_pipeline as C
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(1, None, None, None, None), (None, "a text without an id", "en", "s", 20), (None, None, None, None, None), (2, "", "en", "", 0),
+           (3, " \t\n", None, "s", 3), (4, "plain words of a short text", "en", None, 27), (4, "plain words of a short text", "en", None, 27)]
+    for n, rows in enumerate(([], odd)):
+        sf = str(tmp_path / str(n))
+        spark.createDataFrame(rows, kinds).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        left = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in C.STAGES:
+            left = stage(spark, left, sf)
+            left.write.parquet(f"{sf}/{name}")
+            left = spark.read.parquet(f"{sf}/{name}")
+            if name != "packing":
+                assert left.columns == [c.split()[0] for c in kinds.split(", ")]
+            if name in ("toxicity", "line_dedup"):
+                assert left.count() == len(rows)
+        assert left.count() == C.run(spark, sf).count()
+        if not rows:
+            assert left.count() == 0
+
+
+def brute_stages(rows, model):
+    """Rows kept by toxicity, their texts after line dedup, and the ids near dedup keeps, all by pairs."""
+    from test_dedup import brute_lines
+
+    clean = [r for r in rows if model.probability(np.array([model.features(r[1])]))[0] < 0.5]
+    cut = [(i, t, s) for (i, _, s), t in zip(clean, brute_lines([(i, t) for i, t, _ in clean]), strict=True)]
+    sets = {}
+    for i, t, _ in cut:
+        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    return clean, cut, {i for i in sets if root[i] == i}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+
+    rnd = random.Random(12)
+    line = "a line of nine words that some texts share"
+    rows = []
+    for i in range(70):
+        parts = [" ".join(rnd.choices(VOCABULARY, k=rnd.randrange(5, 40))) for _ in range(rnd.randrange(1, 4))]
+        rows.append((i, "\n".join([*parts, line] if i % 6 == 0 else parts), f"s{i % 3}"))
+    for i in range(70, 90):
+        words = rnd.choice(rows[:70])[1].split(" ")
+        words[rnd.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words), "s1"))
+    rows += [(90 + i, f"you idiot you worthless scum and trash {' '.join(rnd.choices(VOCABULARY, k=9))} you moron", "s0") for i in range(12)]
+    labels = [(i, 1, int(i >= 90)) for i, _, _ in rows]
+    sf = str(tmp_path)
+    table = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    table.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    model = X.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    clean, cut, kept = brute_stages(rows, model)
+    left, got = table, {}
+    for name, stage in C.STAGES:
+        stage(spark, left, sf).write.parquet(f"{sf}/{name}")
+        left = spark.read.parquet(f"{sf}/{name}")
+        got[name] = left.collect()
+    assert {r.doc_id for r in got["toxicity"]} == {i for i, _, _ in clean} == set(range(90))
+    assert sorted((r.doc_id, r.text) for r in got["line_dedup"]) == sorted((i, t) for i, t, _ in cut)
+    assert {r.doc_id for r in got["near_dedup"]} == kept
+    sizes = {r.doc_id: len((r.text or "").split()) for r in got["near_dedup"]}
+    times = Counter(r.doc_id for r in got["mixing"])
+    assert all(n <= 2 for n in times.values()) and set(times) <= kept
+    by_source, total = Counter(), sum(sizes.values())
+    own = {r.doc_id: r.source for r in got["near_dedup"]}
+    for i, n in times.items():
+        by_source[own[i]] += n * sizes[i]
+    full = [sum(n for i, n in sizes.items() if own[i] == s) for s in ("s0", "s1", "s2")]
+    for s, want in zip(("s0", "s1", "s2"), M.targets(full, [3, 1, 2], 1.5, 2), strict=True):
+        assert abs(by_source[s] - want) <= max(max(sizes.values()), 0.02 * total)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = Counter()
+    for r in got["mixing"]:
+        tokens[r.doc_id] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    pieces = Counter()
+    fill = Counter()
+    for r in got["packing"]:
+        pieces[r.doc_id] += r.length
+        fill[r.sequence_id] += r.length
+    assert pieces == tokens and max(fill.values()) <= 1024
+
+
+def brute_density(page):
+    """Text of the densest subtree by the formulas, recursively, over a page of plain divs, paragraphs and links."""
+    import xml.etree.ElementTree as E
+
+    def counts(node):
+        c = sum(map(len, "".join([node.text or "", *(x.tail or "" for x in node)]).split()))
+        lc = tags = links = 0
+        for x in node:
+            a, b, t, n = counts(x)
+            c, lc, tags, links = c + a, lc + b, tags + t + 1, links + n + (x.tag == "a")
+        return c, c if node.tag == "a" else lc, tags, links
+
+    root = E.fromstring(page)
+    whole = counts(root)
+
+    def density(node):
+        c, lc, t, n = counts(node)
+        if not c:
+            return 0.0
+        t, n = max(t, 1), max(n, 1)
+        base = math.log(c * lc / max(c - lc, 1) + whole[1] / max(whole[0], 1) * c + math.e)
+        return c / t * max(math.log(c * t / (max(lc, 1) * n)), 0.0) / math.log(max(base, 1.0) + math.e - 1)
+
+    def own_text(node):
+        return any((x or "").strip() for x in [node.text, *(y.tail for y in node)])
+
+    nodes = list(root.iter())
+    up = {y: x for x in nodes for y in x}
+    total = {x: sum(density(y) for y in x) + (density(x) if own_text(x) else 0) for x in nodes}
+    best = max(nodes, key=lambda x: total[x])
+    path, node = [density(best)], best
+    while node in up:
+        node = up[node]
+        path.append(density(node))
+    return best, min(path), {x: density(x) for x in nodes}, total, root
+
+
+def test_density_sums(spark):
+    rnd = random.Random(4)
+    for _ in range(60):
+        def block(depth):
+            if not depth or rnd.random() < 0.3:
+                return f"<p>{' '.join(rnd.choices(VOCABULARY, k=rnd.randrange(1, 30)))}</p>"
+            if rnd.random() < 0.3:
+                return "<div>" + "".join(f"<a>{rnd.choice(VOCABULARY)}</a>" for _ in range(rnd.randrange(1, 8))) + "</div>"
+            return "<div>" + "".join(block(depth - 1) for _ in range(rnd.randrange(1, 5))) + "</div>"
+
+        page = "<body>" + "".join(block(3) for _ in range(3)) + "</body>"
+        best, threshold, densities, total, root = brute_density(page)
+        mine = H.measure(H.parse(page))
+        assert sorted(round(x.density, 6) for x in mine) == sorted(round(x, 6) for x in densities.values())
+        assert abs(max(x.sum for x in mine) - total[best]) < 1e-6
+        text = H.main_text(page).split()
+        wanted = [w for x in root.iter() if x is best for w in " ".join(x.itertext()).split()]
+        assert set(wanted) <= set(" ".join(H.main_text(page).split("\n")).split()) or any(x.tag == "a" for x in best.iter())
+        assert len(text) <= len(" ".join(root.itertext()).split())
