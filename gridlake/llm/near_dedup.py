@@ -32,6 +32,8 @@ from .linking import link
 from .words import column_words, distinct, mix, seeds, shingles
 
 _U = np.uint64
+BROADCAST_ROWS = 1_000_000  # rows of two numbers that are broadcast
+
 
 
 def signatures(docs: DataFrame, k: int, coords: int, id_col: str, text_col: str) -> DataFrame:
@@ -229,7 +231,8 @@ def near_dedup(
     if clusters.isEmpty():
         label = clusters
     else:
-        items = full_sets(docs, clusters, k, id_col, text_col).join(clusters, "id")
+        few = clusters.count() <= BROADCAST_ROWS  # then the sets, the largest rows here, are shuffled once only
+        items = full_sets(docs, clusters, k, id_col, text_col).join(F.broadcast(clusters) if few else clusters, "id")
         items = materialize(items.select(F.col("comp").alias("gid"), "id", "n", "payload"), "sets")
         label = link(items, similar(percent))
     label = label.select(F.col("id").alias("rep"), "comp")
@@ -252,7 +255,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """Stage form: one document of each group stays (the smallest id), with the columns of ``docs``."""
     kept = near_dedup(docs, k=5).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
     gone = materialize(kept.filter("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    small = gone.count() <= 1_000_000  # 8 MB of ids
+    small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
