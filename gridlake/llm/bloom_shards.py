@@ -31,6 +31,7 @@ from .words import buffers, groups, mix, seeds, word_hashes
 
 _U = np.uint64
 SHARD_BYTES = 4 << 20  # of text, for each shard
+SHARDS_A_FILE = 8
 HOT = 4  # contexts with more than bytes / (HOT * shards) occurrences are dealt out by bigram
 K1, K2 = seeds(2, 57)
 START = _U(0x5851F42D4C957F2D)  # the context of a first word
@@ -168,7 +169,8 @@ def word_answers(rows: DataFrame, shards: int, hot_above: int) -> DataFrame:
                 order, starts = group.by_word(shards)
                 keys, n = group.words[order], group.word_counts[order].astype(np.uint32)
                 g = batch.column(0)[i].as_py()
-                out = [(s, g, _blob(keys[a:b]), _blob(n[a:b])) for s, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a]
+                some = np.flatnonzero(np.diff(starts))
+                out = [(int(s), g, _blob(keys[starts[s] : starts[s + 1]]), _blob(n[starts[s] : starts[s + 1]])) for s in some]
                 del group
                 if out:
                     yield _batch(schema, out)
@@ -221,10 +223,9 @@ def bigram_answers(rows: DataFrame, shards: int, hot) -> DataFrame:
                 ctx = group.context[group.run]
                 cut = np.searchsorted(group.run, group.starts)
                 out = []
-                for s in range(shards):
+                for s in np.flatnonzero(np.diff(group.starts)):
                     a, b, c, d = group.starts[s], group.starts[s + 1], cut[s], cut[s + 1]
-                    if b > a:
-                        out.append((s, g, _blob(group.nexts[a:b]), _blob(n[a:b]), _blob(ctx[c:d]), _blob(size[c:d])))
+                    out.append((int(s), g, _blob(group.nexts[a:b]), _blob(n[a:b]), _blob(ctx[c:d]), _blob(size[c:d])))
                 del group
                 if out:
                     yield _batch(schema, out)
@@ -285,12 +286,13 @@ def whole_lm_scores(docs: DataFrame, id_col: str, text_col: str, shard_bytes: in
         F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))
     ).first()
     shards = max(partitions(spark), size // shard_bytes + 1)
-    words = materialize(word_answers(rows, shards, max(size // (HOT * shards), 1)), "words")
+    files = max(partitions(spark), shards // SHARDS_A_FILE)  # each shard is worked on by itself; a task takes some in turn
+    words = materialize(word_answers(rows, shards, max(size // (HOT * shards), 1)).coalesce(files), "words")
     tops = words.filter("g = -1")
     tokens, types, mass = tops.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "mass")]).first()
     hot = tops.select(F.explode("hot").alias("h")).toArrow()["h"].to_numpy()  # at most HOT * shards / 2 words
     hot = spark.sparkContext.broadcast(np.sort(hot.astype(np.int64, copy=False).view(_U)))
-    grams = materialize(bigram_answers(rows, shards, hot), "bigrams")
+    grams = materialize(bigram_answers(rows, shards, hot).coalesce(files), "bigrams")
     zipped = F.inline(F.arrays_zip("hot", "total", "kinds", "sums"))
     top = grams.filter("g = -1").select(zipped).groupBy("hot").agg(*[F.sum(c).alias(c) for c in ("total", "kinds", "sums")]).toArrow()
     keys = top["hot"].to_numpy().astype(np.int64, copy=False).view(_U)
