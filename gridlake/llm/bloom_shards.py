@@ -43,6 +43,19 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def packed(texts: pa.Array) -> bytes:
+    """The texts of a group, compressed: rows of several MB are heavy for the JVM."""
+    batch = pa.record_batch([texts], ["text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: pa.Scalar) -> pa.Array:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch().column(0)
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a group of documents: g (a random number), bytes, ids, held, texts."""
 
@@ -50,16 +63,17 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             _, offsets = buffers(batch.column(2))
             for a, b in groups(offsets):
-                ids, held, texts = (
-                    pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(i).slice(a, b - a)) for i in range(3)
+                ids, held = (
+                    pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(i).slice(a, b - a)) for i in range(2)
                 )
+                texts = pa.array([packed(batch.column(2).slice(a, b - a))], pa.binary())
                 g = pa.array([int.from_bytes(os.urandom(8), "little") >> 1], pa.int64())
                 size = pa.array([int(offsets[b] - offsets[a])], pa.int64())
                 yield pa.RecordBatch.from_arrays([g, size, ids, held, texts], ["g", "bytes", "ids", "held", "texts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return arrow_map(rows, work, f"g long, bytes long, ids array<{kind}>, held array<boolean>, texts array<string>")
+    return arrow_map(rows, work, f"g long, bytes long, ids array<{kind}>, held array<boolean>, texts binary")
 
 
 def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -165,7 +179,7 @@ def word_answers(rows: DataFrame, shards: int, hot_above: int) -> DataFrame:
         schema = pa.schema([("shard", pa.int32()), ("g", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
         for batch in batches:
             for i in range(batch.num_rows):
-                group = Group(batch.column(2)[i].values, batch.column(1)[i].values)
+                group = Group(unpacked(batch.column(2)[i]), batch.column(1)[i].values)
                 order, starts = group.by_word(shards)
                 keys, n = group.words[order], group.word_counts[order].astype(np.uint32)
                 g = batch.column(0)[i].as_py()
@@ -216,7 +230,7 @@ def bigram_answers(rows: DataFrame, shards: int, hot) -> DataFrame:
         schema = pa.schema([("shard", pa.int32()), ("g", pa.int64()), *binary])
         for batch in batches:
             for i in range(batch.num_rows):
-                group = Group(batch.column(2)[i].values, batch.column(1)[i].values)
+                group = Group(unpacked(batch.column(2)[i]), batch.column(1)[i].values)
                 group.by_bigram(shards, hot.value)
                 g, n = batch.column(0)[i].as_py(), group.counts.astype(np.uint32)
                 size = np.diff(np.append(group.run, len(n))).astype(np.uint32)
@@ -355,12 +369,13 @@ def whole_lm_scores(docs: DataFrame, id_col: str, text_col: str, shard_bytes: in
                     continue
                 if held:
                     yield close()
-                held = tuple(pc.take(batch.column(j)[i].values, pa.array(np.arange(len(batch.column(j)[i])))) for j in (3, 4, 5))
+                ids, out = (pc.take(batch.column(j)[i].values, pa.array(np.arange(len(batch.column(j)[i])))) for j in (3, 4))
+                held = ids, out, unpacked(pa.scalar(batch.column(5)[i].as_py()))
         if held:
             yield close()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    types_of = {"g": "long", "kind": "int", "shard": "int", "ids": f"array<{kind}>", "held": "array<boolean>", "texts": "array<string>"}
+    types_of = {"g": "long", "kind": "int", "shard": "int", "ids": f"array<{kind}>", "held": "array<boolean>", "texts": "binary"}
     types_of |= {"x": "binary", "y": "binary", "z": "binary"}
 
     def shaped(df: DataFrame, number: int, **given) -> DataFrame:
