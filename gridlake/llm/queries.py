@@ -13,6 +13,7 @@ from .order_minhash import op3_order_minhash
 from .packing import op4_packing
 from .simhash import op12_simhash
 from .toxicity import op6_toxicity
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_near_dedup": op9_near_dedup,
     "op10_bloom_lm": op10_bloom_lm,
+    "op11_whitening": op11_whitening,
     "op12_simhash": op12_simhash,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op9_near_dedup": OP9_SQL}
