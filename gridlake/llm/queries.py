@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bloom_lm import op10_bloom_lm
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .hard_negatives import op13_hard_negatives
 from .html_text import op8_html_text
 from .licenses import OP5_SQL, op5_license_scan
 from .line_dedup import op7_line_dedup
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_bloom_lm": op10_bloom_lm,
     "op11_whitening": op11_whitening,
     "op12_simhash": op12_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op9_near_dedup": OP9_SQL}
