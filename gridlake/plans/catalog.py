@@ -789,4 +789,4 @@ def endpoint_distance(spark, d):
     return C.exact_median(rows, "class", "km").select("class", "n", F.round("median", 4).alias("median_km"))
 
 
-from gridlake.plans import catalog_model  # noqa: E402, F401  (registers more queries)
+from gridlake.plans import catalog_model, catalog_sources  # noqa: E402, F401  (they register more queries)

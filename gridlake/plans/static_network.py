@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from gridlake.config import Study
 from gridlake.functions import scalar as S
 from gridlake.operators import static as O
-from gridlake.sources.case import read_case
+from gridlake.sources.case import read_sections
 
 
 def network(spark: SparkSession, path: str, study: Study = Study()) -> dict[str, DataFrame]:
     """Tables buses, lines, trafos and secondary of a case."""
-    every = read_case(spark, path, "BUS")
+    case = read_sections(spark, path, "BUS", "BRANCH", "TRANSFORMER")
+    every = case["BUS"]
     buses = O.study_buses(every, study)
-    branch = O.with_end_names(O.with_both_ends(read_case(spark, path, "BRANCH"), buses), buses)
+    branch = O.with_end_names(O.with_both_ends(case["BRANCH"], buses), buses)
     if not study.keep_out_of_service:
         branch = branch.filter(F.col("st") == 1)
     lines = O.keyed(branch).withColumns(
@@ -28,7 +29,7 @@ def network(spark: SparkSession, path: str, study: Study = Study()) -> dict[str,
     )
     text = [F.col(c).cast("string") for c in ("bus_i", "bus_j", "ckt")]
     lines = O.numbered(lines, "line_id", *text)
-    trafos = O.decomposed(read_case(spark, path, "TRANSFORMER"), buses)
+    trafos = O.decomposed(case["TRANSFORMER"], buses)
     if study.normalize_2w:
         known = buses.select(F.col("bus_id").alias("bus_j"), F.lit(True).alias("_valid_j"))
         other = buses.select(F.col("bus_id").alias("bus_i"), F.lit(True).alias("_valid_i"))

@@ -11,26 +11,26 @@ from gridlake.functions import scalar as S
 from gridlake.operators import checks as C
 from gridlake.operators import graph as G
 from gridlake.operators import linkage as L
-from gridlake.sources.case import read_case
+from gridlake.sources.case import read_sections
 
 
-def case_graph(spark: SparkSession, path: str) -> DataFrame:
+def case_graph(case: dict[str, DataFrame]) -> DataFrame:
     """Every branch and transformer winding of a case, whatever its status."""
-    branch = read_case(spark, path, "BRANCH").select(F.col("bus_i").alias("i"), F.col("bus_j").alias("j"))
-    trafo = read_case(spark, path, "TRANSFORMER").select("i", "j", "k")
-    return G.build_graph(branch, trafo)
+    branch = case["BRANCH"].select(F.col("bus_i").alias("i"), F.col("bus_j").alias("j"))
+    return G.build_graph(branch, case["TRANSFORMER"].select("i", "j", "k"))
 
 
-def _nearest(spark: SparkSession, path: str, model: DataFrame, every: DataFrame) -> DataFrame:
-    kv = every.select(F.col("bus_id").alias("node"), F.col("baskv_kv").alias("kv"))
+def _nearest(case: dict[str, DataFrame], model: DataFrame) -> DataFrame:
+    kv = case["BUS"].select(F.col("bus_id").alias("node"), F.col("baskv_kv").alias("kv"))
     targets = model.select(F.col("bus_id").alias("node")).distinct().join(kv, "node", "left")
-    return G.nearest_target(case_graph(spark, path), targets)
+    return G.nearest_target(case_graph(case), targets)
 
 
 def _placed(units: DataFrame, nearest: DataFrame, every: DataFrame) -> DataFrame:
-    """Units with their node, hops and the path by names."""
+    """Units with their node, hops and the path by names, put together for nodes that carry a unit."""
     name = every.select("bus_id", "bus_name")
-    steps = nearest.select(F.col("node").alias("bus_id"), F.posexplode("path").alias("n", "step"))
+    used = nearest.join(units.select(F.col("bus_id").alias("node")), "node", "left_semi")
+    steps = used.select(F.col("node").alias("bus_id"), F.posexplode("path").alias("n", "step"))
     steps = steps.join(name.select(F.col("bus_id").alias("step"), F.col("bus_name").alias("step_name")), "step", "left")
     text = F.coalesce("step_name", F.col("step").cast("string"))
     ways = steps.groupBy("bus_id").agg(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))).alias("w"))
@@ -44,25 +44,27 @@ def _placed(units: DataFrame, nearest: DataFrame, every: DataFrame) -> DataFrame
 
 def generators(spark: SparkSession, path: str, model: DataFrame) -> DataFrame:
     """Home units with a carrier, each with its nearest model node.  ``model``: bus_id."""
-    every = read_case(spark, path, "BUS")
-    owner = read_case(spark, path, "OWNER").select("owner", "owner_name")
-    units = L.home_units(read_case(spark, path, "GENERATOR"), every).join(owner, "owner", "left")
+    case = read_sections(spark, path, "BUS", "OWNER", "GENERATOR", "BRANCH", "TRANSFORMER")
+    every = case["BUS"]
+    owner = case["OWNER"].select("owner", "owner_name")
+    units = L.home_units(case["GENERATOR"], every).join(owner, "owner", "left")
     known = S.lookup(config.OWNER_CARRIERS, F.col("owner"))
     carrier = F.coalesce(known, F.col("owner_name"), F.lit("unknown"))
     units = units.join(every.select("bus_id", F.col("bus_name").alias("_name")), "bus_id", "left")
     units = units.withColumn("carrier", S.resolved_carrier(carrier, F.col("_name"))).filter("carrier IS NOT NULL")
     units = units.withColumn("gen_key", F.concat_ws("-", F.col("bus_id").cast("string"), "unit_id"))
     units = units.select("gen_key", "bus_id", "carrier", "pg_mw", "pt_mw", "stat")
-    return _placed(units, _nearest(spark, path, model, every), every)
+    return _placed(units, _nearest(case, model), every)
 
 
 def loads(spark: SparkSession, path: str, model: DataFrame) -> DataFrame:
     """Home loads with their nearest model node."""
-    every = read_case(spark, path, "BUS")
-    rows = L.home_units(read_case(spark, path, "LOAD"), every)
+    case = read_sections(spark, path, "BUS", "LOAD", "BRANCH", "TRANSFORMER")
+    every = case["BUS"]
+    rows = L.home_units(case["LOAD"], every)
     rows = rows.withColumn("load_key", F.concat_ws("-", F.col("bus_id").cast("string"), "unit_id"))
     rows = rows.select("load_key", "bus_id", "stat", "pl_mw", "ip", "yp")
-    return _placed(rows, _nearest(spark, path, model, every), every)
+    return _placed(rows, _nearest(case, model), every)
 
 
 def load_check(rows: DataFrame) -> DataFrame:

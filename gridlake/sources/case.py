@@ -1,10 +1,11 @@
-"""Reader of sectioned power-flow case files.
+"""Records of sectioned power-flow case files.
 
 A case is one text file with sections between ``BEGIN <X> DATA`` and ``END OF <X> DATA`` lines, in
 ISO-8859-1, with comment lines, quoted names and positional fields; transformers take four or five
-lines.  Spark reads the files whole, from any store it can read, and each file's section is parsed in
-one task, so a folder of many cases is parsed in parallel.  Records that cannot be parsed are kept
-with their text in ``corrupt_records`` and dropped from the section.
+lines.  Files in a store that Arrow opens are read by the splittable source ``case``
+(:mod:`gridlake.sources.case_source`), all sections that are asked for in one scan; from other stores
+Spark reads the files whole, a file in a task.  Records that cannot be parsed are kept with their text
+in ``corrupt_records`` and dropped from the section.  ``rec_no`` rises with a record's place in its file.
 """
 
 from __future__ import annotations
@@ -19,17 +20,22 @@ from pyspark.sql import functions as F
 from gridlake import schemas
 
 
-def section_lines(text: str, section: str) -> Iterator[str]:
-    """Record lines of a section; blank lines, comments and lines after the end marker are left out."""
+def kept_line(line: str) -> bool:
+    """Whether a trimmed line is a record's: blank lines and comments are not."""
+    return bool(line) and not line.startswith(("@", "/", "0 /"))
+
+
+def section_lines(text: str, section: str) -> Iterator[tuple[int, str]]:
+    """Numbered record lines of a section; lines after the end marker are left out."""
     inside = False
-    for line in text.splitlines():
+    for number, line in enumerate(text.split("\n")):
         line = line.strip()
         if not inside:
             inside = f"BEGIN {section} DATA" in line
         elif f"END OF {section} DATA" in line:
             return
-        elif line and not line.startswith(("@", "/", "0 /")):
-            yield line
+        elif kept_line(line):
+            yield number, line
 
 
 def fields(line: str) -> list[str]:
@@ -79,34 +85,74 @@ SCHEMAS = {
 }
 
 
-def transformer_records(lines: Iterator[str]) -> Iterator[tuple[str, tuple | None]]:
-    """(first line, record or None): four physical lines for two windings, five for three."""
-    lines = iter(lines)
-    for first in lines:
-        try:
-            f = fields(first)
-            i, j, k = int(f[0]), int(f[1]), int(f[2])
-        except (ValueError, IndexError):
-            yield first, None
-            continue
-        rest = [next(lines, "") for _ in range(3 if k == 0 else 4)]
-        try:
-            z = fields(rest[0])
-            pairs = [_number(float, z, n) for n in range(9 if k else 3)]
-            yield first, (i, j, k or None, f[3], f[10], _integer(f[11]), *pairs, *[None] * (9 - len(pairs)))
-        except (ValueError, IndexError):
-            yield first, None
+#: Quotes stand in the first line of a transformer and in no other, so a record is found from any place in the section.
+HEAD = "'"
+
+
+def _transformer(lines: list[str]) -> tuple[tuple, int]:
+    """The record that the lines begin with, and how many of them it takes: four for two windings, five for three."""
+    f = fields(lines[0])
+    i, j, k = int(f[0]), int(f[1]), int(f[2])
+    size = 5 if k else 4
+    if len(lines) < size:
+        raise ValueError("a line is missing")
+    z = fields(lines[1])
+    pairs = [_number(float, z, n) for n in range(9 if k else 3)]
+    return (i, j, k or None, f[3], f[10], _integer(f[11]), *pairs, *[None] * (9 - len(pairs))), size
+
+
+def _held(held: list[tuple[int, str]]) -> Iterator[tuple[int, str, tuple | None]]:
+    number, first = held[0]
+    try:
+        record, size = _transformer([line for _, line in held])
+    except (ValueError, IndexError):
+        yield number, first, None
+        return
+    yield number, first, record
+    for number, line in held[size : size + 1]:
+        yield number, line, None
+
+
+def transformer_records(lines: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str, tuple | None]]:
+    """(number, first line, record or None).
+
+    Lines are held until the next first line, so a broken record, one with a missing line or one that is
+    followed by stray lines costs no line of the next.
+    """
+    held: list[tuple[int, str]] = []
+    for number, line in lines:
+        if held and HEAD in line:
+            yield from _held(held)
+            held = []
+        held.append((number, line))
+    if held:
+        yield from _held(held)
 
 
-def records(text: str, section: str) -> Iterator[tuple[str, tuple | None]]:
+def line_records(lines: Iterator[tuple[int, str]], section: str) -> Iterator[tuple[int, str, tuple | None]]:
+    """(number, line, record or None) of a section's numbered lines."""
     if section == "TRANSFORMER":
-        yield from transformer_records(section_lines(text, section))
+        yield from transformer_records(lines)
         return
-    for line in section_lines(text, section):
+    parse = ONE_LINE[section]
+    for number, line in lines:
         try:
-            yield line, ONE_LINE[section](fields(line))
+            yield number, line, parse(fields(line))
         except (ValueError, IndexError):
-            yield line, None
+            yield number, line, None
+
+
+def records(text: str, section: str) -> Iterator[tuple[int, str, tuple | None]]:
+    return line_records(section_lines(text, section), section)
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}[kind]
+
+
+def columns(section: str) -> list[tuple[str, str]]:
+    """(name, type) of a section's columns, ``rec_no`` first."""
+    return [tuple(x.split()) for x in SCHEMAS[section].split(", ")]
 
 
 def parsed(texts: DataFrame, column: str, section: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,16 +164,16 @@ def parsed(texts: DataFrame, column: str, section: str, keep: tuple[str, ...] =
         for batch in batches:
             rows, source = [], []
             for n, text in enumerate(batch.column(len(keep)).to_pylist()):
-                for number, (_, record) in enumerate(records(text or "", section)):
+                for number, _, record in records(text or "", section):
                     if record is not None:
                         rows.append((number, *record))
                         source.append(n)
             data = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
             if data:
                 carried = [batch.column(i).take(pa.array(source)) for i in range(len(keep))]
-                names = [*keep, *(x.split()[0] for x in schema.split(", "))]
-                kinds = [pa.string() if x.endswith("string") else pa.float64() if x.endswith("double") else pa.int32() if x.endswith(" int") else pa.int64() for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([*carried, *(a.cast(t) for a, t in zip(data, kinds, strict=True))], names)
+                names = [*keep, *(c for c, _ in columns(section))]
+                typed = [a.cast(arrow_type(t)) for a, (_, t) in zip(data, columns(section), strict=True)]
+                yield pa.RecordBatch.from_arrays([*carried, *typed], names)
 
     return texts.select(*keep, column).mapInArrow(work, kept + schema)
 
@@ -139,7 +185,36 @@ def case_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_case(spark: SparkSession, path: str, section: str) -> DataFrame:
     """Typed records of one section of the case file, folder or glob at ``path``."""
-    return parsed(case_texts(spark, path), "text", section)
+    from gridlake.sources.case_source import arrow_path, scan
+
+    known = arrow_path(spark, path)
+    if known is None:
+        return parsed(case_texts(spark, path), "text", section)
+    return section_of(scan(spark, known, [section]), section)
+
+
+def section_of(scan: DataFrame, section: str) -> DataFrame:
+    """The typed records of one section in a scan of the source ``case``."""
+    name = section.lower()
+    rows = scan.filter((F.col("section") == section) & F.col(name).isNotNull())
+    return rows.select("rec_no", *(f"{name}.{c}" for c, _ in columns(section)[1:]))
+
+
+def read_sections(spark: SparkSession, path: str, *sections: str) -> dict[str, DataFrame]:
+    """Typed records of several sections by name.
+
+    The files are parsed once into a table that has a folder for each section in the shared folder, so
+    that a stage reads only the sections and columns it uses.
+    """
+    from gridlake.session import written
+    from gridlake.sources.case_source import arrow_path, scan
+
+    known = arrow_path(spark, path)
+    if known is None:
+        texts = case_texts(spark, path)
+        return {s: parsed(texts, "text", s) for s in sections}
+    stage = written(scan(spark, known, list(sections)), "case", "section")
+    return {s: section_of(stage, s) for s in sections}
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
@@ -148,12 +223,18 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corrupt_records(spark: SparkSession, path: str, section: str) -> DataFrame:
-    """(path, line) of records that cannot be parsed."""
+    """(path, line): the first line of every record that cannot be parsed."""
+    from gridlake.sources.case_source import arrow_path, scan
+
+    known = arrow_path(spark, path)
+    if known is not None:
+        rows = scan(spark, known, [section]).filter((F.col("section") == section) & F.col("corrupt").isNotNull())
+        return rows.select("path", F.col("corrupt").alias("line"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bad = [line for line, record in records(text or "", section) if record is None]
+                bad = [line for _, line, record in records(text or "", section) if record is None]
                 yield pa.RecordBatch.from_arrays([pa.array([source] * len(bad), pa.string()), pa.array(bad, pa.string())], ["path", "line"])
 
     return case_texts(spark, path).select("path", "text").mapInArrow(work, "path string, line string")
