@@ -16,6 +16,8 @@ from gridlake.functions import text as X
 from gridlake.operators import checks as C
 from gridlake.operators import graph as G
 from gridlake.operators import linkage as L
+from gridlake.operators import nearest as N
+from gridlake.operators import profiles as H
 from gridlake.operators import static as O
 from gridlake.plans.registry import ORACLE_SQL, QUERIES, query, table
 from gridlake.session import cut
@@ -774,19 +776,64 @@ def summary_kpis(spark, d):
     return s.select("*", one).join(b.select("*", one), "one").drop("one")
 
 
+STATIONS_SQL = """e AS (SELECT c_custkey, c_nationkey % 4 AS class, c_custkey % 60 - 30.0::DOUBLE AS a, c_custkey % 90 * 3.9 - 175.0::DOUBLE AS b FROM customer),
+    s AS (SELECT s_suppkey, s_suppkey % 50 - 25.0::DOUBLE AS c, s_suppkey % 80 * 4.4 - 176.0::DOUBLE AS d FROM supplier),
+    h AS (SELECT c_custkey, class, s_suppkey, round(12742.0::DOUBLE * asin(sqrt(pow(sin(radians(c - a) / 2), 2)
+      + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))), 6) AS km FROM e, s),
+    n AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) = 1)"""
+
+
+def _near(spark, d):
+    """Every customer's place with the nearest of all suppliers' places."""
+    key, station = F.col("c_custkey"), F.col("s_suppkey")
+    lat = [(x % m - h).cast("double") for x, m, h in ((key, 60, 30), (station, 50, 25))]
+    lon = [(x % m).cast("double") * w - h for x, m, w, h in ((key, 90, 3.9, 175.0), (station, 80, 4.4, 176.0))]
+    ends = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 4).alias("class"), lat[0].alias("lat"), lon[0].alias("lon"))
+    stations = table(spark, d, "supplier").select(station.alias("station_id"), lat[1].alias("lat"), lon[1].alias("lon"))
+    return N.nearest_station(ends, stations)
+
+
+@query(f"WITH {STATIONS_SQL} SELECT c_custkey, s_suppkey, round(km, 4) AS km FROM n")
+def nearest_station(spark, d):
+    """The nearest station of every line end."""
+    return _near(spark, d).select("c_custkey", F.col("station_id").alias("s_suppkey"), F.round("km", 4).alias("km"))
+
+
+@query(f"WITH {STATIONS_SQL} SELECT class, count(*) AS n, round(median(km), 4) AS median_km FROM n GROUP BY class")
+def endpoint_distance(spark, d):
+    """Median distance of line ends to their nearest station by class."""
+    return C.exact_median(_near(spark, d), "class", "km").select("class", "n", F.round("median", 4).alias("median_km"))
+
+
+PROFILE_SQL = """r AS (SELECT user_id % 5 AS node, ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2),
+    k AS (SELECT h AS hour, TIMESTAMP '2024-01-01' + to_hours(CASE WHEN h >= 1416 THEN h + 24 ELSE h END) AS ts FROM range(8760) t(h)),
+    n AS (SELECT DISTINCT node FROM r),
+    g AS (SELECT n.node, k.hour, k.ts FROM n, k),
+    f AS (SELECT g.node, g.hour, g.ts, r.value FROM g ASOF LEFT JOIN r ON g.node = r.node AND g.ts >= r.ts),
+    v AS (SELECT f.node, hour, ts, coalesce(value, first_value(value IGNORE NULLS) OVER (PARTITION BY node ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS value FROM f)"""
+
+
+def _readings(spark, d):
+    return table(spark, d, "events").select((F.col("user_id") % 5).alias("node"), "ts", "value", F.col("event_id").alias("seq"))
+
+
 @query(
-    """WITH p AS (SELECT c_custkey, c_nationkey % 4 AS class, c_custkey % 60 - 30.0::DOUBLE AS a, c_custkey % 90 - 45.0::DOUBLE AS b,
-      s_suppkey % 50 - 25.0::DOUBLE AS c, s_suppkey % 80 - 40.0::DOUBLE AS d FROM customer JOIN supplier ON s_suppkey = c_custkey % 100),
-    h AS (SELECT class, 12742.0::DOUBLE * asin(sqrt(pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))) AS km FROM p)
-    SELECT class, count(*) AS n, round(median(km), 4) AS median_km FROM h GROUP BY 1"""
+    f"""WITH {PROFILE_SQL}, y AS (SELECT o_custkey % 6 AS node, sum(o_totalprice) AS mwh FROM orders GROUP BY 1),
+    t AS (SELECT node, sum(value) AS total FROM v GROUP BY 1)
+    SELECT y.node, CAST(k.hour AS INT) AS hour, k.ts, round(CASE WHEN total != 0 THEN value * mwh / total ELSE mwh / 8760 END, 3) AS mw
+    FROM y CROSS JOIN k LEFT JOIN t ON t.node = y.node LEFT JOIN v ON v.node = y.node AND v.hour = k.hour"""
 )
-def endpoint_distance(spark, d):
-    """Median distance of line ends to their station by class."""
-    key, station = F.col("c_custkey"), F.col("s_suppkey")
-    ends = table(spark, d, "customer").join(table(spark, d, "supplier"), station == key % 100)
-    place = [(x % m - h).cast("double") for x, m, h in ((key, 60, 30), (key, 90, 45), (station, 50, 25), (station, 80, 40))]
-    rows = ends.select((F.col("c_nationkey") % 4).alias("class"), S.haversine_km(*place).alias("km"))
-    return C.exact_median(rows, "class", "km").select("class", "n", F.round("median", 4).alias("median_km"))
+def hourly_demand(spark, d):
+    """Demand of a year by the hour: readings carried forward and scaled to the yearly energy; one node has no readings."""
+    energy = table(spark, d, "orders").groupBy((F.col("o_custkey") % 6).alias("node")).agg(F.sum("o_totalprice").alias("mwh"))
+    return H.demand_profile(_readings(spark, d), energy, 2024).withColumn("mw", F.round("mw", 3))
+
+
+@query(
+    f"""WITH {PROFILE_SQL} SELECT node, CAST(hour AS INT) AS hour, ts, round(greatest(value, 0) / max(greatest(value, 0)) OVER (PARTITION BY node), 6) AS p_max_pu FROM v"""
+)
+def hourly_availability(spark, d):
+    return H.availability_profile(_readings(spark, d), 2024).withColumn("p_max_pu", F.round("p_max_pu", 6))
 
 
 from gridlake.plans import catalog_model, catalog_sources  # noqa: E402, F401  (they register more queries)
