@@ -14,6 +14,8 @@ from gridlake.operators import linkage as L
 from gridlake.operators import static as O
 from gridlake.plans import model as P
 from gridlake.plans.registry import query, table
+from gridlake.session import scratch
+from gridlake.sinks.netcdf import read_netcdf
 
 BUSES_SQL = """nodes AS (SELECT p_partkey AS bus_id, 'B' || p_partkey AS bus_name, CASE WHEN p_size > 9 THEN '500kV' ELSE 'secundario' END AS bus_type,
   CAST(p_size * 12 AS DOUBLE) AS baskv_kv FROM part),
@@ -80,6 +82,23 @@ def network_lines(spark, d):
     return out.withColumns({"r": F.round("r", 4), "x": F.round("x", 4)})
 
 
+@query(
+    f"""WITH {BUSES_SQL}, {LINES_SQL} SELECT 'buses' AS component, bus_name AS name, CAST(NULL AS VARCHAR) AS bus0, baskv_kv AS v, lon AS x FROM placed
+    UNION ALL SELECT 'lines', line_key, a.bus_name, coalesce(ratea_mva, 0.0), round(coalesce(TRY_CAST(x_pu AS DOUBLE), 0) * a.baskv_kv * a.baskv_kv / 100, 4)
+    FROM lines JOIN nodes a ON a.bus_id = bus_i JOIN nodes b ON b.bus_id = bus_j WHERE match_status IS NULL OR match_status != 'pendiente_bus'"""
+)
+def network_file(spark, d):
+    """Buses and lines of the network object, written to a netCDF file by tasks and read back in slices."""
+    at = placed(spark, d)
+    model = P.network_object(at, lines(spark, d), table(spark, d, "orders").limit(0).selectExpr(
+        "o_orderkey AS trafo_id", "o_orderkey AS bus_i", "o_orderkey AS bus_j", "'T' AS trafo_key", "'0' AS r_pu", "'0' AS x_pu", "1.0D AS sbase_mva"))
+    path = f"{scratch(spark, 'network')}.nc"
+    P.write_model_file(path, model)
+    buses, edges = (read_netcdf(spark, path, c) for c in ("buses", "lines"))
+    own = buses.select(F.lit("buses").alias("component"), "name", F.lit(None).cast("string").alias("bus0"), F.col("v_nom").alias("v"), "x")
+    return own.unionByName(edges.select(F.lit("lines").alias("component"), "name", "bus0", F.col("s_nom").alias("v"), F.round("x", 4).alias("x")))
+
+
 @query(
     f"""WITH {BUSES_SQL}, t AS (SELECT o_orderkey AS id, o_custkey AS i, CAST(floor(o_totalprice) AS BIGINT) % 3000 AS j, 'T' || o_custkey AS k,
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS c,

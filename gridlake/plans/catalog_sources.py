@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlake.plans.registry import query, table
 from gridlake.session import scratch
 from gridlake.sources import case_source as S
+from gridlake.sources.xlsx import read_xlsx, write_xlsx
 
 CASE_FILES = 8
 
@@ -52,3 +53,19 @@ def case_sections(spark, d):
         "section", F.coalesce(bus["bus_id"], branch["bus_i"], trafo["i"]).alias("a"), F.coalesce(branch["bus_j"], trafo["j"]).alias("b"),
         F.coalesce(bus["bus_name"], branch["name"], trafo["name"]).alias("name"), value.alias("value"),
     )
+
+
+@query(
+    """SELECT p_partkey AS bus_id, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' <&> é' ELSE '' END AS name_geo, CASE WHEN p_partkey % 5 != 0 THEN p_retailprice / 100 END AS lat,
+    CASE WHEN p_partkey % 7 != 0 THEN CAST(-p_size AS DOUBLE) END AS lon FROM part"""
+)
+def spreadsheet_coordinates(spark, d):
+    """The coordinate table as workbooks, read by column name, a sheet a partition."""
+    key = F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        F.concat("p_name", F.when(key % 2 == 0, " <&> é").otherwise("")).alias("name_geo"), F.when(key % 5 != 0, F.col("p_retailprice") / 100).alias("lat"),
+        F.lit("note").alias("note"), F.when(key % 7 != 0, -F.col("p_size")).alias("lon"), key.alias("bus_id"),
+    )
+    path = scratch(spark, "coordinates")
+    write_xlsx(rows.repartition(4, "bus_id"), path)
+    return read_xlsx(spark, path, "bus_id long, name_geo string, lat double, lon double")

@@ -14,6 +14,7 @@ from gridlake.operators import layers as M
 from gridlake.operators import linkage as L
 from gridlake.operators import static as O
 from gridlake.sinks.gpkg import write_layer
+from gridlake.sinks.netcdf import write_netcdf
 from gridlake.sinks.tables import write_network
 
 
@@ -100,6 +101,11 @@ def write_model(path: str, model: dict[str, DataFrame]) -> None:
     write_network(path, model["buses"], model["lines"], model["transformers"])
 
 
+def write_model_file(path: str, model: dict[str, DataFrame], title: str = "") -> None:
+    """The network object as one netCDF file."""
+    write_netcdf(path, {c: model[c] for c in ("buses", "lines", "transformers")}, title)
+
+
 # ---- summaries of the stages
 
 
