@@ -6,15 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridlake.functions import scalar as S
 from gridlake.operators.graph import build_graph, components_of, islands, isolated
-from gridlake.operators.static import numbered, with_both_ends
+from gridlake.operators.static import numbered
 from gridlake.session import cut
 
 
-def finding(rows: DataFrame, tipo: str, elemento: Column, detalle: Column) -> DataFrame:
-    return rows.select(F.lit(tipo).alias("tipo"), elemento.alias("elemento"), detalle.alias("detalle"))
+def rule(tipo: str, elemento: Column, detalle: Column, when: Column) -> Column:
+    """A finding where the condition holds (null counts as not), else null."""
+    return F.when(when, F.struct(F.lit(tipo).alias("tipo"), elemento.alias("elemento"), detalle.alias("detalle")))
+
+
+def findings(rows: DataFrame, *rules: Column) -> DataFrame:
+    """All rules over one scan: a row's findings are made as an array and exploded."""
+    return rows.select(F.explode(F.array_compact(F.array(*rules))).alias("f")).select("f.*")
 
 
 def with_known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -26,41 +33,61 @@ def with_known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def orphans(edges: DataFrame, nodes: DataFrame, tipo: str, key: str) -> DataFrame:
-    rows = with_known_ends(edges, nodes).filter("NOT (known_i AND known_j)")
+def orphan(tipo: str, key: str) -> Column:
     absent = S.missing_ends(F.col("bus_i"), F.col("known_i"), F.col("bus_j"), F.col("known_j"))
-    return finding(rows, tipo, F.col(key), F.concat(F.lit("buses ausentes: "), absent))
+    return rule(tipo, F.col(key), F.concat(F.lit("buses ausentes: "), absent), ~(F.col("known_i") & F.col("known_j")))
 
 
-def zero_impedance(lines: DataFrame) -> DataFrame:
-    rows = lines.filter("r_pu = 0 AND x_pu = 0 AND element_type != 'series_compensator'")
-    return finding(rows, "impedancia_cero", F.col("line_key"), F.lit("r_pu=0 y x_pu=0"))
+def _zero(also: Column) -> Column:
+    none = (F.col("r_pu") == 0) & (F.col("x_pu") == 0) & (F.col("element_type") != "series_compensator")
+    return rule("impedancia_cero", F.col("line_key"), F.lit("r_pu=0 y x_pu=0"), none & also)
 
 
-def no_rating(lines: DataFrame) -> DataFrame:
-    return finding(lines.filter("ratea_mva IS NULL"), "sin_rating", F.col("line_key"), F.lit("ratea_mva = NaN"))
+def _unrated(also: Column) -> Column:
+    return rule("sin_rating", F.col("line_key"), F.lit("ratea_mva = NaN"), F.col("ratea_mva").isNull() & also)
+
 
+def _off(also: Column) -> Column:
+    return rule("fuera_de_servicio", F.col("line_key"), F.lit("in_service=False"), ~F.col("in_service") & also)
 
-def out_of_service(edges: DataFrame) -> DataFrame:
-    return edges.filter(~F.col("in_service"))
+
+def orphans(edges: DataFrame, nodes: DataFrame, tipo: str, key: str) -> DataFrame:
+    return findings(with_known_ends(edges, nodes), orphan(tipo, key))
+
+
+def zero_impedance(lines: DataFrame) -> DataFrame:
+    return findings(lines, _zero(F.lit(True)))
+
+
+def no_rating(lines: DataFrame) -> DataFrame:
+    return findings(lines, _unrated(F.lit(True)))
 
 
 def isolated_findings(kinds: DataFrame, names: DataFrame) -> DataFrame:
     rows = kinds.filter("kind = 'bus_aislado'").join(names.select("bus_id", "bus_name"), "bus_id", "left")
-    return finding(
-        rows,
-        "bus_aislado",
-        F.coalesce("bus_name", F.col("bus_id").cast("string")),
-        F.lit("sin lineas, compensadores ni transformadores"),
-    )
+    label = F.coalesce("bus_name", F.col("bus_id").cast("string"))
+    return findings(rows, rule("bus_aislado", label, F.lit("sin lineas, compensadores ni transformadores"), F.lit(True)))
 
 
-def island_findings(labels: DataFrame, ranked: DataFrame, names: DataFrame) -> DataFrame:
-    rows = labels.join(ranked.filter("rank > 1").select("comp", "isla"), "comp")
+def island_members(labels: DataFrame, ranked: DataFrame, names: DataFrame) -> DataFrame:
+    """(isla, size, node, name) of every node outside the main component."""
+    rows = labels.join(ranked.filter("rank > 1").select("comp", "isla", "size"), "comp")
     rows = rows.join(names.select(F.col("bus_id").alias("node"), "bus_name"), "node", "left")
-    label = F.coalesce("bus_name", F.col("node").cast("string"))
-    rows = rows.groupBy("isla").agg(F.array_join(F.array_sort(F.collect_list(label)), ", ").alias("members"))
-    return finding(rows, "isla_desconectada", F.col("isla"), F.col("members"))
+    return rows.select("isla", "size", "node", F.coalesce("bus_name", F.col("node").cast("string")).alias("name"))
+
+
+#: Names of an island that its finding lists; :func:`island_members` has them all.
+LISTED = 50
+
+
+def island_findings(members: DataFrame, listed: int = LISTED) -> DataFrame:
+    """One finding an island: its names in their order, of a larger one the first ``listed`` and the number of its nodes."""
+    place = F.row_number().over(Window.partitionBy("isla").orderBy("name", "node"))
+    first = members.withColumn("_place", place).filter(F.col("_place") <= listed)
+    names = F.array_sort(F.collect_list(F.struct("name", "node")))
+    rows = first.groupBy("isla", "size").agg(F.array_join(F.transform(names, lambda x: x["name"]), ", ").alias("names"))
+    more = F.when(F.col("size") > listed, F.concat(F.lit(", ... ("), F.col("size").cast("string"), F.lit(")"))).otherwise("")
+    return findings(rows, rule("isla_desconectada", F.col("isla"), F.concat("names", more), F.lit(True)))
 
 
 def report(*checks: DataFrame) -> DataFrame:
@@ -71,11 +98,14 @@ def line_graph(lines: DataFrame) -> DataFrame:
     return build_graph(lines, i="bus_i", j="bus_j")
 
 
-def top_kinds(buses: DataFrame, valid: DataFrame, trafos: DataFrame) -> DataFrame:
-    """(bus_id, kind) of the top-level buses without a line."""
-    comp = F.col("element_type") == "series_compensator"
+def marked(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines and transformers with known_i, known_j, each scanned and joined with the buses once, and the kinds of the top-level buses without a line."""
+    columns = ["line_key", "bus_i", "bus_j", "r_pu", "x_pu", "ratea_mva", "element_type", "in_service"]
+    lines = cut(with_known_ends(lines.select([c for c in columns if c in lines.columns]), buses))
+    trafos = cut(with_known_ends(trafos.select("trafo_key", "bus_i", "bus_j"), buses))
+    valid, comp = F.col("known_i") & F.col("known_j"), F.col("element_type") == "series_compensator"
     top = buses.filter("bus_type = '500kV'")
-    return isolated(top, valid.filter(~comp), valid.filter(comp), trafos)
+    return lines, trafos, isolated(top, lines.filter(valid & ~comp), lines.filter(valid & comp), trafos)
 
 
 def topology_report(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> DataFrame:
@@ -85,29 +115,54 @@ def topology_report(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> Da
     compensators, of the top-level buses that are neither a compensator's bar nor at transformers only;
     such buses are passed through and counted.
     """
-    valid = with_both_ends(lines, buses)
-    kinds = cut(top_kinds(buses, valid, trafos))
+    lines, trafos, kinds = marked(buses, lines, trafos)
+    kinds = cut(kinds)
+    valid = F.col("known_i") & F.col("known_j")
     starts = buses.filter("bus_type = '500kV'").select("bus_id").join(kinds.filter("kind != 'bus_aislado'"), "bus_id", "left_anti")
-    labels = cut(components_of(starts.withColumnRenamed("bus_id", "node"), line_graph(valid)))
+    labels = cut(components_of(starts.withColumnRenamed("bus_id", "node"), line_graph(lines.filter(valid))))
     return report(
-        orphans(lines, buses, "linea_huerfana", "line_key"),
-        orphans(trafos, buses, "trafo_huerfano", "trafo_key"),
+        findings(lines, orphan("linea_huerfana", "line_key"), _zero(valid), _unrated(valid)),
+        findings(trafos, orphan("trafo_huerfano", "trafo_key")),
         isolated_findings(kinds, buses),
-        island_findings(labels, islands(labels), buses),
-        zero_impedance(valid),
-        no_rating(valid),
+        island_findings(island_members(labels, islands(labels), buses)),
     )
 
 
 def topology_notes(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> DataFrame:
     """What the report only mentions: lines out of service, bars of compensators, buses at transformers only."""
-    valid = with_both_ends(lines, buses)
-    off = finding(out_of_service(valid), "fuera_de_servicio", F.col("line_key"), F.lit("in_service=False"))
-    expected = top_kinds(buses, valid, trafos).filter("kind != 'bus_aislado'").join(buses.select("bus_id", "bus_name"), "bus_id", "left")
+    lines, _, kinds = marked(buses, lines, trafos)
+    off = findings(lines, _off(F.col("known_i") & F.col("known_j")))
+    expected = kinds.filter("kind != 'bus_aislado'").join(buses.select("bus_id", "bus_name"), "bus_id", "left")
     name = F.coalesce("bus_name", F.col("bus_id").cast("string"))
     return off.unionByName(expected.select(F.col("kind").alias("tipo"), name.alias("elemento"), F.lit("esperado").alias("detalle")))
 
 
+def case_quality(buses: DataFrame, trafos: DataFrame, every: DataFrame, loads: DataFrame, most_mw: float = 0.05) -> DataFrame:
+    """What the stages say about their input, as findings; each table is scanned once.
+
+    Secondary ends of transformers that are top-level buses themselves (autotransformers) or are not in the case;
+    top-level buses without coordinates; constant-current and constant-admittance loads that do not sum to 0.
+    ``buses``: the top-level ones, bus_id, bus_name, lat, lon.  ``trafos``: bus_i, bus_j with bus_i at the top level.
+    ``every``: bus_id of all buses of the case.  ``loads``: ip, yp.
+    """
+    top = buses.select(F.col("bus_id").alias("bus_j"), "bus_name", F.lit(True).alias("top"))
+    known = every.select(F.col("bus_id").alias("bus_j")).distinct().withColumn("known", F.lit(True))
+    ends = trafos.select("bus_j").filter("bus_j IS NOT NULL").distinct().join(top, "bus_j", "left").join(known, "bus_j", "left")
+    label = F.coalesce("bus_name", F.col("bus_j").cast("string"))
+    unplaced = F.isnan(F.coalesce("lat", F.lit(float("nan")))) | F.isnan(F.coalesce("lon", F.lit(float("nan"))))
+    sums = loads.agg(F.coalesce(F.sum("ip"), F.lit(0.0)).alias("ip"), F.coalesce(F.sum("yp"), F.lit(0.0)).alias("yp"))
+    total = lambda c: F.concat(F.format_string("%.1f", c), F.lit(" MW"))
+    return report(
+        findings(
+            ends,
+            rule("autotrafo", label, F.lit("bus_j del nivel superior"), F.col("top")),
+            rule("secundario_ausente", label, F.lit("bus_j no esta en el caso"), F.col("top").isNull() & F.col("known").isNull()),
+        ),
+        findings(buses, rule("sin_coordenadas", F.coalesce("bus_name", F.col("bus_id").cast("string")), F.lit("lat o lon ausente"), unplaced)),
+        findings(sums, *[rule("carga_no_constante", F.lit(c), total(F.col(c)), F.abs(c) >= most_mw) for c in ("ip", "yp")]),
+    )
+
+
 def exact_median(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, median) of the values that are not null, from their places in a range-partitioned order."""
     placed = cut(numbered(rows.filter(F.col(value).isNotNull()).select(key, value), "_place", key, value))

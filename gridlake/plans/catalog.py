@@ -590,7 +590,8 @@ c AS MATERIALIZED (SELECT node, comp FROM r WHERE comp IN (SELECT comp FROM r WH
 ranked AS (SELECT comp, row_number() OVER (ORDER BY count(*) DESC, comp) AS n FROM c GROUP BY 1)"""
 TRAFO_ORPHANS_SQL = ORPHANS_SQL.replace("linea_huerfana", "trafo_huerfano").replace("FROM l", "FROM t")
 ISOLATED_SQL = "SELECT 'bus_aislado' AS tipo, nm AS elemento, 'sin lineas, compensadores ni transformadores' AS detalle FROM kinds WHERE kind = 'bus_aislado'"
-ISLAND_SQL = """SELECT 'isla_desconectada' AS tipo, 'isla_' || (n - 1) AS elemento, string_agg(coalesce(nm, CAST(node AS VARCHAR)), ', ' ORDER BY nm) AS detalle
+ISLAND_SQL = """SELECT 'isla_desconectada' AS tipo, 'isla_' || (n - 1) AS elemento, array_to_string(list(coalesce(nm, CAST(node AS VARCHAR)) ORDER BY nm)[1:50], ', ')
+  || CASE WHEN count(*) > 50 THEN ', ... (' || count(*) || ')' ELSE '' END AS detalle
   FROM c JOIN ranked USING (comp) LEFT JOIN nodes ON b = node WHERE n > 1 GROUP BY n"""
 
 
@@ -627,6 +628,40 @@ def topology_notes(spark, d):
     return C.topology_notes(*topology_tables(spark, d))
 
 
+@query(
+    f"""WITH RECURSIVE {TOPOLOGY_SQL} SELECT 'isla_' || (n - 1) AS isla, count(*) OVER (PARTITION BY n) AS size, node, coalesce(nm, CAST(node AS VARCHAR)) AS name
+    FROM c JOIN ranked USING (comp) LEFT JOIN nodes ON b = node WHERE n > 1"""
+)
+def island_members(spark, d):
+    """Every node of every island as a row."""
+    buses, lines, trafos = topology_tables(spark, d)
+    lines, _, kinds = C.marked(buses, lines, trafos)
+    starts = buses.filter("bus_type = '500kV'").select("bus_id").join(kinds.filter("kind != 'bus_aislado'"), "bus_id", "left_anti")
+    labels = cut(G.components_of(starts.withColumnRenamed("bus_id", "node"), C.line_graph(lines.filter("known_i AND known_j"))))
+    return C.island_members(labels, G.islands(labels), buses)
+
+
+@query(
+    """WITH b AS (SELECT p_partkey AS bus_id, p_name || p_partkey AS nm, CASE WHEN p_partkey % 50 != 0 THEN 1.0 END AS lat FROM part WHERE p_size > 10),
+    t AS (SELECT DISTINCT l_partkey + CASE WHEN l_linenumber = 5 THEN 1000 ELSE 0 END AS bus_j FROM lineitem),
+    e AS (SELECT t.bus_j, b.nm, p_partkey FROM t LEFT JOIN b ON b.bus_id = t.bus_j LEFT JOIN part ON p_partkey = t.bus_j)
+    SELECT 'autotrafo' AS tipo, nm AS elemento, 'bus_j del nivel superior' AS detalle FROM e WHERE nm IS NOT NULL
+    UNION ALL SELECT 'secundario_ausente', CAST(bus_j AS VARCHAR), 'bus_j no esta en el caso' FROM e WHERE nm IS NULL AND p_partkey IS NULL
+    UNION ALL SELECT 'sin_coordenadas', nm, 'lat o lon ausente' FROM b WHERE lat IS NULL
+    UNION ALL SELECT 'carga_no_constante', 'ip', printf('%.1f', sum(CAST(o_orderkey % 7 AS DOUBLE))) || ' MW' FROM orders"""
+)
+def case_quality(spark, d):
+    """The stages' remarks on their input as one table of findings."""
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    place = F.when(key % 50 != 0, 1.0)
+    buses = part.filter("p_size > 10").select(key.alias("bus_id"), F.concat("p_name", key.cast("string")).alias("bus_name"), place.alias("lat"), F.lit(2.0).alias("lon"))
+    far = F.col("l_partkey") + F.when(F.col("l_linenumber") == 5, 1000).otherwise(0)
+    trafos = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("bus_i"), far.alias("bus_j"))
+    order = F.col("o_orderkey")
+    loads = table(spark, d, "orders").select((order % 7).cast("double").alias("ip"), (order * 0).cast("double").alias("yp"))
+    return C.case_quality(buses, trafos, part.select(key.alias("bus_id")), loads)
+
+
 @query(f"SELECT bus_i, bus_j, count(*) AS circuits FROM {LINES_SQL} GROUP BY 1, 2 HAVING count(*) > 1")
 def parallel_pairs(spark, d):
     return O.parallel_pairs(stand_in_lines(spark, d))
