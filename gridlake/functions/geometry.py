@@ -61,3 +61,14 @@ def to_wkb(wkt: str) -> bytes:
 def to_gpkg(wkt: str, srid: int = SRID) -> bytes:
     """WKB behind a GeoPackage header without an envelope."""
     return b"GP" + struct.pack("<BBi", 0, 1, srid) + to_wkb(wkt)
+
+
+def from_gpkg(blob: bytes) -> str:
+    """POINT or LINESTRING text of a GeoPackage geometry, with or without an envelope."""
+    at = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
+    order = "<" if blob[at] else ">"
+    kind = struct.unpack_from(f"{order}I", blob, at + 1)[0]
+    n, at = (1, at + 5) if kind == 1 else (struct.unpack_from(f"{order}I", blob, at + 5)[0], at + 9)
+    values = struct.unpack_from(f"{order}{2 * n}d", blob, at)
+    pairs = ", ".join(f"{x!r} {y!r}" for x, y in zip(values[::2], values[1::2], strict=True))
+    return f"{'POINT' if kind == 1 else 'LINESTRING'} ({pairs})"

@@ -63,6 +63,10 @@ def no_rating(lines: DataFrame) -> DataFrame:
     return findings(lines, _unrated(F.lit(True)))
 
 
+def out_of_service(edges: DataFrame) -> DataFrame:
+    return edges.filter(~F.col("in_service"))
+
+
 def isolated_findings(kinds: DataFrame, names: DataFrame) -> DataFrame:
     rows = kinds.filter("kind = 'bus_aislado'").join(names.select("bus_id", "bus_name"), "bus_id", "left")
     label = F.coalesce("bus_name", F.col("bus_id").cast("string"))
@@ -80,8 +84,9 @@ def island_members(labels: DataFrame, ranked: DataFrame, names: DataFrame) -> Da
 LISTED = 50
 
 
-def island_findings(members: DataFrame, listed: int = LISTED) -> DataFrame:
+def island_findings(labels: DataFrame, ranked: DataFrame, names: DataFrame, listed: int = LISTED) -> DataFrame:
     """One finding an island: its names in their order, of a larger one the first ``listed`` and the number of its nodes."""
+    members = island_members(labels, ranked, names)
     place = F.row_number().over(Window.partitionBy("isla").orderBy("name", "node"))
     first = members.withColumn("_place", place).filter(F.col("_place") <= listed)
     names = F.array_sort(F.collect_list(F.struct("name", "node")))
@@ -124,7 +129,7 @@ def topology_report(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> Da
         findings(lines, orphan("linea_huerfana", "line_key"), _zero(valid), _unrated(valid)),
         findings(trafos, orphan("trafo_huerfano", "trafo_key")),
         isolated_findings(kinds, buses),
-        island_findings(island_members(labels, islands(labels), buses)),
+        island_findings(labels, islands(labels), buses),
     )
 
 

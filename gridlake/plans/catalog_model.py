@@ -15,7 +15,9 @@ from gridlake.operators import static as O
 from gridlake.plans import model as P
 from gridlake.plans.registry import query, table
 from gridlake.session import scratch
+from gridlake.sinks.gpkg import read_layer, write_layer
 from gridlake.sinks.netcdf import read_netcdf
+from gridlake.sinks.tables import unit_metrics, write_stage
 
 BUSES_SQL = """nodes AS (SELECT p_partkey AS bus_id, 'B' || p_partkey AS bus_name, CASE WHEN p_size > 9 THEN '500kV' ELSE 'secundario' END AS bus_type,
   CAST(p_size * 12 AS DOUBLE) AS baskv_kv FROM part),
@@ -202,6 +204,27 @@ def match_summary(spark, d):
     return P.match_summary(placed_units(spark, d))
 
 
+@query(
+    f"""WITH {UNITS_SQL}, k AS (SELECT match_type, count(*) AS n, coalesce(sum(abs(pt_mw)) FILTER (pt_mw < 9990), 0.0) AS mw FROM u GROUP BY 1)
+    SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM u UNION ALL SELECT match_type, n FROM k UNION ALL SELECT 'mw_' || match_type, mw FROM k"""
+)
+def stage_counts(spark, d):
+    """What a stage prints of its units, counted in the pass that writes them."""
+    seen = write_stage(placed_units(spark, d), scratch(spark, "units"), unit_metrics())
+    return spark.createDataFrame([(k, float(v)) for k, v in seen.items()], "metric string, value double")
+
+
+@query(
+    f"""WITH {BUSES_SQL} SELECT bus_id, bus_name, lon, lat FROM placed WHERE lon BETWEEN 10 AND 20 AND lat BETWEEN -10 AND 5"""
+)
+def map_window(spark, d):
+    """Buses in a window of the map, looked up by the spatial index of the file they were written to."""
+    path = f"{scratch(spark, 'map')}.gpkg"
+    at = placed(spark, d)
+    write_layer(M.points(at).select("bus_id", "bus_name", "lon", "lat", "geometry"), path, "buses", fresh=True)
+    return read_layer(spark, path, "buses", (10, 20, -10, 5)).select("bus_id", "bus_name", "lon", "lat")
+
+
 @query(f"WITH {UNITS_SQL} SELECT hops, count(*) AS n FROM u WHERE match_type = 'bfs' GROUP BY 1")
 def hop_summary(spark, d):
     return P.hop_summary(placed_units(spark, d))

@@ -97,8 +97,9 @@ def write_layers(layers: dict[str, DataFrame], path: str, fresh: bool = True) ->
     return {name: write_layer(df, path, name, fresh=fresh and n == 0) for n, (name, df) in enumerate(layers.items())}
 
 
-def write_model(path: str, model: dict[str, DataFrame]) -> None:
-    write_network(path, model["buses"], model["lines"], model["transformers"])
+def write_model(path: str, model: dict[str, DataFrame]) -> dict[str, int]:
+    """The network object as a Parquet folder; the rows of each component."""
+    return write_network(path, model["buses"], model["lines"], model["transformers"])
 
 
 def write_model_file(path: str, model: dict[str, DataFrame], title: str = "") -> None:

@@ -16,18 +16,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridlake.session import ship
 from gridlake.sources.case import HEAD, SCHEMAS, arrow_type, columns, kept_line, line_records
+from gridlake.sources.stores import STORES, files, opened
 
 SPLIT_BYTES = 16 << 20
 BLOCK = 4 << 20
 ROWS = 10_000
 _MARK = re.compile(rb"(BEGIN|END OF) (%s) DATA" % "|".join(SCHEMAS).encode())
-_STORES = ("file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss")
 
 
 def struct_type(section: str) -> str:
@@ -39,29 +38,6 @@ def table_schema(sections: list[str]) -> str:
     return ", ".join([fixed, *(f"{s.lower()} {struct_type(s)}" for s in sections)])
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system and the path in it; a path without a scheme is local."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
-def files(path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of a file, a folder's files or those of a comma-separated list, sorted."""
-    found = []
-    for one in path.split(","):
-        store, inside = opened(one)
-        info = store.get_file_info(inside)
-        if info.type == pafs.FileType.NotFound:
-            raise FileNotFoundError(one)
-        many = [info]
-        if info.type == pafs.FileType.Directory:
-            many = [f for f in store.get_file_info(pafs.FileSelector(inside, recursive=True)) if f.is_file and not re.search(r"(^|/)[._]", f.path[len(inside) :])]
-        scheme = one[: -len(inside)] if one.endswith(inside) else ""
-        found += [(scheme + f.path, f.size) for f in many]
-    return sorted(found)
-
-
 def marks(file: pa.NativeFile) -> list[tuple[bytes, str, int, int]]:
     """(BEGIN or END OF, section, first byte of its line, first byte after its line), in blocks of a bounded size."""
     out, held, at = [], b"", 0
@@ -226,7 +202,7 @@ def arrow_path(spark: SparkSession, path: str) -> str | None:
     if not found:
         raise FileNotFoundError(path)
     named = [str(f.getPath().toString()) for f in found]
-    if any(n.partition(":")[0] not in _STORES or "," in n for n in named):
+    if any(n.partition(":")[0] not in STORES or "," in n for n in named):
         return None
     return ",".join(named)
 

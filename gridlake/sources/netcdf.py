@@ -23,11 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from gridlake.sources.case_source import opened
+from gridlake.sources.stores import begin, drop, opened
 
 # Tags and type codes of the classic format.
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
@@ -132,6 +131,7 @@ class NetcdfWriter(DataSourceArrowWriter):
     def __init__(self, path: str, layout: dict, attributes: dict, overwrite: bool):
         self.path, self.layout, self.attributes, self.overwrite = path, layout, attributes, overwrite
         self.folder = f"{path}._writing-{uuid.uuid4().hex}"
+        begin(self.folder)
 
     def variables(self) -> list[Variable]:
         out = []
@@ -145,7 +145,7 @@ class NetcdfWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         store, folder = opened(self.folder)
         folder = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
-        store.create_dir(folder)
+        store.create_dir(folder, recursive=False)
         held: dict[str, pa.NativeFile] = {}
         rows = dict.fromkeys(self.layout, 0)
         by = {}
@@ -178,7 +178,6 @@ class NetcdfWriter(DataSourceArrowWriter):
         variables = self.variables()
         top = header(variables, self.attributes)
         whole = f"{folder}/whole"
-        store.create_dir(folder)
         with store.open_output_stream(whole) as out:
             out.write(top)
             for v in variables:
@@ -195,12 +194,10 @@ class NetcdfWriter(DataSourceArrowWriter):
                     raise ValueError(f"{v.name} has {size} bytes instead of {v.size}")
                 out.write(b"\0" * _pad(size))
         store.move(whole, target)
-        store.delete_dir(folder)
+        drop(self.folder)
 
     def abort(self, messages) -> None:
-        store, folder = opened(self.folder)
-        if store.get_file_info(folder).type == pafs.FileType.Directory:
-            store.delete_dir(folder)
+        drop(self.folder)
 
 
 # ---- reading

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlake.session import ship
-from gridlake.sources.case_source import files, opened
+from gridlake.sources.stores import begin, drop, files, opened
 
 ROWS = 10_000
 MOST_ROWS = 1_048_575  # of a sheet, under its header
@@ -221,11 +221,11 @@ class XlsxWriter(DataSourceArrowWriter):
     def __init__(self, path: str, names: list[str], overwrite: bool):
         self.path, self.names, self.overwrite = path, names, overwrite
         self.folder = f"{path.rstrip('/')}._writing-{uuid.uuid4().hex}"
+        begin(self.folder)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Done:
         context = TaskContext.get()
         store, folder = opened(self.folder)
-        store.create_dir(folder)
         path = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}.xlsx"
         top = f"<row>{''.join(_cell(n) for n in self.names)}</row>"
         with store.open_output_stream(path) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
@@ -275,9 +275,7 @@ class XlsxWriter(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages) -> None:
-        store, folder = opened(self.folder)
-        if store.get_file_info(folder).type == pafs.FileType.Directory:
-            store.delete_dir(folder)
+        drop(self.folder)
 
 
 class XlsxSource(DataSource):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.operators import checks as C
+from gridlake.operators import graph as G
 from gridlake.operators import linkage as L
 
 
@@ -76,6 +77,10 @@ def test_each_table_is_scanned_once(spark, tmp_path):
 
 
 def test_long_islands_are_listed_in_part(spark):
-    members = spark.createDataFrame([("isla_1", 120, i, f"N{i:03d}") for i in range(120)] + [("isla_2", 2, 500, "B"), ("isla_2", 2, 501, "A")], "isla string, size long, node long, name string")
-    got = {r.elemento: r.detalle for r in C.island_findings(members, 3).collect()}
-    assert got == {"isla_1": "N000, N001, N002, ... (120)", "isla_2": "A, B"}
+    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(i, 300) for i in range(300, 420)] + [(500, 500), (501, 500)], "node long, comp long")
+    names = spark.createDataFrame([(i, f"N{i:03d}") for i in range(400)] + [(500, "B"), (501, "A")], "bus_id long, bus_name string")
+    ranked = G.islands(labels)
+    got = {r.elemento: r.detalle for r in C.island_findings(labels, ranked, names, 3).collect()}
+    assert got == {"isla_1": "400, 401, 402, ... (120)", "isla_2": "A, B"}
+    members = C.island_members(labels, ranked, names).collect()
+    assert sorted(r.node for r in members if r.isla == "isla_1" and r.size == 120) == list(range(300, 420)) and len(members) == 122
