@@ -76,4 +76,4 @@ def test_unclosed_quotes_keep_the_article():
     assert H.main_text("<p>1 < 2 <b>bold</b> <3 x") == "1 < 2 bold <3 x"
     assert H.main_text("<p>a<!-- > <p>b --><p>c<!--->d<!>e<?x?>f</>g</ 3>h") == "a\ncdefgh"
     words = [f"several words of item {c}" for c in "abcd"]
-    assert H.main_text("<ul><li>{}<ul><li>{}<li>{}</ul><li>{}</ul>".format(*words)) == "\n".join(words)
+    assert H.main_text("<article><ul><li>{}<ul><li>{}<li>{}</ul><li>{}</ul>".format(*words)) == "\n".join(words)
