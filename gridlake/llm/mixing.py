@@ -6,10 +6,14 @@ second, third, ... time costs more each time (convex repetition costs).  The flo
 words each pattern gives; whole repeats are taken from all its documents, and what is left is taken
 from documents in a seeded order.
 
+Sources, patterns, targets and plans are tables of any size.  Targets are a water level that is raised by one
+aggregate a round.  A pattern of one source that no other pattern shares needs no flow: it gives its quota, as
+far as its repeats go.  Patterns that overlap are grouped by the components of their sources, and a task
+routes the flow of a component, whose patterns it holds.
+
 The order is never sorted globally: a document's seed hash puts it in one of about n / 1024 slots of
 its pattern (at most 2^20), slots below the crossing slot are taken whole, and the crossing slot is filled
-greedily (a document that no longer fits is passed over).  Only per-pattern figures reach the
-driver; ``max_patterns`` states that bound and more patterns raise an error.
+greedily (a document that no longer fits is passed over).
 
 Defined results: null text has size 0 and is never taken more often than its pattern; a null source
 is a source of its own, last in order; documents without any source are never taken; rows that
@@ -18,9 +22,8 @@ repeat an id are taken or left together; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridlake.operators.static import numbered
+
 from .common import arrow_map, materialize, read, unused
+from .graph import connected
 from .words import IS_SPACE, buffers, groups
 
 SLOTS = 1 << 20
@@ -65,22 +71,24 @@ def with_sizes(docs: DataFrame, text_col: str = "text", out: str = "size") -> Da
     return arrow_map(docs.select(*names, text_col), count, T.StructType([*rest, T.StructField(out, T.LongType())]))
 
 
-def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Weighted shares of ``share`` times all sizes; none is above ``most`` times its size."""
-    caps = [float(most * s) for s in sizes]
-    out, left, open_ = [0.0] * len(sizes), share * sum(sizes), set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > caps[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / total
+def with_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
+    """``sources`` (size, weight) with ``target``: weighted shares of ``share`` times all sizes, none above ``most`` times its size.
+
+    What a source cannot take is shared out again by weight among the others.  A round sums the weights of
+    the sources still below their bound; the level only rises, so rounds end when no source is added.
+    """
+    bound = F.col("size") * F.lit(float(most))
+    over, n_over = F.lit(False), -1
+    while True:
+        held, weight, n, total = sources.agg(
+            F.coalesce(F.sum(F.when(over, bound)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)), F.count_if(over), F.coalesce(F.sum("size"), F.lit(0))
+        ).first()
+        if n == n_over or not weight:
             break
-        for i in over:
-            out[i] = caps[i]
-            open_.discard(i)
-        left -= sum(caps[i] for i in over)
-    return out
+        n_over = n
+        level = F.lit(share * total - held) * F.col("weight") / F.lit(weight)
+        over = level > bound
+    return sources.withColumn("target", F.when(over, bound).otherwise(level) if n_over >= 0 else bound)
 
 
 def min_cost_flow(
@@ -89,92 +97,112 @@ def min_cost_flow(
     """For each pattern the words sent to each source.
 
     Arcs: start -> pattern, ``repeats`` times the capacity at unit costs 0, 1, 2, ...; pattern -> its
-    sources; source -> end, the quota.  Successive shortest paths with potentials; as the costs of a
-    pattern's arcs rise, each augmentation uses the cheapest one left.
+    sources; source -> end, the quota.  All paths that begin with a pattern's n-th use cost n - 1, so
+    each use in turn is routed as a largest flow, in layers: all shortest ways are filled before
+    the next layers are drawn, and an arc that leads nowhere is passed over once a layer.
     """
-    flow: list[dict[int, int]] = [defaultdict(int) for _ in capacity]
-    used, left = [0] * len(capacity), list(quota)
+    flow: list[dict[int, int]] = [dict.fromkeys(m, 0) for m in members]
+    left, used = list(quota), [0] * len(capacity)
     into: dict[int, list[int]] = defaultdict(list)
     for p, sources in enumerate(members):
         for s in sources:
             into[s].append(p)
-
-    def step(p: int) -> tuple[int, int] | None:
-        """(unit cost, words) of the cheapest open arc into p."""
-        if capacity[p] <= 0 or used[p] >= repeats * capacity[p]:
-            return None
-        level = used[p] // capacity[p]
-        return level, (level + 1) * capacity[p] - used[p]
-
-    for level in range(repeats):  # costs are the level: at each, augment until no path of that cost is left
+    for use in range(repeats):
+        room = [c if c > 0 and u == use * c else 0 for c, u in zip(capacity, used, strict=True)]
         while True:
-            queue = [p for p in range(len(capacity)) if (x := step(p)) and x[0] == level]
-            came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None for p in queue}
-            path_end, i, nodes = None, 0, [("p", p) for p in queue]
-            while i < len(nodes):
-                kind, x = nodes[i]
-                i += 1
-                if kind == "p":
-                    for s in members[x]:
-                        if ("s", s) not in came:
-                            came["s", s] = ("p", x)
-                            nodes.append(("s", s))
-                            if left[s] > 0:
-                                path_end = ("s", s)
-                                break
-                    if path_end:
-                        break
-                else:
-                    for p in into[x]:
-                        if ("p", p) not in came and flow[p].get(x, 0) > 0:
-                            came["p", p] = ("s", x)
-                            nodes.append(("p", p))
-            if not path_end:
+            layer_p = {p: 0 for p, r in enumerate(room) if r}
+            layer_s: dict[int, int] = {}
+            front, depth, reached = list(layer_p), 0, False
+            while front and not reached:
+                found = [s for p in front for s in members[p]]
+                front, depth = [], depth + 1
+                for s in found:
+                    if s not in layer_s:
+                        layer_s[s] = depth
+                        reached = reached or left[s] > 0
+                        for p in into[s]:
+                            if p not in layer_p and flow[p][s] > 0:
+                                layer_p[p] = depth
+                                front.append(p)
+            if not reached:
                 break
-            path, at = [path_end], path_end
-            while came[at] is not None:
-                at = came[at]
-                path.append(at)
-            path.reverse()
-            amount = min(left[path_end[1]], step(path[0][1])[1])
-            for a, b in zip(path, path[1:], strict=False):
-                if a[0] == "s":
-                    amount = min(amount, flow[b[1]][a[1]])
-            for a, b in zip(path, path[1:], strict=False):
-                if a[0] == "p":
-                    flow[a[1]][b[1]] += amount
-                else:
-                    flow[b[1]][a[1]] -= amount
-            used[path[0][1]] += amount
-            left[path_end[1]] -= amount
+            next_s, next_p = dict.fromkeys(layer_p, 0), dict.fromkeys(layer_s, 0)  # arcs before these are spent
+            for start in [p for p, r in enumerate(room) if r]:
+                path: list[tuple[int, int]] = []  # (pattern, source) steps from the start
+                at: int | None = start  # the pattern reached; None at the source of the last step
+                while True:
+                    if at is not None:
+                        arcs, i = members[at], next_s[at]
+                        while i < len(arcs) and layer_s.get(arcs[i]) != layer_p[at] + 1:
+                            i += 1
+                        next_s[at] = i
+                        if i < len(arcs):
+                            path.append((at, arcs[i]))
+                        elif path:
+                            next_p[path[-1][1]] += 1
+                        else:
+                            break
+                        at = None
+                        continue
+                    s = path[-1][1]
+                    if left[s] > 0:
+                        amount = min([room[start], left[s], *(flow[b][t] for (_, t), (b, _) in zip(path, path[1:], strict=False))])
+                        for n, (p, t) in enumerate(path):
+                            flow[p][t] += amount
+                            if n:
+                                flow[p][path[n - 1][1]] -= amount
+                        room[start] -= amount
+                        used[start] += amount
+                        left[s] -= amount
+                        if not room[start]:
+                            break
+                        path, at = [], start
+                        continue
+                    back, i = into[s], next_p[s]
+                    while i < len(back) and not (layer_p.get(back[i]) == layer_s[s] and flow[back[i]][s] > 0):
+                        i += 1
+                    next_p[s] = i
+                    if i < len(back):
+                        at = back[i]
+                    else:
+                        at, _ = path.pop()
+                        next_s[at] += 1
     return flow
 
 
-def split_components(members: list[tuple[int, ...]]) -> list[list[int]]:
-    """Patterns that share sources, directly or by others: flows of different groups don't touch."""
-    root: dict[int, int] = {}
+def _routed(rows: pa.Table) -> pa.Table:
+    """(_pattern, given) of a component's patterns (_pattern, words, of, quotas, most)."""
+    rows = rows.sort_by("_pattern")
+    of, quotas = rows["of"].to_pylist(), rows["quotas"].to_pylist()
+    quota = {s: q for m, held in zip(of, quotas, strict=True) for s, q in zip(m, held, strict=True)}
+    places = {s: i for i, s in enumerate(sorted(quota))}
+    members = [tuple(places[s] for s in m) for m in of]
+    flow = min_cost_flow(rows["words"].to_pylist(), members, [quota[s] for s in sorted(quota)], rows["most"][0].as_py())
+    return pa.table([rows["_pattern"], pa.array([sum(f.values()) for f in flow], pa.int64())], ["_pattern", "given"])
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for sources in members:
-        for s in sources[1:]:
-            root[find(s)] = find(sources[0])
-    out: dict[int, list[int]] = defaultdict(list)
-    for p, sources in enumerate(members):
-        if sources:
-            out[find(sources[0])].append(p)
-    return list(out.values())
+#: Rows of a table of one row a pattern or source that are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def sent(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table
 
 
 class Mix:
-    """A planned mix.  ``apply`` gives every document its ``taken`` words; figures hold for each pattern and source."""
+    """A planned mix.  ``apply`` gives every document its ``taken`` words; figures hold for each pattern and source.
+
+    ``table`` has one row a source: place, source, size, target.
+    """
+
+    def __init__(self, plan: DataFrame, picks: DataFrame, table: DataFrame, seed: int, sources_col: str):
+        self.plan, self.picks, self.table, self.seed, self.sources_col = plan, picks, table, seed, sources_col
+        self.n_plan, self.n_picks, self.n_sources = plan.count(), picks.count(), table.count()
 
-    def __init__(self, plan: DataFrame, picks: DataFrame, sources: list[tuple], seed: int, sources_col: str):
-        self.plan, self.picks, self.sources, self.seed, self.sources_col = plan, picks, sources, seed, sources_col
+    @property
+    def sources(self) -> list[tuple]:
+        """(source, size, target) in order, for a number of sources that can be looked at."""
+        return [(r["source"], r["size"], r["target"]) for r in self.table.orderBy("place").collect()]
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", out: str = "repeats") -> DataFrame:
         """``docs`` with ``out``: how often each document is taken."""
@@ -182,10 +210,9 @@ class Mix:
         held = docs.toDF(*(f"c{i}" for i in range(len(names))))  # callers' names can't clash with the plan's
         doc_id, source = (F.col(f"c{names.index(c)}") for c in (id_col, self.sources_col))
         keyed = held.withColumn("_pattern", pattern_of(docs, self.sources_col, source))
-        keyed = keyed.join(F.broadcast(self.plan), "_pattern", "left")
+        keyed = keyed.join(sent(self.plan, self.n_plan), "_pattern", "left")
         slot = slot_of(self.seed, doc_id, F.col("_slots"))
-        small = self.picks.count() <= 200_000
-        picks = F.broadcast(self.picks) if small else self.picks
+        picks = sent(self.picks, self.n_picks)
         picked = doc_id.eqNullSafe(F.col("_pick")) & (F.col("_pattern") == F.col("_pick_pattern"))
         keyed = keyed.withColumn("_slot", slot).join(picks.withColumn("_picked", F.lit(1)), picked, "left")
         extra = F.when(F.col("_slot") < F.col("_cross"), 1).when(F.col("_picked") == 1, 1).otherwise(0)
@@ -206,15 +233,43 @@ def slot_of(seed: int, doc_id, slots):
 
 def _fill(rows: pa.Table) -> pa.Table:
     """Documents of a crossing slot that fit its budget, in seeded order; repeated ids are taken or left together."""
-    rows = rows.group_by(["id", "order"]).aggregate([("size", "sum"), ("_budget", "min"), ("_pattern", "min")])
     rows = rows.sort_by([("order", "ascending"), ("id", "ascending")])
-    left, taken = rows["_budget_min"][0].as_py(), []
-    for size in rows["size_sum"].to_pylist():
+    left, taken = rows["_budget"][0].as_py(), []
+    for size in rows["size"].to_pylist():
         fits = size <= left
         left -= size if fits else 0
         taken.append(fits)
     rows = rows.filter(pa.array(taken))
-    return pa.table([rows["id"], rows["_pattern_min"]], ["_pick", "_pick_pattern"])
+    return pa.table([rows["id"], rows["_pattern"]], ["_pick", "_pick_pattern"])
+
+
+def source_table(by_pattern: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(place, source, size, target) of every source, in order of code points, null last."""
+    held = F.from_json("_pattern", "array<string>")
+    sizes = by_pattern.select(F.explode(held).alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size"))
+    placed = numbered(sizes, "place", F.col("source").isNull(), "source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    placed = materialize(placed.withColumn("weight", weight), "sources")
+    return materialize(with_targets(placed, share, most).select("place", "source", "size", "target"), "targets")
+
+
+def given_words(by_pattern: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """(_pattern, words, docs, given): how many words the mix takes of each pattern."""
+    quota = F.bround("target").cast("long")
+    places = table.select(F.col("source").alias("_of"), "place", quota.alias("quota"))
+    member = by_pattern.withColumn("_of", F.explode(F.from_json("_pattern", "array<string>"))).select("_pattern", "_of")
+    n = table.count()
+    member = member.join(sent(places, n), member["_of"].eqNullSafe(places["_of"])).select("_pattern", "place", "quota")
+    sets = member.groupBy("_pattern").agg(F.array_sort(F.collect_list(F.struct("place", "quota"))).alias("m"))
+    sets = sets.select("_pattern", F.col("m.place").alias("of"), F.col("m.quota").alias("quotas"))
+    rows = materialize(by_pattern.join(sets, "_pattern", "left"), "patterns")
+    pairs = rows.filter(F.size("of") > 1).select(F.col("of")[0].alias("a"), F.explode("of").alias("b")).filter("a != b").distinct()
+    component = connected(pairs).select(F.col("id").alias("_first"), "comp")
+    known = rows.withColumn("_first", F.col("of")[0]).join(component, "_first", "left").drop("_first")
+    alone = known.filter("comp IS NULL").select("_pattern", F.when(F.size("of") > 0, F.least(F.col("quotas")[0], F.col("words") * most)).otherwise(F.lit(0).cast("long")).alias("given"))
+    shared = known.filter("comp IS NOT NULL").select("comp", "_pattern", "words", "of", "quotas", F.lit(most).alias("most"))
+    shared = shared.groupBy("comp").applyInArrow(_routed, "_pattern string, given long")
+    return by_pattern.join(alone.unionAll(shared), "_pattern")
 
 
 def plan_mix(
@@ -225,46 +280,26 @@ def plan_mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = 20,
-    max_patterns: int = 100_000,
 ) -> Mix:
     """Plans a mix of ``sized`` (id, ``size``, and a source or an array of sources).
 
     Sources in order of code points, null last, get ``weights``, repeating, of ``share`` times all
     sizes; targets stop at ``most`` times their source's size, the excess reshared by weight.
     """
-    rows = sized.select(F.col(id_col).alias("id"), "size", pattern_of(sized, sources_col).alias("_pattern"))
-    by_pattern = rows.groupBy("_pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    listed = by_pattern.limit(max_patterns + 1).collect()
-    if len(listed) > max_patterns:
-        raise ValueError(f"more than max_patterns={max_patterns} membership patterns")
-    patterns = [tuple(json.loads(r["_pattern"] or "[]")) for r in listed]
-    names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, (s or "").encode()))
-    at = {s: i for i, s in enumerate(names)}
-    members = [tuple(at[s] for s in p) for p in patterns]
-    words = [int(r["words"] or 0) for r in listed]
-    sizes = [0] * len(names)
-    for m, w in zip(members, words, strict=True):
-        for s in m:
-            sizes[s] += w
-    shares = [float(weights[i % len(weights)]) for i in range(len(names))]
-    wanted = targets(sizes, shares, share, most)
-    given: list[int] = [0] * len(patterns)
-    for group in split_components(members):
-        flow = min_cost_flow(
-            [words[p] for p in group], [members[p] for p in group], [round(t) for t in wanted], most
-        )
-        for p, f in zip(group, flow, strict=True):
-            given[p] = sum(f.values())
-    spark = sized.sparkSession
-    plan_rows = []
-    for r, w, g in zip(listed, words, given, strict=True):
-        whole = g // w if w else 0
-        slots = 1
-        while slots < SLOTS and slots * SLOT_DOCS < r["docs"]:
-            slots *= 2
-        plan_rows.append((r["_pattern"], int(whole), int(g - whole * w), slots))
-    plan = spark.createDataFrame(plan_rows, "_pattern string, _whole long, _rest long, _slots int")
-    placed = rows.join(F.broadcast(plan), "_pattern")  # at most max_patterns rows
+    rows = sized.select(F.col(id_col).alias("id"), "size", pattern_of(sized, sources_col).alias("_pattern")).filter("_pattern IS NOT NULL")
+    by_pattern = rows.groupBy("_pattern").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("docs"))
+    by_pattern = materialize(by_pattern, "bypattern")
+    table = source_table(by_pattern, weights, share, most)
+    given = given_words(by_pattern, table, most)
+    whole = F.when(F.col("words") > 0, F.floor(F.col("given") / F.col("words"))).otherwise(0).cast("long")
+    parts = F.ceil(F.col("docs") / SLOT_DOCS)
+    bits = F.when(parts <= 1, 0).otherwise(F.length(F.bin(parts - 1)))  # slots: the power of two not below parts
+    slots = F.least(F.lit(SLOTS), F.expr("shiftleft(1, least(_bits, 24))")).cast("int")
+    plan = given.withColumns({"_whole": whole, "_bits": bits.cast("int")})
+    plan = plan.select("_pattern", "_whole", (F.col("given") - F.col("_whole") * F.col("words")).alias("_rest"), slots.alias("_slots"))
+    plan = materialize(plan, "plan")
+    n = plan.count()
+    placed = rows.join(sent(plan, n), "_pattern")
     placed = placed.withColumn("_slot", slot_of(seed, F.col("id"), F.col("_slots")))
     running = Window.partitionBy("_pattern").orderBy("_slot")  # one row for about SLOT_DOCS documents
     sums = placed.filter("_rest > 0").groupBy("_pattern", "_slot", "_rest").agg(F.sum("size").alias("words"))
@@ -275,22 +310,23 @@ def plan_mix(
         .agg(F.min(F.struct("_slot", (F.col("_rest") - F.col("upto") + F.col("words")).alias("b"))).alias("c"))
         .select("_pattern", F.col("c._slot").alias("_cross"), F.col("c.b").alias("_budget"))
     )
-    full = plan.join(F.broadcast(crossing), "_pattern", "left")
+    full = plan.join(sent(crossing, n), "_pattern", "left")
     cross = F.when(F.col("_rest") == 0, F.lit(0)).otherwise(F.coalesce("_cross", F.col("_slots"))).cast("long")
     full = materialize(full.withColumn("_cross", cross), "mixplan")
-    in_cross = rows.join(F.broadcast(full), "_pattern").filter(
+    in_cross = rows.join(sent(full, n), "_pattern").filter(
         (slot_of(seed, F.col("id"), F.col("_slots")) == F.col("_cross")) & F.col("_budget").isNotNull()
     )
-    in_cross = in_cross.select(
-        "id", "size", "_budget", "_pattern", F.xxhash64(F.lit(seed + 1), F.col("id").cast("string")).alias("order")
-    )
+    order = F.xxhash64(F.lit(seed + 1), F.col("id").cast("string")).alias("order")
+    in_cross = in_cross.groupBy("_pattern", "id", "_budget").agg(F.sum("size").alias("size"))
+    # what is larger than the slot's budget can't be taken, so a pattern of one document starts no Python
+    in_cross = in_cross.filter("size <= _budget").select("id", "size", "_budget", "_pattern", order)
     kind = sized.schema[id_col].dataType
 
     picks = in_cross.groupBy("_pattern").applyInArrow(
         _fill, T.StructType([T.StructField("_pick", kind), T.StructField("_pick_pattern", T.StringType())])
     )
     picks = materialize(picks, "mixpicks")
-    return Mix(full, picks, list(zip(names, sizes, wanted, strict=True)), seed, sources_col)
+    return Mix(full, picks, table, seed, sources_col)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", **how) -> DataFrame:
@@ -301,19 +337,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return mix.apply(sized, id_col).withColumn("taken", F.col("size") * F.col("repeats"))
 
 
-def source_table(spark, mix: Mix) -> DataFrame:
-    """One row a source: source, source_size, target."""
-    return spark.createDataFrame(mix.sources, "source string, source_size long, target double")
-
-
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = materialize(with_sizes(docs.select("doc_id", "source", "text")), "sizes")
     mix = plan_mix(sized)
     rows = mix.apply(sized)
-    # one row a source, at most max_patterns of them
-    table = F.broadcast(source_table(spark, mix).withColumnRenamed("source", "of"))
-    return rows.join(table, F.col("source").eqNullSafe(F.col("of")), "left").select(
+    table = mix.table.select(F.col("source").alias("of"), F.col("size").alias("source_size"), "target")
+    return rows.join(sent(table, mix.n_sources), F.col("source").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "source"
     )
 

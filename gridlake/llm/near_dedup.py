@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bloom_has, bloom_hash, id_bloom, materialize, read
+from .common import arrow_map, bloom_has, bloom_hash, id_bloom, materialize, read, unused
 from .linking import link
 from .words import column_words, distinct, mix, seeds, shingles
 
@@ -252,11 +252,15 @@ def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """Stage form: one document of each group stays (the smallest id), with the columns of ``docs``."""
+    """Stage form: one document of each group stays (the smallest id), with the columns of ``docs``.
+
+    Of a repeated id all rows stay, or none.
+    """
     kept = near_dedup(docs, k=5).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    gone = materialize(kept.filter("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    name = unused("gone", docs.columns)
+    gone = materialize(kept.filter("not kept").select(F.col("doc_id").alias(name)), "gone")
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 OP9_SQL = r"""

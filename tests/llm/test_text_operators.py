@@ -83,7 +83,6 @@ def test_flow_of_overlapping_sources():
     assert sum(max(0, u - c) for u, c in zip(used, capacity, strict=True)) == 80  # no repeat while a first use is open
     flow = M.min_cost_flow([100, 100], [(0, 1), (0,)], [100, 100], 2)
     assert [sum(f.values()) for f in flow] == [100, 100] and flow[0].get(1) == 100
-    assert M.targets([], [], 1.5, 2) == [] and M.targets([0, 10], [3, 1], 1.5, 2) == [0, 15]
 
 
 def test_overlapping_documents(spark):
@@ -91,8 +90,6 @@ def test_overlapping_documents(spark):
     mix = M.plan_mix(table, weights=(1, 1), share=0.5)
     taken = mix.apply(table).agg(F.sum(F.col("size") * F.col("repeats"))).first()[0]
     assert abs(taken - sum(t for _, _, t in mix.sources)) <= 20
-    with pytest.raises(ValueError):
-        M.plan_mix(table, max_patterns=1)
 
 
 # ---- fingerprints
