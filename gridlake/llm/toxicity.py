@@ -1,15 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text with insults or threats is read as symbols: insult, threat, target, negation, report, other, and
-the end of a clause.  Transducers for each are composed: negation damps an insult or threat up to three
-words after it, reported speech damps what follows it in the clause, a target before an insult
-strengthens it, and an insult matches on its left if a target stands before it in the clause or another
-insult anywhere before it in the text (a series).  What found no match on the left is read again from
-the right by a transducer that looks for a target in the clause or another insult; a threat matches
-only there, by the target that it has for its object.  A score is the sum of the matches' lexical
-weights times the weights of the arcs they passed; a word without a match keeps a twentieth of its weight.
-
-Fixed words match as whole words with common endings.  Insult stems are learned too: of a bounded sample
+A text with insults or threats is read as symbols: insult, doubtful insult (a word with a plain sense, as
+pig or trash), threat, person, owner, speaker, object before its verb, copula, link, likeness, negation,
+report, other, and the end of a clause.  Transducers for each are composed; all but the last rule stay
+inside a clause:
+
+* negation damps an insult or threat up to three words after it, reported speech what follows it;
+* an insult matches after a person that it is said of: within two words, or four after a copula, articles
+  and degree words not counted; a doubtful one only with nothing but those between.  Owners end the reach;
+* a threat needs someone who utters or carries it out before it, or the clause's beginning (at most one
+  word before it), and a person for its object: in the next two words, or an object pronoun before it;
+* read backwards, an insult matches before a person within two words, a doubtful one before "like you";
+* a series: an insult matches beside another one in its clause, a doubtful one beside one that is not
+  doubtful or that has matched;
+* a text with two insults or more, one at least not doubtful, is a series as a whole, which a counting
+  automaton finds before: what did not match then keeps half its weight.
+
+A score is the sum of the lexical weights times the weights of the arcs they passed; a word without a
+match adds nothing.
+
+Fixed words match as whole words with common endings, and weigh less where the sample's clean texts hold them.  Insult stems are learned too: of a bounded sample
 of labelled training rows (``max_labelled``), prefixes of words that come with label 1 far more often
 than with label 0 enter the insult lexicon with their log odds, at most ``most`` of them, the most frequent first.
 A learned stem matches whole words, or all words that begin with it where it was learned from three or more
@@ -24,6 +34,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -49,9 +60,22 @@ töten umbringen schlagen verletzen vernichten erschießen
 tuer frapper détruire égorger massacrer
 matar golpear destruir apuñalar quemar
 """.split()
-TARGETS = """you your youre yours they them their he him she her these those
-du dich dir ihr euch dein deine sie tu te toi vous ton votre ils tú usted ustedes vosotros ellos eres
+#: Insults with a plain sense.
+DOUBTFUL = """fool trash garbage filth disgrace clown coward pig vermin parasite creep freak lunatic scum
+basura cerdo payas müll versager ordure racaille minable
 """.split()
+PERSONS = """you youre yall they theyre them he him she ya du ihr sie tu vous tú usted ustedes vosotros ellos ils elles il elle
+""".split()
+OWNERS = "your yours their theirs his hers these those dein deine deinen ton ta votre vos vuestro".split()
+#: Owners with a following word, persons without.
+EITHER = frozenset(["her"])
+SPEAKERS = "i we ill id im gonna someone somebody ich wir je nous on yo nosotros voy".split()
+FRONTED = "dich dir euch ihn te toi os".split()
+COPULAS = "are is am was were be been re s m r bist ist sind seid es eres est sont êtes son sois".split()
+LINKS = """a an the such so very really total totally complete completely utter utterly absolute absolutely just all nothing but
+dirty filthy little fucking damn bloody ein eine einen so total un una une des tan muy très si
+""".split()
+LIKENESS = "like wie comme como".split()
 NEGATIONS = """not no never isnt arent dont wasnt werent doesnt wont cannot cant nobody neither nor without
 nicht kein keine nie niemals ne pas jamais aucun ni nunca jamás ningún sin
 """.split()
@@ -64,10 +88,19 @@ ENDINGS = frozenset(["", *"s es ed d ing er ers est ly ic o a os as e en em n t
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-I, H, T, N, R, O, E = "insult threat target negation report other end".split()
-LONE = "unmatched insult"
-SYMBOLS = (I, H, T, N, R, O, E)
-ALONE = math.log(0.05)  # log weight of an insult or threat without a match
+I, A, H, T, P, S, B, C, L, K, N, R, O, E = (
+    "insult doubtful threat person owner speaker fronted copula link likeness negation report other end".split()
+)
+M, G, X = "matched insult", "matched threat", "idle threat"
+SYMBOLS = (I, A, H, T, P, S, B, C, L, K, N, R, O, E)
+EVERY = (*SYMBOLS, M, G, X)
+INSULTING, THREATENING = (I, A, M), (H, G, X)
+ALONE = -math.inf  # log weight of an insult or threat without a match
+KINDS = {
+    word: kind
+    for kind, words in ((L, LINKS), (C, COPULAS), (K, LIKENESS), (R, REPORTS), (N, NEGATIONS), (S, SPEAKERS), (P, OWNERS), (T, PERSONS), (B, FRONTED))
+    for word in words
+}
 
 
 class Transducer:
@@ -89,13 +122,13 @@ class Transducer:
                 arcs[number[pair], symbol] = (number[s, t], out, w + v)
         return Transducer(arcs)
 
-    def run(self, symbols: list[str]) -> list[float]:
+    def run(self, symbols: list[str], state=0) -> list[float]:
         """The log weights of the arcs that are passed."""
-        return self.read(symbols)[1]
+        return self.read(symbols, state)[1]
 
-    def read(self, symbols: list[str]) -> tuple[list[str], list[float]]:
+    def read(self, symbols: list[str], state=0) -> tuple[list[str], list[float]]:
         """The output symbols and the log weights of the arcs."""
-        state, out, weights = 0, [], []
+        out, weights = [], []
         for symbol in symbols:
             state, symbol, w = self.arcs[state, symbol]
             out.append(symbol)
@@ -103,37 +136,112 @@ class Transducer:
         return out, weights
 
 
-def _grammar() -> tuple[Transducer, Transducer]:
-    """The grammar for a text read forwards, and the one that reads its output backwards."""
-    scope = 3
-    negation, report, target, insult, back = {}, {}, {}, {}, {}
+def _negation(scope: int = 3) -> Transducer:
+    arcs = {}
     for s in range(scope + 1):
-        for x in SYMBOLS:
+        for x in EVERY:
             left = 0 if x == E else scope if x == N else max(s - 1, 0)
-            negation[s, x] = (left, x, np.log(0.25) if x in (I, H) and s else 0.0)
+            arcs[s, x] = (left, x, math.log(0.25) if x in (I, A, H) and s else 0.0)
+    return Transducer(arcs)
+
+
+def _report() -> Transducer:
+    arcs = {}
     for s in (0, 1):
-        for x in SYMBOLS:
+        for x in EVERY:
             after = 0 if x == E else 1 if x == R else s
-            report[s, x] = (after, x, np.log(0.5) if x in (I, H) and s else 0.0)
-            aimed = 0 if x == E else 1 if x == T else s
-            target[s, x] = (aimed, x, np.log(1.5) if x == I and s else 0.0)
-    for s in range(4):  # a target before in the clause, an insult before in the text
-        aimed, series = s & 1, s & 2
+            arcs[s, x] = (after, x, math.log(0.5) if x in (I, A, H) and s else 0.0)
+    return Transducer(arcs)
+
+
+def _said_of() -> Transducer:
+    """State 0, or twice the words left in reach of a person, and one more if only links stood between."""
+    arcs, near, far = {}, 2, 4
+    for s in (0, *(2 * left + plain for left in range(1, far + 1) for plain in (0, 1))):
+        left, plain = s // 2, s % 2
+        for x in EVERY:
+            out, weight = x, 0.0
+            if x in (E, P):
+                after = 0
+            elif x in (T, B):
+                after = 2 * near + 1
+            elif x == C and s:
+                after = 2 * far + plain
+            elif x in (C, L, N, *INSULTING):
+                after = s
+                if x == I and s or x == A and plain:
+                    out, weight = M, math.log(1.5)
+            else:
+                after = 2 * (left - 1) if left > 1 else 0
+            arcs[s, x] = (after, out, weight)
+    return Transducer(arcs)
+
+
+def _agent() -> Transducer:
+    """States: 0 the clause begins, 1 a word later, 2 nobody, 3 somebody, 4 somebody and an object."""
+    arcs = {}
+    for s in range(5):
+        for x in EVERY:
+            out, weight, after = x, 0.0, s if s > 2 or x == N else min(s + 1, 2)
+            if x == E:
+                after = 0
+            elif x in (S, T):
+                after = max(s, 3)
+            elif x == B:
+                after = 4 if s > 2 else 3
+            elif x == H:
+                out, weight = {2: (X, ALONE), 4: (G, 0.0)}.get(s, (H, 0.0))
+            arcs[s, x] = (after, out, weight)
+    return Transducer(arcs)
+
+
+def _series(s: int, x: str) -> tuple[int, bool]:
+    """State after ``x`` (0 no insult in the clause, 1 doubtful ones, 2 others too), and whether ``x`` has company."""
+    after = 0 if x == E else 2 if x in (I, M) else max(s, 1) if x == A else s
+    return after, x == I and s > 0 or x == A and s > 1
+
+
+def _grammar() -> tuple[Transducer, Transducer, Transducer]:
+    """The grammar for a text read forwards, the one that reads its output backwards, and the counting automaton.
+
+    The backward states are (series of the text, words in reach of a person, likeness, insults in the clause).
+    """
+    series = Transducer({(s, x): (_series(s, x)[0], M if _series(s, x)[1] else x, 0.0) for s in range(3) for x in EVERY})
+    forward = _negation()
+    for part in (_report(), _said_of(), _agent(), series):
+        forward = forward.compose(part, SYMBOLS)
+    back, count = {}, {}
+    for state in itertools.product((0, 1), range(3), range(3), range(3)):
+        whole, reach, like, clause = state
+        for x in EVERY:
+            held, company = _series(clause, x)
+            person = x in (T, B)
+            after = (
+                whole,
+                2 if person else 0 if x in (E, P) else max(reach - 1, 0),
+                1 if person else 2 if x == K and like == 1 else 0,
+                held,
+            )
+            aim = math.log(1.25) if reach else 0.0
+            rest = math.log(0.5) if whole else ALONE
+            weight = 0.0
+            if x == M:
+                weight = aim
+            elif x == I:
+                weight = aim if reach or company else rest
+            elif x == A:
+                weight = 0.0 if company or like == 2 else rest
+            elif x == H:
+                weight = 0.0 if reach else ALONE
+            back[state, x] = (after, x, weight)
+    for n, sure in itertools.product(range(3), (0, 1)):
         for x in SYMBOLS:
-            after = (0 if x == E else 1 if x == T else aimed) | (2 if x == I else series)
-            insult[s, x] = (after, LONE if x == I and not s else x, 0.0)
-        for x in (*SYMBOLS, LONE):
-            after = (0 if x == E else 1 if x == T else aimed) | (2 if x in (I, LONE) else series)
-            aim = np.log(1.25) if aimed else 0.0
-            weight = {I: aim, LONE: aim if s else ALONE, H: 0.0 if aimed else ALONE}.get(x, 0.0)
-            back[s, x] = (after, x, weight)
-    forward = Transducer(negation)
-    for part in (report, target, insult):
-        forward = forward.compose(Transducer(part), SYMBOLS)
-    return forward, Transducer(back)
+            after = (min(n + (x in (I, A)), 2), max(sure, int(x == I)))
+            count[(n, sure), x] = (after, int(after == (2, 1)), 0.0)
+    return forward, Transducer(back), Transducer(count)
 
 
-FORWARD, BACKWARD = _grammar()
+FORWARD, BACKWARD, COUNTING = _grammar()
 
 
 @dataclass
@@ -151,7 +259,8 @@ class ToxicModel:
             made = ahocorasick.Automaton()
             for kind, table in ((H, self.threats), (I, self.stems)):
                 for stem, weight in table.items():
-                    made.add_word(stem, (len(stem), kind, weight, stem in self.prefixes))
+                    doubtful = kind == I and any(word.startswith(stem) or stem.startswith(word) for word in DOUBTFUL)
+                    made.add_word(stem, (len(stem), A if doubtful else kind, weight, stem in self.prefixes))
             made.make_automaton()
             self._automaton = made
         return self._automaton
@@ -187,24 +296,28 @@ class ToxicModel:
             begin = max(low.rfind(c, upto, start) for c in ".!?;:\n") + 1 or upto
             stop = CLAUSE_END.search(low, start)
             upto = stop.start() if stop else len(low)
+            either = False
             for word in WORD.finditer(low, begin, upto):
                 kind, weight = hits.get(word.start(), (None, 0.0))
                 if kind is None:
-                    w = word.group()
-                    kind = T if w in _TARGETS else N if w in _NEGATIONS else R if w in _REPORTS else O
-                symbols.append(kind)
+                    kind = KINDS.get(word.group(), O)
+                if either and kind in (O, I, A, H):
+                    symbols[-1] = P
+                either = word.group() in EITHER
+                symbols.append(T if either else kind)
                 weights.append(weight)
             symbols.append(E)
             weights.append(0.0)
         read, ahead = FORWARD.read(symbols)
-        behind = BACKWARD.run(read[::-1])[::-1]
+        whole = COUNTING.read(symbols, (0, 0))[0][-1] if symbols else 0
+        behind = BACKWARD.run(read[::-1], (whole, 0, 0, 0))[::-1]
         total, matched, clause = 0.0, 0, False
         for symbol, w, a, b in zip(symbols, weights, ahead, behind, strict=True):
             if symbol == E:
                 matched += clause
                 clause = False
             elif w:
-                clause |= b > ALONE
+                clause |= b > ALONE and symbol != X
                 total += w * math.exp(a + b)
         words = max(1, low.count(" ") + low.count("\n") + 1)
         return math.log1p(total), math.log1p(matched), math.log1p(1000 * total / (words + 100))
@@ -214,9 +327,6 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-_TARGETS, _NEGATIONS, _REPORTS = frozenset(TARGETS), frozenset(NEGATIONS), frozenset(REPORTS)
-
-
 def held_out(id_col: str = "doc_id", parts: int = 5):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)) == 0, F.lit(False))
 
@@ -252,18 +362,18 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
 
 def learn_stems(
-    sample: DataFrame, n_pos: int, n_neg: int, odds: float = 12.0, evidence: float = 14.0, most: int = 4000
+    sample: DataFrame, n_pos: int, n_neg: int, counts: DataFrame | None = None, odds: float = 12.0, evidence: float = 28.0, most: int = 4000
 ) -> tuple[dict[str, float], frozenset[str]]:
     """Prefixes of 3 to 12 letters that come with label 1, with log odds as weights; and those learned from several words.
 
     The smoothed odds must be at least ``odds``, and the log-likelihood ratio against the share of
-    label 1 among all words at least ``evidence`` nats (about one chance in 10^6), so that words that
+    label 1 among all words at least ``evidence`` nats (about one chance in 10^12), so that words that
     happen to stand in a few toxic documents stay out.
     Of a prefix and its extension that find the same documents the longer one is kept; an extension of
     a kept prefix adds nothing and goes.  At most ``most`` stems are kept, the most frequent first.
     """
     sizes = F.explode(F.sequence(F.lit(3), F.least(F.lit(12), F.char_length("word"))))
-    counts = materialize(word_counts(sample.dropDuplicates()), "toxicwords")
+    counts = word_counts(sample.dropDuplicates()) if counts is None else counts
     sums = counts.agg(F.sum("pos"), F.sum("neg")).first()
     share = min(max((sums[0] or 0) / max((sums[0] or 0) + (sums[1] or 0), 1), 1e-6), 1 - 1e-6)
     cut = counts.filter(F.char_length("word") >= 3).withColumn("size", sizes)
@@ -297,6 +407,13 @@ def learn_stems(
     return listed, frozenset(s for s in listed if found[s][2] >= 3)
 
 
+def listed_weights(counts: DataFrame, n_pos: int, n_neg: int, seen: int = 5) -> dict[str, float]:
+    """Weights of the fixed insults: 3, or the log odds where these are less and ``seen`` documents or more hold the word."""
+    rows = counts.filter(F.col("word").isin(INSULTS) & (F.col("pos") + F.col("neg") >= seen)).collect()  # fixed words
+    odds = {r["word"]: math.log((r["pos"] + 0.5) / (n_pos + 1) * (n_neg + 1) / (r["neg"] + 0.5)) for r in rows}
+    return {w: min(3.0, max(0.0, odds.get(w, 3.0))) for w in INSULTS}
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Bias and weights by Newton steps with a ridge on the weights."""
     a = np.hstack([np.ones((len(x), 1)), x])
@@ -320,8 +437,9 @@ def train(
     stems = {w: 3.0 for w in INSULTS}
     prefixes: frozenset[str] = frozenset()
     if n_pos and n_neg:
-        learned, prefixes = learn_stems(sample, n_pos, n_neg)
-        stems |= learned
+        counts = materialize(word_counts(sample.dropDuplicates()), "toxicwords")
+        learned, prefixes = learn_stems(sample, n_pos, n_neg, counts)
+        stems = listed_weights(counts, n_pos, n_neg) | learned
     model = ToxicModel(stems, {w: 2.0 for w in THREATS}, prefixes)
     if n_pos and n_neg:
         table = features(sample.select("toxic", "text"), model, "toxic", "text").toArrow()  # at most max_labelled rows

@@ -262,7 +262,7 @@ def test_grammar():
     model = X.ToxicModel({"idiot": 3.0}, {"kill": 2.0})
     score = lambda t: model.features(t)[0]
     assert score("a calm text") == score(None) == score("") == 0
-    assert score("you idiot") > score("idiot here") > 0
+    assert score("you idiot") > score("idiot here") == 0
     assert score("you are not an idiot") < score("you are an idiot")
     assert score("they said you idiot") < score("now then you idiot")
     assert score("i will kill you") > score("i will kill time")
@@ -273,38 +273,98 @@ def test_grammar():
     assert one.compose(two, ["a"]).run(["a", "a", "a"]) == [1.5, 2.25, 2.25]
 
 
-def brute_toxic(text, insults, threats):
+def said_of(words, i, kinds):
+    """Whether the insult ``i`` stands in reach of a person before it, and whether only links stand between."""
+    for j in range(i - 1, -1, -1):
+        if kinds[j] == X.P:
+            return False, False
+        if kinds[j] in (X.T, X.B):
+            between = kinds[j + 1 : i]
+            left = 2
+            for k in between:
+                left = 4 if k == X.C else left if k in (X.L, X.N, X.I, X.A) else left - 1
+                if not left:
+                    return False, False
+            return True, all(k in (X.C, X.L, X.N, X.I, X.A) for k in between)
+    return False, False
+
+
+def brute_toxic(text, insults, doubtful, threats):
     """Sum of scores by the rules, word by word, without transducers."""
     clauses = [re.findall(r"[^\W\d_]+", c) for c in re.split(r"[.!?;:\n]", text.lower())]
-    found = [(c, i) for c, words in enumerate(clauses) for i, w in enumerate(words) if w in insults]
+    table = {**insults, **doubtful, **threats}
+
+    def kind(w):
+        return X.I if w in insults else X.A if w in doubtful else X.H if w in threats else X.KINDS.get(w, X.O)
+
+    kinds = [[kind(w) for w in words] for words in clauses]
+    bad = [k for ks in kinds for k in ks if k in (X.I, X.A)]
+    rest = 0.5 if len(bad) > 1 and X.I in bad else 0
     total = 0.0
-    for c, words in enumerate(clauses):
+    for words, ks in zip(clauses, kinds, strict=True):
         for i, w in enumerate(words):
-            if w not in insults and w not in threats:
+            if w not in table:
                 continue
             before, after = words[:i], words[i + 1 :]
-            weight = {**insults, **threats}[w]
+            weight = table[w]
             weight *= 0.25 if set(before[-3:]) & set(X.NEGATIONS) else 1
             weight *= 0.5 if set(before) & set(X.REPORTS) else 1
-            left, right = set(before) & set(X.TARGETS), set(after) & set(X.TARGETS)
-            if w in threats:
-                weight *= 1 if right else 0.05
-            elif left or right or found != [(c, i)]:
-                weight *= (1.5 if left else 1) * (1.25 if right else 1)
+            ahead = ks[i + 1 : i + 3]
+            right = any(k in (X.T, X.B) and X.P not in ahead[:n] for n, k in enumerate(ahead))
+            if ks[i] == X.H:
+                who = [n for n, k in enumerate(ks[:i]) if k in (X.S, X.T, X.B)]
+                begins = sum(k != X.N for k in ks[:i]) < 2
+                if any(k == X.B and who and who[0] < n for n, k in enumerate(ks[:i])):
+                    weight *= 1
+                elif not (who or begins):
+                    weight = 0
+                else:
+                    weight *= 1 if right else 0
             else:
-                weight *= 0.05
+                near, plain = said_of(words, i, ks)
+                others = [n for n, k in enumerate(ks) if k in (X.I, X.A) and n != i]
+                sure = [n for n in others if ks[n] == X.I or said_of(words, n, ks)[1]]
+                if ks[i] == X.I and near or ks[i] == X.A and plain:
+                    weight *= 1.5 * (1.25 if right else 1)
+                elif ks[i] == X.I and any(n < i for n in others) or ks[i] == X.A and any(n < i for n in sure):
+                    weight *= 1.25 if right else 1
+                elif ks[i] == X.I:
+                    weight *= 1.25 if right else 1 if others else rest
+                else:
+                    behind = [n for n in others if n > i and (n in sure or ks[n] == X.A and any(m < n for m in sure))]
+                    likened = ks[i + 1 : i + 2] == [X.K] and ks[i + 2 : i + 3] in ([X.T], [X.B])
+                    weight *= 1 if behind or likened else rest
             total += weight
     return total
 
 
 def test_grammar_against_rules():
-    insults, threats = {"blorg": 3.0, "fnord": 2.0}, {"zap": 2.5}
-    model = X.ToxicModel(insults, threats)
+    insults, doubtful, threats = {"blorg": 3.0, "fnord": 2.0}, {"pig": 2.25}, {"zap": 2.5}
+    model = X.ToxicModel({**insults, **doubtful}, threats)
     rnd = random.Random(3)
-    words = ["blorg", "fnord", "zap", "you", "them", "not", "never", "said", "a", "tree", "grows", "here", "slowly", "and", "well"]
-    for _ in range(2000):
+    words = "blorg fnord pig zap you them your te we are the like not never said a tree grows here slowly and well".split()
+    for _ in range(4000):
         text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(rnd.randrange(14)))
-        assert abs(model.features(text)[0] - np.log1p(brute_toxic(text, insults, threats))) < 1e-9, text
+        assert abs(model.features(text)[0] - np.log1p(brute_toxic(text, insults, doubtful, threats))) < 1e-9, text
+
+
+INNOCENT = [
+    "The trash is collected on Monday. The garbage truck comes on Tuesday.",
+    "The scum on the pond was filtered. Pig farmers gathered at noon.",
+    "Garbage collection frees the memory. Trash is emptied; you can restore files.",
+    "The clown gave you a balloon. The fool card was in his deck.",
+    "Your pig weighs forty kilos. His clown costume is ready.",
+    "burn your old letters",
+    "He beat his own record and smashed her personal best.",
+    "This hill will kill you on the way up.",
+]
+HARSH = [
+    "you are a stupid idiot and you are worthless",
+    "You stupid pig, I will kill you.",
+    "they are nothing but scum and idiots like you are pathetic",
+    "Ich werde dich töten, du bist ein Idiot.",
+    "I will find her and kill her, that worthless idiot.",
+]
 
 
 def test_single_words_are_not_toxic(spark):
@@ -322,6 +382,11 @@ def test_single_words_are_not_toxic(spark):
     for text in ("pigment studies", "dumbbell set", "the idiot box", "a moronic acid", "", None, "scum", "they kill time"):
         assert p(text) < 0.5, text
     assert p("you idiot, you stupid moron, you are scum and they know it") > 0.5
+    for text in INNOCENT:
+        assert p(text) < 0.5, text
+    for text in HARSH:
+        assert p(text) > 0.5, text
+    assert p("She said you are a fool.") < p("you are a fool.")
     long = "a short clause here. " * 60_000 + "idiot. " * 20_000
     start = time.time()
     assert p(long) > 0 and time.time() - start < 20
