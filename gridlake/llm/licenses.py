@@ -129,7 +129,7 @@ You should have received a copy of the GNU General Public License along with thi
 MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
-#: Known short licenses and statements (id, entire text), which the SQL has too; :func:`license_scan` takes any such table.
+#: Known short licenses and statements (id, entire text); :func:`license_scan` takes any such table.
 KNOWN = (
     ("0BSD", ZERO_BSD),
     ("Apache-2.0 notice", APACHE_NOTICE),
@@ -202,7 +202,7 @@ def _sql_canonical(text: str) -> str:
 
 
 def _sql_known() -> str:
-    quoted = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in KNOWN)
+    quoted = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in [*KNOWN, *full_texts()])
     return f"(VALUES {quoted}) AS k(license_id, body)"
 
 

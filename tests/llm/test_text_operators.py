@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -247,6 +248,31 @@ def test_licenses_beside_near_misses_and_long_texts(spark):
     assert got == {1: "Unlicense text", 2: None, 3: "BSL-1.0 text", 4: None, 5: None, 6: None, 7: "ISC", None: "ISC"}
 
 
+def test_license_sql_on_planted_texts(spark, tmp_path):
+    """Query and SQL agree on a table that holds every known text, spellings of it and near misses."""
+    known = [*LI.KNOWN, *LI.full_texts()]
+    rows, want = [], {}
+    for k, (name, text) in enumerate(known):
+        words = text.split()
+        forms = [text, text.upper(), "Copyright (c) 2020 Some One\n" + text, text.replace(" ", "  "), text.replace(",", " ;"), text + "\nmore", " ".join(words[1:])]
+        for j, form in enumerate(forms):
+            rows.append((100 * k + j, form, "a"))
+            want[100 * k + j] = j < 5
+    rows += [(9_000, None, "a"), (9_001, "", "a"), (9_002, "é " + LI.MIT, "a")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.canonical_sha256, r.license_id) for r in LI.op5_license_scan(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.sql(LI.OP5_SQL)
+    at = [sql.columns.index(c) for c in ("doc_id", "canonical_sha256", "license_id")]
+    assert got == sorted(tuple(r[i] for i in at) for r in sql.fetchall())
+    found = {i: name for i, _, name in got}
+    for i, known_text in want.items():
+        if known_text:
+            assert found[i] is not None, i
+    assert found[9_000] is found[9_001] is found[9_002] is None
+
+
 def test_full_license_texts(spark):
     texts = dict(LI.full_texts())
     names = ["Apache-2.0", "CC0-1.0", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"]
