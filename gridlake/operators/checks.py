@@ -67,16 +67,19 @@ def out_of_service(edges: DataFrame) -> DataFrame:
     return edges.filter(~F.col("in_service"))
 
 
-def isolated_findings(kinds: DataFrame, names: DataFrame) -> DataFrame:
-    rows = kinds.filter("kind = 'bus_aislado'").join(names.select("bus_id", "bus_name"), "bus_id", "left")
+def isolated_findings(kinds: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``kinds``: bus_id, kind and, without ``names``, bus_name: the name of the row itself, as buses of another type may share its id."""
+    if names is not None:
+        kinds = kinds.join(names.select("bus_id", "bus_name"), "bus_id", "left")
     label = F.coalesce("bus_name", F.col("bus_id").cast("string"))
-    return findings(rows, rule("bus_aislado", label, F.lit("sin lineas, compensadores ni transformadores"), F.lit(True)))
+    return findings(kinds.filter("kind = 'bus_aislado'"), rule("bus_aislado", label, F.lit("sin lineas, compensadores ni transformadores"), F.lit(True)))
 
 
 def island_members(labels: DataFrame, ranked: DataFrame, names: DataFrame) -> DataFrame:
-    """(isla, size, node, name) of every node outside the main component."""
-    rows = labels.join(ranked.filter("rank > 1").select("comp", "isla", "size"), "comp")
+    """(isla, size, node, name) of every node outside the main component; a node whose id has several names is a row, and counts, for each."""
+    rows = labels.join(ranked.filter("rank > 1").select("comp", "isla"), "comp")
     rows = rows.join(names.select(F.col("bus_id").alias("node"), "bus_name"), "node", "left")
+    rows = rows.join(rows.groupBy("isla").agg(F.count(F.lit(1)).alias("size")), "isla")
     return rows.select("isla", "size", "node", F.coalesce("bus_name", F.col("node").cast("string")).alias("name"))
 
 
@@ -109,7 +112,7 @@ def marked(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> tuple[DataF
     lines = cut(with_known_ends(lines.select([c for c in columns if c in lines.columns]), buses))
     trafos = cut(with_known_ends(trafos.select("trafo_key", "bus_i", "bus_j"), buses))
     valid, comp = F.col("known_i") & F.col("known_j"), F.col("element_type") == "series_compensator"
-    top = buses.filter("bus_type = '500kV'")
+    top = buses.filter("bus_type = '500kV'").select("bus_id", "bus_name")
     return lines, trafos, isolated(top, lines.filter(valid & ~comp), lines.filter(valid & comp), trafos)
 
 
@@ -128,7 +131,7 @@ def topology_report(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> Da
     return report(
         findings(lines, orphan("linea_huerfana", "line_key"), _zero(valid), _unrated(valid)),
         findings(trafos, orphan("trafo_huerfano", "trafo_key")),
-        isolated_findings(kinds, buses),
+        isolated_findings(kinds),
         island_findings(labels, islands(labels), buses),
     )
 
@@ -137,7 +140,7 @@ def topology_notes(buses: DataFrame, lines: DataFrame, trafos: DataFrame) -> Dat
     """What the report only mentions: lines out of service, bars of compensators, buses at transformers only."""
     lines, _, kinds = marked(buses, lines, trafos)
     off = findings(lines, _off(F.col("known_i") & F.col("known_j")))
-    expected = kinds.filter("kind != 'bus_aislado'").join(buses.select("bus_id", "bus_name"), "bus_id", "left")
+    expected = kinds.filter("kind != 'bus_aislado'")
     name = F.coalesce("bus_name", F.col("bus_id").cast("string"))
     return off.unionByName(expected.select(F.col("kind").alias("tipo"), name.alias("elemento"), F.lit("esperado").alias("detalle")))
 

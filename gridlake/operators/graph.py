@@ -178,11 +178,11 @@ def islands(labels: DataFrame) -> DataFrame:
 
 
 def isolated(nodes: DataFrame, lines: DataFrame, compensators: DataFrame, trafos: DataFrame) -> DataFrame:
-    """Nodes without a line: bar of a compensator, end of transformers only, or isolated."""
+    """Nodes without a line, with their columns and kind: bar of a compensator, end of transformers only, or isolated."""
 
     tables = [("line", lines), ("comp", compensators), ("trafo", trafos)]
     ends = reduce(DataFrame.unionAll, [df.select(F.explode(F.array("bus_i", "bus_j")).alias("bus_id"), F.lit(n).alias("at")) for n, df in tables])
     used = ends.groupBy("bus_id").agg(*[F.bool_or(F.col("at") == n).alias(f"_{n}") for n, _ in tables])
-    out = nodes.select("bus_id").join(used, "bus_id", "left").filter(~F.coalesce("_line", F.lit(False)))
+    out = nodes.join(used, "bus_id", "left").filter(~F.coalesce("_line", F.lit(False)))
     kind = F.when(F.col("_comp"), "compensador").when(F.col("_trafo"), "solo_trafo").otherwise("bus_aislado")
-    return out.select("bus_id", kind.alias("kind"))
+    return out.select(*nodes.columns, kind.alias("kind"))
