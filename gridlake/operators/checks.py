@@ -83,18 +83,15 @@ def island_members(labels: DataFrame, ranked: DataFrame, names: DataFrame) -> Da
     return rows.select("isla", "size", "node", F.coalesce("bus_name", F.col("node").cast("string")).alias("name"))
 
 
-#: Names of an island that its finding lists; :func:`island_members` has them all.
-LISTED = 50
-
-
-def island_findings(labels: DataFrame, ranked: DataFrame, names: DataFrame, listed: int = LISTED) -> DataFrame:
-    """One finding an island: its names in their order, of a larger one the first ``listed`` and the number of its nodes."""
-    members = island_members(labels, ranked, names)
-    place = F.row_number().over(Window.partitionBy("isla").orderBy("name", "node"))
-    first = members.withColumn("_place", place).filter(F.col("_place") <= listed)
+def island_findings(labels: DataFrame, ranked: DataFrame, names: DataFrame, listed: int | None = None) -> DataFrame:
+    """One finding an island: all its names in their order; with ``listed``, of a larger one the first so many and the number of its nodes."""
+    rows, more = island_members(labels, ranked, names), F.lit("")
+    if listed is not None:
+        place = F.row_number().over(Window.partitionBy("isla").orderBy("name", "node"))
+        rows = rows.withColumn("_place", place).filter(F.col("_place") <= listed)
+        more = F.when(F.col("size") > listed, F.concat(F.lit(", ... ("), F.col("size").cast("string"), F.lit(")"))).otherwise("")
     names = F.array_sort(F.collect_list(F.struct("name", "node")))
-    rows = first.groupBy("isla", "size").agg(F.array_join(F.transform(names, lambda x: x["name"]), ", ").alias("names"))
-    more = F.when(F.col("size") > listed, F.concat(F.lit(", ... ("), F.col("size").cast("string"), F.lit(")"))).otherwise("")
+    rows = rows.groupBy("isla", "size").agg(F.array_join(F.transform(names, lambda x: x["name"]), ", ").alias("names"))
     return findings(rows, rule("isla_desconectada", F.col("isla"), F.concat("names", more), F.lit(True)))
 
 
