@@ -11,11 +11,14 @@ from gridlake.sources import case_source as S
 from gridlake.sources.xlsx import read_xlsx, write_xlsx
 
 CASE_FILES = 8
+#: Records of a case file; a file is written by one task, so more records make more files.
+CASE_RECORDS = 100_000
 
 
 def rendered_cases(spark: SparkSession, d: str) -> str:
-    """Parts, line items and orders as the buses, branches and transformers of eight case files."""
+    """Parts, line items and orders as the buses, branches and transformers of eight case files, or more of about ``CASE_RECORDS`` records."""
     part, item, orders = (table(spark, d, t) for t in ("part", "lineitem", "orders"))
+    count = max(CASE_FILES, -(-sum(df.count() for df in (part, item, orders)) // CASE_RECORDS))
     text = lambda c: F.col(c).cast("string")
     bus = F.concat_ws(",", text("p_partkey"), F.concat(F.lit("'"), F.col("p_name"), F.lit("'")), text("p_retailprice"), text("p_size"), F.lit("1,1,1,1.0,0.5"))
     branch = F.concat_ws(
@@ -28,14 +31,14 @@ def rendered_cases(spark: SparkSession, d: str) -> str:
     trafo = F.concat_ws("\n", head, second, F.lit("1,0,0"), F.lit("1,0"), F.when(three, F.lit("1,0")))
 
     def lines(df: DataFrame, section: int, key: str, value) -> DataFrame:
-        return df.select((F.col(key) % CASE_FILES).alias("file"), F.lit(section).alias("section"), F.col(key).alias("at"), value.alias("value"))
+        return df.select((F.col(key) % count).alias("file"), F.lit(section).alias("section"), F.col(key).alias("at"), value.alias("value"))
 
     marks = ["x\ny\nTITLE\n0 / BEGIN BUS DATA", "0 / END OF BUS DATA, BEGIN BRANCH DATA", "0 / END OF BRANCH DATA, BEGIN TRANSFORMER DATA\n@ i, j, k", "0 / END OF TRANSFORMER DATA"]
-    files = spark.range(CASE_FILES).select(F.col("id").alias("file"), F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(m).alias("value")) for n, m in enumerate(marks)])).alias("m"))
+    files = spark.range(count).select(F.col("id").alias("file"), F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(m).alias("value")) for n, m in enumerate(marks)])).alias("m"))
     rows = files.select("file", "m.section", F.lit(-1).cast("long").alias("at"), "m.value")
     rows = rows.unionAll(lines(part, 0, "p_partkey", bus)).unionAll(lines(item, 1, "l_orderkey", branch)).unionAll(lines(orders, 2, "o_orderkey", trafo))
     path = scratch(spark, "cases")
-    rows.repartition(CASE_FILES, "file").sortWithinPartitions("file", "section", "at").select("file", "value").write.partitionBy("file").text(path)
+    rows.repartition(count, "file").sortWithinPartitions("file", "section", "at").select("file", "value").write.partitionBy("file").text(path)
     return path
 
 
