@@ -26,8 +26,9 @@ def build_graph(*edges: DataFrame, i: str = "i", j: str = "j", k: str = "k") ->
                 pairs.append(F.when(third, F.struct(F.col(a).alias("src"), F.col(k).alias("dst"))))
         rows = e.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.src", "p.dst")
         out = rows if out is None else out.unionByName(rows)
-    both = out.unionAll(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.filter("src IS NOT NULL AND dst IS NOT NULL AND src != dst").distinct()
+    out = out.filter("src IS NOT NULL AND dst IS NOT NULL AND src != dst")
+    once = out.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return once.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("p")).select("p.*")
 
 
 #: Rows of a table (an id, a few numbers) that are broadcast; larger ones are shuffled.
@@ -38,35 +39,67 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
-def nearest_target(graph: DataFrame, targets: DataFrame, most_hops: int | None = None, paths: bool = True) -> DataFrame:
-    """(node, dest, hops, path) of every node that reaches a target; without ``paths``, parent for path.
+#: Edges of a task, where the edges are dealt out by a node: more edges make more tasks, not larger ones.
+TASK_EDGES = 1_000_000
 
-    One search from all targets at once.  Targets are not passed through; of several targets at the
-    least distance the highest kv wins, then the smallest id; of several ways the one over the smallest
-    ids.  ``targets``: node, kv (null counts as 0).  The graph is dealt out by its ends once.  Each
-    level is one join of the frontier and one aggregate; as the graph leads both ways, what a level
-    reaches can only have been found in it or in the level before.  Nodes keep the next node of their
-    way, and ways are put together in the end.
+
+def _tasks(edges: DataFrame, n: int) -> int:
+    return max(edges.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_EDGES))
+
+
+def reached(graph: DataFrame, targets: DataFrame, most_hops: int | None = None, edges: int | None = None) -> DataFrame:
+    """(node, dest, kv, hops) of every node that reaches a target, as :func:`nearest_target` without the ways.
+
+    ``edges``: about how many the graph has both ways, which are counted if it is not given; only the number of tasks depends on it.
     """
+    return _named(*_levels(_dealt(graph, edges), targets, most_hops)[:2])
+
+
+def _dealt(graph: DataFrame, edges: int | None = None) -> DataFrame:
+    return cut(graph.repartition(_tasks(graph, graph.count() if edges is None else edges), "dst"))
+
+
+def _levels(graph: DataFrame, targets: DataFrame, most_hops: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """((node, rank, hops), (rank, dest, kv), levels): a target's rank is its place by falling kv, then id, so that a level takes the least of numbers."""
     kind = graph.schema["src"].dataType
     start = targets.groupBy("node").agg(F.coalesce(F.max("kv"), F.lit(0.0)).cast("double").alias("kv"))
-    node = F.col("node").cast(kind)
-    columns = [node.alias("node"), node.alias("dest"), "kv", F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("parent")]
-    frontier = cut(start.select(*columns))
-    levels, sizes = [frontier], [frontier.count()]
-    graph = cut(graph.repartition(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dst"))
+    start = start.select(F.col("node").cast(kind).alias("dest"), "kv")
+    ranks = cut(numbered(start, "rank", F.col("kv").desc(), "dest").select("rank", "dest", "kv"))
+    levels, sizes = [ranks.select(F.col("dest").alias("node"), "rank", F.lit(0).alias("hops"))], [ranks.count()]
     while sizes[-1] and (most_hops is None or len(levels) <= most_hops):
-        near = _sent(levels[-1].select("node", "dest", "kv"), sizes[-1])
-        best = F.min(F.struct((-F.col("kv")).alias("k"), "dest", F.col("dst").alias("parent"))).alias("b")
-        new = graph.join(near, graph["dst"] == near["node"]).select(F.col("src").alias("node"), "dest", "kv", "dst")
+        near = levels[-1].select(F.col("node").alias("_near"), "rank")
+        near = _sent(near, sizes[-1]) if sizes[-1] <= BROADCAST_ROWS else near.hint("shuffle_hash")
+        new = graph.join(near, graph["dst"] == near["_near"]).groupBy(F.col("src").alias("node")).agg(F.min("rank").alias("rank"))
         for old, n in list(zip(levels, sizes, strict=True))[-2:]:
             new = new.join(_sent(old.select("node"), n), "node", "left_anti")
-        new = new.groupBy("node").agg(best)
-        new = cut(new.select("node", "b.dest", (-F.col("b.k")).alias("kv"), F.lit(len(levels)).alias("hops"), "b.parent"))
-        levels.append(new)
-        sizes.append(new.count())
+        levels.append(cut(new.select("node", "rank", F.lit(len(levels)).alias("hops"))))
+        sizes.append(levels[-1].count())
     found = reduce(DataFrame.unionByName, levels if sizes[-1] or len(levels) == 1 else levels[:-1])
-    return with_paths(found, len(levels)) if paths else found
+    return found, ranks, len(levels)
+
+
+def _named(found: DataFrame, ranks: DataFrame, *more: str) -> DataFrame:
+    return found.join(_sent(ranks, ranks.count()), "rank").select("node", "dest", "kv", "hops", *more)
+
+
+def nearest_target(graph: DataFrame, targets: DataFrame, most_hops: int | None = None, paths: bool = True) -> DataFrame:
+    """(node, dest, hops, path) of every node that reaches a target; without ``paths``, parent for path.
+
+    One search from all targets at once.  Targets are not passed through; of several targets at the
+    least distance the highest kv wins, then the smallest id; of several ways the one over the smallest
+    ids.  ``targets``: node, kv (null counts as 0).  The graph is dealt out by its ends once.  Each
+    level is one join of the frontier and one aggregate; as the graph leads both ways, what a level
+    reaches can only have been found in it or in the level before.  The next nodes of all ways are
+    found together after the last level, and ways are put together in the end.
+    """
+    graph = _dealt(graph)
+    found, ranks, levels = _levels(graph, targets, most_hops)
+    found = cut(found)
+    ahead = found.select(F.col("node").alias("dst"), F.col("rank").alias("_rank"), (F.col("hops") + 1).alias("_hops"))
+    way = graph.join(ahead, "dst").join(found.withColumnRenamed("node", "src"), "src")
+    parent = way.filter("rank = _rank AND hops = _hops").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"))
+    found = _named(found.join(parent, "node", "left"), ranks, "parent")
+    return with_paths(found, levels) if paths else found
 
 
 def with_paths(found: DataFrame, most: int) -> DataFrame:
