@@ -160,25 +160,31 @@ def connected_components(graph: DataFrame) -> DataFrame:
 
     In each round every node goes into its neighbour with the smallest hash, itself counted, if that
     is another; the edges are drawn between what is left, each once.  Hashes change with the round, so
-    the edges shrink by a constant factor and the rounds are few, for chains too.  At most
-    ``ONE_TASK_EDGES`` edges are finished in one task, with the same result.
+    the edges shrink by a constant factor and the rounds are few, for chains too.  The graph leads both
+    ways, so one direction of it is carried.  At most ``ONE_TASK_EDGES`` edges are finished in one task, with the same result.
     """
-    edges = cut(graph.select("src", "dst"))
+    edges = cut(graph.select("src", "dst").filter("src < dst"))
+    kind = graph.schema["src"].dataType.simpleString()
     merges: list[DataFrame] = []
     while n := edges.count():
         if n <= ONE_TASK_EDGES:
-            kind = graph.schema["src"].dataType.simpleString()
             merges.append(cut(edges.coalesce(1).mapInArrow(_merged, f"node {kind}, up {kind}")))
             break
-        salt = F.lit(len(merges))
+        salt, tasks = F.lit(len(merges)), _tasks(edges, n)
         low = F.min(F.struct(F.xxhash64(salt, "dst").alias("h"), "dst"))
         own = F.struct(F.xxhash64(salt, "src").alias("h"), F.col("src").alias("dst"))
-        into = edges.groupBy("src").agg(low.alias("low")).select(F.col("src").alias("node"), F.least("low", own)["dst"].alias("up"))
+        ends = edges.repartition(tasks, "src") if edges.rdd.getNumPartitions() < tasks else edges
+        both = ends.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
+        into = both.groupBy("src").agg(low.alias("low")).select(F.col("src").alias("node"), F.least("low", own)["dst"].alias("up"))
         into = cut(into)
         merges.append(into)
-        ends = [into.select(F.col("node").alias(c), F.col("up").alias(f"_{c}")) for c in ("src", "dst")]
-        moved = edges.join(ends[0], "src").join(ends[1], "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
-        edges = cut(moved.filter("src != dst").distinct())
+        nodes = into.count()
+        moved = edges
+        for end in ("src", "dst"):
+            to = _sent(into.select(F.col("node").alias(end), F.col("up").alias(f"_{end}")), nodes)
+            moved = (moved if nodes <= BROADCAST_ROWS else moved.repartition(tasks, end)).join(to, end)
+        moved = moved.filter("_src != _dst").select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"))
+        edges = cut(moved.distinct())
     if not merges:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("comp"))
     label = merges[-1].withColumnRenamed("up", "root")
